@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from windowmill.llm import packing, token_files
+from windowmill.llm import decontaminate, html_text, near_vectors, ngram_join, packing, token_files, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.query,
+        "op2_html_text": html_text.query,
+        "op4_near_vectors": near_vectors.query,
+        "op5_decontamination": decontaminate.query,
+        "op6_warc": warc.query,
         "op8_token_files": token_files.query,
         "op10_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontaminate.SQL, "op6_warc": warc.SQL}

@@ -55,3 +55,48 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def discard(df_path: str) -> None:
+    """Remove a scratch folder that no later step reads."""
+    fs, path = filesystem(df_path)
+    fs.delete_dir(path)
+
+
+def blocks(rows_: DataFrame, keys: list[str], item: str, weight, limit: int) -> DataFrame:
+    """Deal the members of each group to pairs of bounded parts.
+
+    Groups of one row go. A group whose weight passes the limit is split by a
+    hash of the item; a row goes to each pair of parts (lo, hi) that holds its
+    own, so that every two rows of a group meet in at least one pair and no pair
+    holds more than about two limits, however large the group.
+    """
+    from pyspark.sql import functions as F
+
+    sizes = rows_.groupBy(*keys).agg(F.count("*").alias("_rows"), F.sum(weight).alias("_weight")).filter("_rows > 1")
+    sizes = sizes.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_weight") / limit)).cast("int").alias("_parts"))
+    own = F.pmod(F.xxhash64(item), F.col("_parts")).cast("int")
+    dealt = rows_.join(sizes, keys).withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return dealt.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_other", "_parts")
+
+
+def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """The columns of each run of equal leading keys, as arrays; input is sorted by them."""
+    import numpy as np
+
+    kept: list | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        change = np.zeros(len(cols[0]) - 1, bool)
+        for c in cols[:keys]:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield [c[a:b] for c in cols]
+        kept = [c[cuts[-1] :] for c in cols]
+    if kept is not None:
+        yield kept

@@ -137,7 +137,7 @@ def write(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_col: str
             if out is None:
                 fs.create_dir(folder, recursive=True)
                 temp = f"{folder}/.tmp-{part:06d}-{uuid.uuid4().hex}"
-                out = fs.open_output_stream(temp)
+                out = fs.open_output_stream(temp, compression=None)
                 out.write(MAGIC)
             ids = encode(text) + end
             names.append(doc)
