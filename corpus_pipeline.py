@@ -3,8 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from windowmill.llm import common, packing
+from windowmill.llm import common, decontaminate, ngram_join, packing, quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, COLUMNS).filter(F.col("score") >= quality.ACCEPT).select(*COLUMNS)
+
+
+def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id."""
+    found = ngram_join.ngram_components(docs)
+    return docs.join(found.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontaminate_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage to the extent of the contract's rule."""
+    found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [("quality classifier", accept), ("n-gram join", dedupe), ("decontamination", decontaminate_), ("best-fit packing", pack)]
 ORACLE_SQL = None  # learned weights, tokenizer ids and packing have no SQL form; see tests/llm
 
 

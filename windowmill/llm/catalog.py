@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from windowmill.llm import decontaminate, html_text, near_vectors, ngram_join, packing, token_files, warc
+from windowmill.llm import decontaminate, html_text, license_scan, near_vectors, ngram_join, packing, piece_counts, quality, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_ngram_join": ngram_join.query,
         "op2_html_text": html_text.query,
+        "op3_quality": quality.query,
         "op4_near_vectors": near_vectors.query,
         "op5_decontamination": decontaminate.query,
         "op6_warc": warc.query,
+        "op7_license_scan": license_scan.query,
         "op8_token_files": token_files.query,
+        "op9_piece_counts": piece_counts.query,
         "op10_best_fit_packing": packing.query,
     }
 
