@@ -1,8 +1,8 @@
 """Encoding of whole texts with a public tokenizer file, with a word cache.
 
 ``Encoder`` gives exactly the ids of ``Tokenizer.encode_batch`` without special
-tokens. A text is cut where no token can cross (before a single space between
-two visible characters, or at a space where white space is dropped), so that
+tokens. A text is cut where no token can cross (before a single space or line feed
+between two visible characters, or at a space where white space is dropped), so that
 each word is sent to the library once and later served from a bounded cache.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 #: Unicode White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CACHE_ENTRIES = 400_000
-_UNEVEN = re.compile(f"[{WHITE}] | [{WHITE}]")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 #: Letters that every normaliser and pattern of these files treats alike, then ASCII marks.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
@@ -51,42 +51,61 @@ class Encoder:
         cutting = [x.get("type") for x in pre.get("pretokenizers", [])]
         self.dropped = steps == ["NFC", "Replace", "Lowercase"] and cutting == ["Split", "ByteLevel"]
         self.model = self.library.model
-        self.pieces: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line_feed = self._piece("Ċ") if self.spaced else b""
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Put words into the cache: simple ones piece by piece, the rest as texts."""
+    def _learn(self, new: list[str]) -> bool:
+        """Put words into the cache: simple ones by their letters and marks, others as texts.
+
+        A word stands after a space, or after the line feed that it starts with.
+        False if a word has white space at an edge, where tokens may cross.
+        """
         if len(self.words) + len(new) > self.limit:
             self.words.clear()
-            self.pieces.clear()
-        words, known, odd, lead, lower = self.words, self.pieces, [], "Ġ" if self.spaced else "", self.dropped
+        words, odd, lead = self.words, [], "Ġ" if self.spaced else ""
         for w in new:
-            if not (m := _SIMPLE.fullmatch(w)):
+            if w.isascii() and w.isalpha():
+                words[w] = self._piece(lead + (w.lower() if self.dropped else w))
+                continue
+            lined = self.spaced and w[:1] == "\n"
+            if not (m := _SIMPLE.fullmatch(w, lined)):
                 odd.append(w)
                 continue
             letters, marks = m.groups()
-            if lower:
+            if self.dropped:
                 letters = letters.lower()
-            if (ids := known.get(letters)) is None:
-                ids = known[letters] = self._piece(lead + letters.encode().decode("latin-1").translate(_SHOWN))
+            if lined:
+                ids = self.line_feed + self._piece(letters.encode().decode("latin-1").translate(_SHOWN))
+            elif (ids := words.get(letters)) is None:
+                ids = words[letters] = self._piece(lead + letters.encode().decode("latin-1").translate(_SHOWN))
             if marks:
-                if (more := known.get(marks)) is None:
-                    more = known[marks] = self._piece(marks)
+                if (more := self.marks.get(marks)) is None:
+                    more = self._piece(marks)
+                    if len(marks) < 8:
+                        self.marks[marks] = more
                 ids += more
             words[w] = ids
-        if odd:
-            words.update(zip(odd, self.plain([" " + w for w in odd] if self.spaced else odd), strict=True))
+        if self.spaced:
+            for w in odd:
+                body = w.removeprefix("\n")
+                if not body or body[0] in WHITE or body[-1] in WHITE:
+                    return False
+            words.update(zip(odd, self.plain([w if w[0] == "\n" else " " + w for w in odd]), strict=True))
+        elif odd:
+            words.update(zip(odd, self.plain(odd), strict=True))
+        return True
 
     def _piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
-    def _known(self, words: list[str]) -> bytes:
+    def _known(self, words: list[str]) -> bytes | None:
         new = set(words).difference(self.words)
-        if new:
-            self._learn(list(new))
+        if new and not self._learn(list(new)):
+            return None
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:  # the cache was emptied for the new words
@@ -97,10 +116,11 @@ class Encoder:
         """ids of one whole text; a null text has none."""
         if not text:
             return b""
-        if self.spaced and not _UNEVEN.search(text) and text[0] != " " and text[-1] != " ":
-            head, *rest = text.split(" ")
-            return self.plain([head])[0] + (self._known(rest) if len(rest) <= self.limit // 4 else self.plain([" " + " ".join(rest)])[0])
-        if self.dropped:
+        if self.spaced and text[0] not in WHITE:
+            head, *rest = text.replace("\n", " \n").split(" ")
+            if len(rest) <= self.limit // 4 and (ids := self._known(rest)) is not None:
+                return self.plain([head])[0] + ids
+        elif self.dropped:
             words = text.replace("\n", " ").split(" ")
             if len(words) <= self.limit // 4:
                 return self._known(words)
