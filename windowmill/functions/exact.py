@@ -73,7 +73,7 @@ def change_bps_native(q0: Column, b0: Column, q1: Column, b1: Column) -> Column:
     first, last = F.try_multiply(wide(q0), wide(b1)), F.try_multiply(wide(q1), wide(b0))
     scaled = F.try_multiply(F.abs(last - first), F.lit(10000).cast("decimal(5,0)"))
     size = floor_div(scaled, first)
-    fits = (first < F.lit(10**33).cast(WIDE)) & (last < F.lit(10**33).cast(WIDE)) & (first > 0)
+    fits = (first < F.lit(str(10**33)).cast(WIDE)) & (last < F.lit(str(10**33)).cast(WIDE)) & (first > 0)
     return F.when(fits & (size <= F.lit(_I64).cast(WIDE)), F.when(last >= first, size).otherwise(-size)).cast("long")
 
 

@@ -1,9 +1,11 @@
 """Registered queries of the window-qualification engine and their SQL."""
 
+from windowmill.plans import flows, sql
+
 
 def queries() -> dict:
-    return {}
+    return dict(flows.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
