@@ -32,6 +32,10 @@ from windowmill.llm.shingles import mix, shingle_set
 
 SPARE = 3
 PART_NGRAMS = 300_000
+#: Sets that a task remembers as done.
+SEEN_SETS = 200_000
+#: Ids of candidates are broadcast up to so many (about 40 bytes each), and shuffled with the texts beyond.
+BROADCAST_IDS = 1_000_000
 
 
 class Threshold:
@@ -52,15 +56,25 @@ class Threshold:
         return top * (self.den - self.num) // self.num
 
 
-def _sets(size: int):
+def _sets(size: int, limit: Threshold):
+    """doc_id, n_shingles, mark of the set, node (its first 64 bits) and, once for each set and task, its keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, seen = np.empty(0, np.uint64), set()
         for batch in batches:
-            n, mark = [], []
+            n, mark, keys = [], [], []
             for text in batch["text"].to_pylist():
                 grams = shingle_set(text, size)
                 n.append(len(grams))
                 mark.append(blake2b(grams.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(mark, pa.binary())], ["doc_id", "n_shingles", "mark"])
+                keys.append(none if mark[-1] in seen else range_keys(grams, limit))
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(mark[-1])
+            node = np.frombuffer(b"".join(mark), "<i8")[::2]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *keys]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(node), listed], ["doc_id", "n_shingles", "mark", "node", "keys"])
 
     return run
 
@@ -84,20 +98,8 @@ def range_keys(grams: np.ndarray, limit: Threshold) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _keys(size: int, limit: Threshold):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for a in range(0, len(ids), 512):
-                keys = [range_keys(shingle_set(t, size), limit) for t in texts[a : a + 512]]
-                doc = np.repeat(np.array(ids[a : a + 512], np.int64), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(doc)], ["key", "doc_id"])
-
-    return run
-
-
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, doc_id) to edges to the first of each run.
+    """Sorted (key, node) to edges to the first of each run.
 
     A key may go on in the next partition: the first and the last run of each
     give their hub with the key, to be tied by key afterwards.
@@ -106,7 +108,7 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = True
     seen: set[tuple[int, int]] = set()
     for batch in batches:
-        key, doc = batch["key"].to_numpy(), batch["doc_id"].to_numpy()
+        key, doc = batch["key"].to_numpy(), batch["node"].to_numpy()
         if not len(key):
             continue
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -262,38 +264,39 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
     its distinct shingles of ``size`` words, of all its words if it has fewer. Two
     texts link when den * intersection >= num * union. A null or empty text, or one
     of white space, has an empty set and links with nothing. Rows of a null id
-    link with nothing either. Ids name documents: rows that repeat an id share
-    its component. Other columns are ignored.
+    link with nothing either. Ids name documents: a repeated id counts once for each
+    of its texts. Other columns are ignored.
+
+    Keys are given once for each set in a task, so that a group of copies that
+    holds much of the table costs as much as one text. The sets of candidates alone
+    are shuffled a second time, in blocks.
     """
     limit = Threshold(num, den)
     spark = docs.sparkSession
     n = common.partitions(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = common.materialize(own.mapInArrow(_sets(size), "doc_id long, n_shingles long, mark binary"), "ngram-sets")
+    marked = common.materialize(own.mapInArrow(_sets(size, limit), "doc_id long, n_shingles long, mark binary, node long, keys array<long>"), "ngram-sets")
     full = marked.filter("n_shingles > 0 and doc_id is not null")
-    classes = common.materialize(full.groupBy("mark").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    named = full.select("doc_id", "mark", F.col("n_shingles").alias("n")).filter(F.col("n") >= limit.tops[0])
-    rep_of = common.materialize(named.join(classes, "mark").select("doc_id", "rep", "n").dropDuplicates(["doc_id"]), "ngram-reps")
-
-    key_path = common.scratch_path(spark, "ngram-keys")
-    own.filter("doc_id is not null").mapInArrow(_keys(size, limit), "key long, doc_id long").write.parquet(key_path)
-    keys = spark.read.schema("key long, doc_id long").parquet(key_path)
-    ordered = keys.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    classes = common.materialize(full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.min("n_shingles").alias("n")), "ngram-classes")
+
+    keys = marked.select(F.explode("keys").alias("key"), "node")
+    ordered = keys.repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
     hubs = common.materialize(ordered.mapInArrow(_hubs, "key long, u long, v long"), "ngram-hubs")
-    common.discard(key_path)
     cut = hubs.filter("key is not null")
     over = cut.join(cut.groupBy("key").agg(F.min("u").alias("hub")), "key").select("u", F.col("hub").alias("v"))
     edges = hubs.filter("key is null").select("u", "v").unionByName(over).distinct()
-    for end in ("u", "v"):  # texts of one set are one node
-        edges = edges.join(rep_of.select(F.col("doc_id").alias(end), F.col("rep").alias(f"{end}_rep")), end)
-    cluster = components(edges, "u_rep", "v_rep").withColumnRenamed("id", "doc_id")
-    reps = rep_of.filter("doc_id = rep").select("doc_id", "n")
+    for end in ("u", "v"):  # two sets whose marks begin alike are both candidates
+        edges = edges.join(classes.select(F.col("node").alias(end), F.col("rep").alias(f"{end}_rep")), end)
+    cluster = common.materialize(components(edges, "u_rep", "v_rep").withColumnRenamed("id", "doc_id"), "ngram-clusters")
+    reps = classes.select(F.col("rep").alias("doc_id"), "n").dropDuplicates(["doc_id"])
 
     tops = F.array([F.lit(t) for t in limit.tops])
     gathered = cluster.join(reps, "doc_id").withColumn("level", F.size(F.filter(tops, lambda t: t < F.col("n"))))
     gathered = gathered.withColumnRenamed("component_id", "cluster").withColumn("level", F.explode(F.array(F.col("level"), F.col("level") - 1)))
     dealt = common.blocks(gathered, ["cluster", "level"], "doc_id", F.col("n"), PART_NGRAMS)
-    sets = own.join(cluster.withColumnRenamed("component_id", "cluster"), "doc_id").select("doc_id", "cluster", "text").mapInArrow(_raw_sets(size), "doc_id long, cluster long, grams binary")
+    members = cluster.withColumnRenamed("component_id", "cluster")
+    members = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+    sets = own.join(members, "doc_id").select("doc_id", "cluster", "text").mapInArrow(_raw_sets(size), "doc_id long, cluster long, grams binary")
     by = ["cluster", "level", "lo", "hi"]
     joined = dealt.select(*by, "own", "doc_id").join(sets.select("doc_id", "grams").dropDuplicates(["doc_id"]), "doc_id")
     joined = joined.select(*by, "own", "doc_id", "grams").repartition(n, *by).sortWithinPartitions(*by)
