@@ -102,10 +102,10 @@ def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk(s: Scene) -> DataFrame:
-    """Per market, the fold of the evidence of its views; none at all is unknown."""
+    """Per market, the fold of the evidence of all its views; none at all is unknown."""
     k = F.col("k") % 4
     state = F.when(k == 0, "AVAILABLE").when(k == 1, "MISSING").when(k == 2, "STALE").otherwise("INVALID")
-    seen = s.observations.filter("kind like 'LIQUIDITY%' and k % 16 < 4 and k >= 20").withColumn("decision", rules.evidence_rule(state))
+    seen = s.observations.filter("kind like 'LIQUIDITY%'").withColumn("decision", rules.evidence_rule(state))
     folded = seen.groupBy("mint").agg(rules.fold("decision").alias("decision"), F.count("*").alias("evidence"))
     out = s.observations.select("mint").distinct().join(folded, "mint", "left")
     return out.select("mint", F.coalesce("decision", F.lit("UNKNOWN")).alias("decision"), F.coalesce("evidence", F.lit(0)).alias("evidence"))
