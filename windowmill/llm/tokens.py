@@ -3,7 +3,8 @@
 ``Encoder`` gives exactly the ids of ``Tokenizer.encode_batch`` without special
 tokens. A text is cut where no token can cross (before a single space or line feed
 between two visible characters, or at a space where white space is dropped), so that
-each word is sent to the library once and later served from a bounded cache.
+each word is sent to the library once and later served from a bounded cache. A text
+that holds an added token such as <|endoftext|> goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added, self.added_normal = [t.content for t in added], [t.content.lower() for t in added if t.normalized]
         self.limit = cache_entries
         self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
@@ -116,6 +118,8 @@ class Encoder:
         """ids of one whole text; a null text has none."""
         if not text:
             return b""
+        if any(t in text for t in self.added) or (self.added_normal and any(t in text.lower() for t in self.added_normal)):
+            return self.plain([text])[0]
         if self.spaced and text[0] not in WHITE:
             head, *rest = text.replace("\n", " \n").split(" ")
             if len(rest) <= self.limit // 4 and (ids := self._known(rest)) is not None:
