@@ -1,15 +1,21 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by path joins.
 
-Lines that speak of a licence are statements. Their tokens are weighted by term
-frequency and by rarity over all statements, and compared with short templates
-by cosine. A file takes its best statement. A licence file, told by its name or by
-a text that is mostly statement, also covers its directory; files without a
-statement inherit from the nearest directory above them that is covered.
-DataFrame functions only.
+Every text is compared with short templates, whatever its lines: a template is laid
+on each token that it shares, and the window of as many tokens as the template has
+is weighted by term frequency and by rarity over all texts and compared by cosine.
+Line ends and comment marks are no tokens, so wrapped headers are seen, and prose
+before and after a statement is outside its window. A file takes its best
+statement. A licence file, told by its name or by a text that is mostly statement,
+also covers its directory; files without a statement inherit from the nearest
+directory above them that is covered. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +29,10 @@ TEMPLATES = [
     ("Apache-2.0", "You may not use this file except in compliance with the License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -38,23 +48,75 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense"),
 ]
-MARKER = r"(?i)licen[sc]e|copyright|spdx|redistribut|unencumbered"
 FILE_NAME = r"(?i)^(un)?(licen[sc]e|copying|notice)([._-].*)?$"
 COSINE = 0.35
 #: A text is a licence file if statements make up at least this share of its tokens.
 MOSTLY = 0.5
 
 
+_CUT = r"[^a-z0-9.]+|\.(?![0-9])"
+#: A place of a template is one number: the start, which may lie before the text, and the template.
+_BEFORE, _BASE = 1024, 64
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), _CUT), lambda t: t != "")
 
 
-def _vectors(statements: DataFrame, rarity: DataFrame) -> DataFrame:
-    """id, token, weight of unit length; a token outside the rarity table has weight 0."""
-    counts = statements.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    weighed = counts.join(rarity, "token", "left").select("id", "token", (F.col("tf") * F.coalesce("idf", F.lit(0.0))).alias("w"))
-    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norm, "id").filter("norm > 0").select("id", "token", (F.col("w") / F.col("norm")).alias("w"))
+class _Templates:
+    """The fixed list with its weights, as literals; everything here is bounded by that list.
+
+    ``places`` are the tokens on which a template is laid: all but its commonest,
+    which are left out as long as they alone can never reach the cosine. By the
+    inequality of Cauchy and Schwarz a window cannot pass the share of the
+    template's length that its tokens have, so nothing that could pass is lost.
+    """
+
+    def __init__(self, cosine: float):
+        self.words = [[t for t in re.split(_CUT, text.lower()) if t] for _, text in TEMPLATES]
+        self.known = sorted({t for w in self.words for t in w})
+        self.cosine = cosine
+
+    def weigh(self, total: int, df: dict[str, int]) -> None:
+        self.weights = [{t: n * _idf(total, df.get(t, 0)) for t, n in Counter(w).items()} for w in self.words]
+        self.floor = [(self.cosine - 1e-5) ** 2 * sum(x * x for x in w.values()) for w in self.weights]
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        for k, (words, weights) in enumerate(zip(self.words, self.weights, strict=True)):
+            left, common = 0.0, set()
+            for t in sorted(weights, key=lambda t: (weights[t], t)):
+                left += weights[t] ** 2
+                if left >= self.floor[k]:
+                    break
+                common.add(t)
+            for back, t in enumerate(words):
+                if t not in common:
+                    self.places.setdefault(t, []).append((k, back))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """template, token, v: vectors of unit length."""
+        rows = [(k, t, x / math.sqrt(sum(y * y for y in w.values()))) for k, w in enumerate(self.weights) for t, x in w.items()]
+        return spark.createDataFrame(rows, "template int, token string, v double")
+
+    def windows(self, words: Column) -> Column:
+        """array of (template, start, stop, said): the windows that may reach the cosine, each once."""
+        at = F.create_map(*[x for t, found in self.places.items() for x in (F.lit(t), F.array(*[F.lit((_BEFORE - back) * _BASE + k) for k, back in found]))])
+        sizes = F.array(*[F.lit(len(w)) for w in self.words])
+        floors = F.array(*[F.lit(x) for x in self.floor])
+        vectors = F.array(*[F.array(*[F.struct(F.lit(t).alias("token"), F.lit(x * x).alias("square")) for t, x in w.items()]) for w in self.weights])
+        hits = F.array_compact(F.transform(words, lambda t, i: F.when(t.isin(list(self.places)), i)))
+        codes = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(at, F.get(words, i)), lambda c: i * _BASE + c))))
+        start = lambda c: F.shiftright(c, 6) - _BEFORE
+        template = lambda c: c.bitwiseAND(_BASE - 1)
+        first = lambda c: F.greatest(F.lit(0), start(c))
+        stop = lambda c: F.least(F.size(words), start(c) + F.get(sizes, template(c)))
+        window = lambda c: F.slice(words, first(c) + 1, stop(c) - first(c))
+        held = lambda c: F.aggregate(F.get(vectors, template(c)), F.lit(0.0), lambda a, e: a + F.when(F.array_contains(window(c), e.token), e.square).otherwise(0.0))
+        near = F.filter(codes, lambda c: held(c) >= F.get(floors, template(c)))
+        return F.transform(near, lambda c: F.struct(template(c).alias("template"), first(c).alias("start"), stop(c).alias("stop"), F.array_join(window(c), " ").alias("said")))
+
+
+def _idf(total: int, df: int) -> float:
+    return math.log((1 + total) / (1 + df)) + 1
 
 
 def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: float = COSINE) -> DataFrame:
@@ -63,37 +125,38 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: fl
     found_by is statement, inherited or none. A null or empty text has no
     statement; a null path has no directory and inherits nothing. Of two licences
     of equal score the first by name counts, and of two licence files of one
-    directory that of the smallest path. Equal statements are scored once, so
-    that a line which millions of files repeat costs no more than one. Repeated
+    directory that of the smallest path. Equal windows are scored once, so that
+    a statement which millions of files repeat costs no more than one. Repeated
     rows stay as they are, one id has one result. Other columns are ignored.
     """
     spark = files.sparkSession
     own = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(MARKER))
-    marked = own.select("id", "path", lines.alias("lines"), F.size(tokens(F.col("text"))).alias("size")).filter(F.size("lines") > 0)
-    # the sentence with the marker, without the prose before it on its line
-    said = F.transform("lines", lambda s: F.trim(F.regexp_extract(s, r"((?:[^.!?\n]|\.(?=\S))*(?i:licen[sc]e|copyright|spdx|redistribut|unencumbered).*)", 1)))
-    marked = common.materialize(marked.select("id", "path", "size", said.alias("said")), "license-statements")
-
-    each = marked.select("id", F.explode("said").alias("said")).filter("said <> ''")
-    distinct = each.groupBy("said").agg(F.count("*").alias("files")).select("said", "files", tokens(F.col("said")).alias("tokens"))
-    total = distinct.agg(F.sum("files").alias("total"))
-    templates = template_table(spark)
-    named_only = templates.select(F.lit(0).cast("long").alias("files"), F.explode("tokens").alias("token"))  # a token that no file has is the rarest
-    often = distinct.select("files", F.explode(F.array_distinct("tokens")).alias("token")).unionByName(named_only).groupBy("token").agg(F.sum("files").alias("df"))
-    rarity = often.crossJoin(F.broadcast(total)).select("token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))  # a table of one row
-    named = _vectors(templates.select("id", "tokens"), rarity).join(templates.select("id", "license"), "id").select(F.col("id").alias("template"), "license", "token", F.col("w").alias("v"))
-    stated = _vectors(distinct.select(F.col("said").alias("id"), "tokens"), rarity)
-    near = stated.join(F.broadcast(named), "token").groupBy("id", "template", "license").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("score"))  # a fixed list
-    best = near.filter(F.col("score") >= cosine).groupBy("id").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("best"))
-    by_file = each.join(best.withColumnRenamed("id", "said"), "said").groupBy("id").agg(
-        F.min_by("best", F.struct(-F.col("best.score"), F.col("best.license"))).alias("best"), F.sum(F.size(tokens(F.col("said")))).alias("said_size")
-    )
+    words = own.select("id", "path", F.explode(F.array(tokens(F.col("text")))).alias("words")).filter(F.size("words") > 0)
+    rarity = common.materialize(words.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count("*").alias("df")), "license-rarity")
+    total = own.filter("text is not null").count()
+    fixed = _Templates(cosine)
+    fixed.weigh(total, {r.token: r.df for r in rarity.filter(F.col("token").isin(fixed.known)).collect()})  # tokens of a fixed list
+
+    found = words.select("id", "path", F.size("words").alias("size"), F.explode(fixed.windows(F.col("words"))).alias("w"))
+    marked = common.materialize(found.select("id", "path", "size", "w.*"), "license-statements")
+    counts = marked.select("template", "said").distinct().select("template", "said", F.explode(F.split("said", " ")).alias("token")).groupBy("template", "said", "token").agg(F.count("*").alias("tf"))
+    idf = F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1
+    weighed = counts.join(rarity, "token").select("template", "said", "token", (F.col("tf") * idf).alias("w"))
+    weighed = weighed.join(F.broadcast(fixed.table(spark)), ["template", "token"], "left")  # a fixed list
+    near = weighed.groupBy("template", "said").agg(F.round(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("score"))
+    license = F.get(F.array(*[F.lit(name) for name, _ in TEMPLATES]), F.col("template"))
+    near = near.filter(F.col("score") >= cosine).select("template", "said", license.alias("license"), "score")
+    spans = F.array_sort(F.collect_set(F.struct("start", "stop")))
+    said_size = F.aggregate(  # tokens in any statement
+        spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.stop - F.greatest(x.start, a.end))).alias("n"), F.greatest(a.end, x.stop).alias("end")), lambda a: a.n,
+    )
+    by_file = marked.join(near, ["template", "said"]).groupBy("id").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("best"), said_size.alias("said_size"))
     direct = common.materialize(by_file.select("id", "best.license", "best.score", "said_size"), "license-direct")
 
     parts = F.split("path", "/")
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
-    covers = marked.join(direct, "id").filter(F.element_at(parts, -1).rlike(FILE_NAME) | (F.col("said_size") >= MOSTLY * F.col("size"))).filter("path is not null")
+    covers = marked.select("id", "path", "size").distinct().join(direct, "id").filter(F.element_at(parts, -1).rlike(FILE_NAME) | (F.col("said_size") >= MOSTLY * F.col("size"))).filter("path is not null")
     covered = covers.groupBy(folder.alias("folder")).agg(F.min_by(F.struct("license", "score", "path"), "path").alias("cover"))
     placed = own.select("id", "path", folder.alias("folder"))
     folders = placed.select("folder").distinct().filter("folder is not null")
@@ -111,10 +174,6 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: fl
     )
 
 
-def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, text string").select(F.col("text").alias("id"), "license", tokens(F.col("text")).alias("tokens"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: licences of all documents, as files of a tree of sources, languages and hundreds of ids."""
     docs = common.table(spark, sf_dir, "documents")
