@@ -1,13 +1,16 @@
 """Main-text extraction from HTML by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Blocks inside navigation, headers
-outside an article, footers, sidebars, forms, scripts and the like, or inside
-elements whose class, id or role names an advert, notice, menu or comment list,
-are boilerplate from the start. The first pass classifies the others by stop-word
-density, length and link density as good, bad or undecided; short blocks stay
-undecided. In the second pass an undecided block takes the label of its nearest
-decided neighbours on its side of the article's bounds, the good one where they
-disagree; it is good if there are none.
+outside an article, footers, asides, forms, scripts and the like, hidden elements,
+or elements whose whole class or id is that of an advert, notice or comment list,
+are boilerplate from the start. Other names that hint at boilerplate, as one part
+of a class or id, are a feature only: they hold down to the next article or main
+element, and a long dense block overrules them. The first pass classifies blocks by
+stop-word density, length and link density as good, bad or undecided; short blocks
+stay undecided. In the second pass an undecided block takes the label of its nearest
+decided neighbours on its side of the article's bounds and in the same hinted
+element, the good one where they disagree; if there are none, it is good outside
+hinted elements and bad inside.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ BLOCKS = frozenset(
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|pagination|pager|footer|foot|masthead|toolbar|comments?|commentlist|disqus|respond|replies|reply|search|skip|copyright|legal|disclaimer)(?:$|[\s_-])"
 )
+#: Whole names that are boilerplate whatever they hold.
+EXACT = re.compile(
+    r"(?:ads?|advert|adverts|advertisements?|advertising|adsense|sponsor|sponsors|sponsored|notices?|gdpr|cookies?|(?:ads?|advert\w*|sponsor\w*|promo\w*)[_-](?:box|banner|block|slot|unit|container|wrapper)|(?:cookies?|gdpr|consent|privacy)[_-](?:notice|banner|bar|popup|consent|message)|comments?|comments?[_-](?:list|section|area|form)|commentlist|disqus|disqus[_-]thread)"
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 STOP_WORDS = frozenset(
     """a an and are as at be by for from had has have he her his in is it its not of on or she that the their there they this to was were which will with you
@@ -44,39 +51,43 @@ _WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, OPEN = 1, 0, None
 
 
-def _hidden(name: str, attributes: str, in_article: bool) -> bool:
+def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """(boilerplate whatever it holds, a name hints at boilerplate) of an element by itself."""
     if name in DROPPED or (name == "header" and not in_article):
-        return True
+        return True, False
     if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return False, False
     if name in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    hint = False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and HINTS.search(re.sub(r"[^a-z0-9\s_-]", " ", value)):
-            return True
+            return True, False
+        if key in ("class", "id"):
+            if any(EXACT.fullmatch(part) for part in value.split()):
+                return True, False
+            hint = hint or bool(HINTS.search(re.sub(r"[^a-z0-9\s_-]", " ", value)))
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False
+    return False, hint
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, boilerplate, in an article) of each block in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # name, boilerplate
+def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
+    """(text, characters in links, boilerplate, in an article, hinted element or 0) of each block in page order."""
+    out: list[tuple[str, int, bool, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, outermost hinted element since the last article
     text: list[str] = []
     linked = in_link = 0
-    articles, dark = 0, False
+    articles, dark, hinted, hints = 0, False, 0, 0
 
     def end() -> None:
         nonlocal linked
         joined = " ".join(unescape("".join(text)).split())
         if joined:
-            out.append((joined, min(linked, len(joined)), dark, articles > 0))
+            out.append((joined, min(linked, len(joined)), dark, articles > 0, hinted))
         text.clear()
         linked = 0
 
@@ -110,7 +121,7 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
                 continue  # a stray inline end tag closes no block
             articles -= sum(s[0] in ("article", "main") for s in stack[depth:])
             del stack[depth:]
-            dark = bool(stack) and stack[-1][1]
+            dark, hinted = stack[-1][1:] if stack else (False, 0)
             continue
         if name in ("br", "wbr"):
             text.append(" " if name == "br" else "")
@@ -131,27 +142,32 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
                 if stack[-1][0] == "a":
                     in_link = max(0, in_link - 1)
                 stack.pop()
-            dark = bool(stack) and stack[-1][1]
+            dark, hinted = stack[-1][1:] if stack else (False, 0)
         if name == "body":
             stack = [s for s in stack if s[0] not in ("head", "title")]
-            dark = bool(stack) and stack[-1][1]
-        hide = dark or _hidden(name, attributes, articles > 0)
-        if not block and hide and not dark:
+            dark, hinted = stack[-1][1:] if stack else (False, 0)
+        hide, hint = _judge(name, attributes, articles > 0)
+        hide, group = dark or hide, 0 if name in ("article", "main") else hinted
+        if hint and not group:
+            group = hints = hints + 1
+        if not block and (hide, group) != (dark, hinted):
             end()
-        dark = hide
+        dark, hinted = hide, group
         articles += name in ("article", "main")
-        stack.append((name, dark))
+        stack.append((name, dark, hinted))
     end()
     return out
 
 
-def first_pass(text: str, linked: int, hidden: bool) -> int | None:
+def first_pass(text: str, linked: int, hidden: bool, hinted: bool = False) -> int | None:
     if hidden or linked > LINKED * len(text):
         return BAD
     words = _WORD.findall(text.lower())
     density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(text) < SHORT:
+    if len(text) < SHORT or (hinted and len(text) < LONG):
         return OPEN
+    if hinted:
+        return GOOD if density >= GOOD_DENSITY else BAD
     if density >= GOOD_DENSITY or (density >= LOW_DENSITY and len(text) >= LONG):
         return GOOD
     return OPEN if words else BAD
@@ -160,18 +176,18 @@ def first_pass(text: str, linked: int, hidden: bool) -> int | None:
 def extract(html: str | None) -> str:
     """The article's blocks, white space collapsed, joined by an empty line."""
     found = blocks(html or "")
-    label = [first_pass(text, linked, hidden) for text, linked, hidden, _ in found]
-    #: Nearest decided blocks before and after, apart for blocks inside and outside an article.
+    label = [first_pass(text, linked, hidden, hinted > 0) for text, linked, hidden, _, hinted in found]
+    #: Nearest decided blocks before and after, apart for blocks inside and outside an article and for each hinted element.
     near: list[list[int]] = [[] for _ in found]
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):
-        last: dict[bool, int] = {}
+        last: dict[tuple[bool, int], int] = {}
         for i in order:
-            _, _, hidden, article = found[i]
-            if label[i] is OPEN and article in last:
-                near[i].append(label[last[article]])
+            _, _, hidden, *place = found[i]
+            if label[i] is OPEN and tuple(place) in last:
+                near[i].append(label[last[tuple(place)]])
             elif label[i] is not OPEN and not hidden:
-                last[article] = i
-    kept = [text for (text, *_), own, others in zip(found, label, near, strict=True) if (max(others, default=GOOD) if own is OPEN else own) == GOOD]
+                last[tuple(place)] = i
+    kept = [text for (text, *_, hinted), own, others in zip(found, label, near, strict=True) if (max(others, default=BAD if hinted else GOOD) if own is OPEN else own) == GOOD]
     return "\n\n".join(kept)
 
 
