@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named by spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a local folder is made.
+    Only where the setting is absent and Spark runs on one machine, as in tests, a
+    local folder is made; a cluster without the setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "windowmill-shared")
         os.makedirs(root, exist_ok=True)
         root = f"file://{root}"
@@ -33,12 +37,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Cut the lineage: write to the shared folder and read back; also the folder, for ``discard``."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    return stored(df, label)[0]
+
+
+def broadcast_if_small(df: DataFrame, rows_: int) -> DataFrame:
+    """A hint only where this very table has at most so many rows; it should be cheap to count."""
+    return F.broadcast(df) if df.limit(rows_ + 1).count() <= rows_ else df
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,12 +82,12 @@ def blocks(rows_: DataFrame, keys: list[str], item: str, weight, limit: int) ->
     Groups of one row go. A group whose weight passes the limit is split by a
     hash of the item; a row goes to each pair of parts (lo, hi) that holds its
     own, so that every two rows of a group meet in at least one pair and no pair
-    holds more than about two limits, however large the group.
+    holds more than about two limits, however large the group. The sizes are written
+    first, so that the join with them can split the rows of a large group.
     """
-    from pyspark.sql import functions as F
-
     sizes = rows_.groupBy(*keys).agg(F.count("*").alias("_rows"), F.sum(weight).alias("_weight")).filter("_rows > 1")
     sizes = sizes.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_weight") / limit)).cast("int").alias("_parts"))
+    sizes = materialize(sizes, "group-sizes")
     own = F.pmod(F.xxhash64(item), F.col("_parts")).cast("int")
     dealt = rows_.join(sizes, keys).withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     return dealt.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_other", "_parts")

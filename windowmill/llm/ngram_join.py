@@ -1,18 +1,20 @@
 """N-gram Jaccard join over prefix trees of globally ordered n-gram sets.
 
-1. Texts with equal sets form a class; its smallest id stands for it.
+The order of n-grams is that of their 64-bit hashes, the same in every task and run.
+
+1. Texts with equal sets form a class, named by a 128-bit digest of the set.
 2. Candidates: two sets at Jaccard 0.9 or more whose smaller one has at most u
-   n-grams differ in at most u // 9 of them. Cut the n-gram universe into more
-   than that many ranges of hashes: at least one range then holds the same
-   n-grams in both. Sets share a key for such a range. Sizes are in classes, and
-   a set gives keys for its own class and the one below, so that every pair that
-   can link meets in the class of its smaller set.
-3. Sets that share keys are gathered in groups of bounded parts, and each pair of
-   parts is joined by a prefix tree: sets, ordered by falling frequency, are
-   stored in a compressed trie; a probe walks it once, sharing the overlap of
-   common prefixes, and leaves a subtree when the n-grams missing so far, on
-   either side, exceed what the sizes below allow, or when all below it is
-   already in the probe's component.
+   n-grams differ in at most u // 9 of them. Cut the global order into more than
+   that many stretches: at least one of them then holds the same n-grams in both.
+   Sets share a key for such a stretch. Sizes are in levels, and a set gives keys
+   for its own level and the one below, so that every pair that can link meets in
+   the level of its smaller set. Sets that share keys of a level are connected to
+   a cluster of that level only, so that no chain runs through all sizes.
+3. A cluster is dealt to pairs of bounded parts, and each pair of parts is joined
+   by a prefix tree: ordered sets are stored in a compressed trie; a probe walks
+   it once, sharing the overlap of common prefixes, and leaves a subtree when the
+   n-grams missing so far, on either side, exceed what the remaining lengths allow,
+   or when all below it is already in the probe's component.
 4. Verified links are merged to components.
 """
 
@@ -35,7 +37,9 @@ PART_NGRAMS = 300_000
 #: Sets that a task remembers as done.
 SEEN_SETS = 200_000
 #: Ids of candidates are broadcast up to so many (about 40 bytes each), and shuffled with the texts beyond.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
+#: The low bits of a key are its level.
+LEVEL_BITS = 12
 
 
 class Threshold:
@@ -57,7 +61,7 @@ class Threshold:
 
 
 def _sets(size: int, limit: Threshold):
-    """doc_id, n_shingles, mark of the set, node (its first 64 bits) and, once for each set and task, its keys."""
+    """doc_id, text_key, n_shingles, mark of the set, node (its first 64 bits) and, once for each set and task, its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, seen = np.empty(0, np.uint64), set()
@@ -74,13 +78,15 @@ def _sets(size: int, limit: Threshold):
             node = np.frombuffer(b"".join(mark), "<i8")[::2]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *keys]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(node), listed], ["doc_id", "n_shingles", "mark", "node", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["text_key"], pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(node), listed], ["doc_id", "text_key", "n_shingles", "mark", "node", "keys"]
+            )
 
     return run
 
 
 def range_keys(grams: np.ndarray, limit: Threshold) -> np.ndarray:
-    """Keys of the ranges of a sorted set, for its size class and the one below."""
+    """Keys of the stretches of a sorted set, for its level and the one below."""
     if len(grams) < limit.tops[0]:
         return np.empty(0, np.uint64)
     own = int(np.searchsorted(limit.tops, len(grams)))
@@ -94,7 +100,8 @@ def range_keys(grams: np.ndarray, limit: Threshold) -> np.ndarray:
         if k - len(present) > SPARE:  # then an equal range may be an empty one
             missing = np.setdiff1d(np.arange(k, dtype=np.uint64), present)
             present, sums = np.concatenate([present, missing]), np.concatenate([sums, np.zeros(len(missing), np.uint64)])
-        out.append(mix(sums ^ mix(present + (np.uint64(c + 1) << np.uint64(40)))))
+        key = mix(sums ^ mix(present + (np.uint64(c + 1) << np.uint64(40))))
+        out.append(key << np.uint64(LEVEL_BITS) | np.uint64(c))
     return np.concatenate(out)
 
 
@@ -222,28 +229,26 @@ class PrefixTree:
 
 def _join(size: int, limit: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, lo, hi, own, doc, raw in common.grouped(batches, 4):
+        for _, lo, hi, own, doc, raw in common.grouped(batches, 3):
             if len(doc) < 2:
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in raw]
             lengths = np.array([len(s) for s in sets])
-            grams, rank, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            order = np.empty(len(grams), np.int64)
-            order[np.lexsort((grams, -often))] = np.arange(len(grams))
-            ranked = [np.sort(r) for r in np.split(order[rank], np.cumsum(lengths)[:-1])]
+            grams, rank = np.unique(np.concatenate(sets), return_inverse=True)
+            ranked = np.split(rank, np.cumsum(lengths)[:-1])  # each ascends, as its set does
             tree = PrefixTree(limit, len(grams))
             inner = lo[0] == hi[0]
-            for i in np.lexsort((doc, own)).tolist():
+            order = sorted(range(len(doc)), key=lambda i: (own[i], doc[i]))
+            for i in order:
                 item = tree.add(ranked[i])
                 if inner or own[i] == hi[0]:
                     tree.probe(item, ranked[i])
                 if inner or own[i] == lo[0]:
                     tree.store(item, ranked[i])
-            ids = doc[np.lexsort((doc, own))].astype(np.int64)
-            root = ids[[tree.find(k) for k in range(len(ids))]]
-            at = np.flatnonzero(root != ids)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(root[at])], ["u", "v"])
+            tied = [(doc[i], doc[order[root]]) for k, i in enumerate(order) if (root := tree.find(k)) != k]
+            if tied:
+                u, v = zip(*tied, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
     return run
 
@@ -251,62 +256,62 @@ def _join(size: int, limit: Threshold):
 def _raw_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = pa.array([shingle_set(t, size).tobytes() for t in batch["text"].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["cluster"], raw], ["doc_id", "cluster", "grams"])
+            raw = [shingle_set(t, size).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary())], ["mark", "grams"])
 
     return run
 
 
 def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """One row per input row: doc_id, n_shingles, component_id, text_key.
 
     Words stand between ASCII white space, A-Z lower-cased; the set of a text is
     its distinct shingles of ``size`` words, of all its words if it has fewer. Two
     texts link when den * intersection >= num * union. A null or empty text, or one
     of white space, has an empty set and links with nothing. Rows of a null id
-    link with nothing either. Ids name documents: a repeated id counts once for each
-    of its texts. Other columns are ignored.
+    link with nothing either. Where an id is repeated, each of its rows links by its
+    own text, and ``text_key`` (xxhash64 of the text) tells them apart; a row's
+    component_id is the smallest id of any row that it reaches. Other columns are
+    ignored.
 
     Keys are given once for each set in a task, so that a group of copies that
     holds much of the table costs as much as one text. The sets of candidates alone
     are shuffled a second time, in blocks.
     """
     limit = Threshold(num, den)
-    spark = docs.sparkSession
-    n = common.partitions(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = common.materialize(own.mapInArrow(_sets(size, limit), "doc_id long, n_shingles long, mark binary, node long, keys array<long>"), "ngram-sets")
+    n = common.partitions(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    marked = common.materialize(own.mapInArrow(_sets(size, limit), "doc_id long, text_key long, n_shingles long, mark binary, node long, keys array<long>"), "ngram-sets")
     full = marked.filter("n_shingles > 0 and doc_id is not null")
     classes = common.materialize(full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.min("n_shingles").alias("n")), "ngram-classes")
 
-    keys = marked.select(F.explode("keys").alias("key"), "node")
+    vertex = lambda level: F.xxhash64(F.col("node"), level.cast("int"))
+    keys = marked.select(F.explode("keys").alias("key"), "node").select("key", vertex(F.col("key").bitwiseAND((1 << LEVEL_BITS) - 1)).alias("node"))
     ordered = keys.repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
     hubs = common.materialize(ordered.mapInArrow(_hubs, "key long, u long, v long"), "ngram-hubs")
     cut = hubs.filter("key is not null")
     over = cut.join(cut.groupBy("key").agg(F.min("u").alias("hub")), "key").select("u", F.col("hub").alias("v"))
-    edges = hubs.filter("key is null").select("u", "v").unionByName(over).distinct()
-    for end in ("u", "v"):  # two sets whose marks begin alike are both candidates
-        edges = edges.join(classes.select(F.col("node").alias(end), F.col("rep").alias(f"{end}_rep")), end)
-    cluster = common.materialize(components(edges, "u_rep", "v_rep").withColumnRenamed("id", "doc_id"), "ngram-clusters")
-    reps = classes.select(F.col("rep").alias("doc_id"), "n").dropDuplicates(["doc_id"])
+    edges = hubs.filter("key is null").select("u", "v").unionByName(over)
+    cluster = components(edges, "u", "v").select(F.col("id").alias("vertex"), F.col("component_id").alias("cluster"))
 
     tops = F.array([F.lit(t) for t in limit.tops])
-    gathered = cluster.join(reps, "doc_id").withColumn("level", F.size(F.filter(tops, lambda t: t < F.col("n"))))
-    gathered = gathered.withColumnRenamed("component_id", "cluster").withColumn("level", F.explode(F.array(F.col("level"), F.col("level") - 1)))
-    dealt = common.blocks(gathered, ["cluster", "level"], "doc_id", F.col("n"), PART_NGRAMS)
-    members = cluster.withColumnRenamed("component_id", "cluster")
-    members = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    sets = own.join(members, "doc_id").select("doc_id", "cluster", "text").mapInArrow(_raw_sets(size), "doc_id long, cluster long, grams binary")
-    by = ["cluster", "level", "lo", "hi"]
-    joined = dealt.select(*by, "own", "doc_id").join(sets.select("doc_id", "grams").dropDuplicates(["doc_id"]), "doc_id")
-    joined = joined.select(*by, "own", "doc_id", "grams").repartition(n, *by).sortWithinPartitions(*by)
-    links = joined.mapInArrow(_join(size, limit), "u long, v long")
-    merged = components(links, "u", "v").withColumnRenamed("id", "rep")
-
-    member = classes.join(merged, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("mark"))
-    out = marked.withColumn("mark", linked).join(member, "mark", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    level = F.size(F.filter(tops, lambda t: t < F.col("n")))
+    levels = classes.withColumn("level", F.explode(F.array_distinct(F.array(level, F.greatest(level - 1, F.lit(0))))))
+    gathered = common.materialize(levels.select("mark", "rep", "n", vertex(F.col("level")).alias("vertex")).join(cluster, "vertex").drop("vertex"), "ngram-clusters")
+    dealt = common.blocks(gathered.drop("rep"), ["cluster"], "mark", F.col("n"), PART_NGRAMS)
+    wanted = common.broadcast_if_small(gathered.select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_IDS)
+    sets = own.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_raw_sets(size), "mark binary, grams binary").dropDuplicates(["mark"])
+    by = ["cluster", "lo", "hi"]
+    joined = dealt.select(*by, "own", "mark").join(sets, "mark").select(*by, "own", "mark", "grams")
+    links = joined.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_join(size, limit), "u binary, v binary")
+    merged = components(links, "u", "v").select(F.col("id").alias("mark"), F.col("component_id").alias("root"))
+
+    linked = common.materialize(classes.join(merged, "mark").select("mark", "root", "rep"), "ngram-linked")
+    lowest = linked.groupBy("root").agg(F.min("rep").alias("lowest"))
+    member = classes.select("mark", "rep").join(linked.join(lowest, "root").select("mark", "lowest"), "mark", "left").select("mark", F.coalesce("lowest", "rep").alias("component_id"))
+    usable = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("mark"))
+    out = marked.withColumn("mark", usable).join(member, "mark", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
