@@ -1,13 +1,16 @@
 """Near-duplicate vectors: random-hyperplane tables, exact cosine, components.
 
-Each of 30 tables hashes a vector to the signs of 14 random hyperplanes. Two
-vectors at cosine 0.95 agree in one table with probability 0.226, so that a pair
-at the threshold is missed by all tables with probability 0.0005, and closer
-pairs less often. Vectors that meet in a bucket are compared exactly.
+Each table hashes a vector to the signs of random hyperplanes. Two vectors at the
+threshold agree in one sign with probability 1 - angle / pi. The number of signs of
+a table follows from the number of vectors, so that unlike vectors rarely share a
+bucket however many there are, and the number of tables follows from that, so that
+all of them miss a pair at the threshold with probability 0.0005, and closer pairs
+less often. Vectors that meet in a bucket are compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +21,18 @@ from pyspark.sql import functions as F
 from windowmill.llm import common
 from windowmill.llm.components import components
 
-TABLES, BITS, SEED = 30, 14, 20240229
+SEED, MISSED = 20240229, 0.0005
+#: Signs of a table at least and at most.
+LEAST_BITS, MOST_BITS = 8, 40
 BLOCK = 1024
 _STRIP = 256
 
 
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED + dim).standard_normal((dim, TABLES * BITS))
+def tables(n: int, threshold: float, missed: float = MISSED) -> tuple[int, int]:
+    """(tables, signs of each) for n vectors: a bucket holds about one unlike vector."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, n)))))
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(missed) / math.log1p(-agree)), bits
 
 
 def _unit(raw: list[bytes] | np.ndarray, dim: int) -> np.ndarray:
@@ -33,31 +41,38 @@ def _unit(raw: list[bytes] | np.ndarray, dim: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, dim, vector to rep, dim, codes of all tables."""
-    weights, planes = 1 << np.arange(BITS), {}
-    for batch in batches:
-        dims = batch["dim"].to_numpy()
-        for dim in np.unique(dims).tolist():
-            part = batch.filter(pa.array(dims == dim))
-            if dim not in planes:
-                planes[dim] = _planes(dim)
-            vector = np.array(part["vector"].flatten().to_numpy(), "<f8").tobytes()
-            signs = _unit([vector], dim) @ planes[dim] > 0
-            codes = (signs.reshape(-1, TABLES, BITS) * weights).sum(axis=2).astype("<u2")
-            raw = [vector[i : i + 8 * dim] for i in range(0, len(vector), 8 * dim)]
-            yield pa.RecordBatch.from_arrays([part["rep"], part["dim"], part["copies"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(raw, pa.binary()), pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["rep", "dim", "copies", "codes", "raw", "code"])
+def _codes(count: int, bits: int):
+    """cls, dim, copies, vector to these with the codes of all tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, planes = 1 << np.arange(bits, dtype=np.int64), {}
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng(SEED + dim).standard_normal((dim, count * bits))
+                vector = np.array(part["vector"].flatten().to_numpy(), "<f8").tobytes()
+                signs = _unit([vector], dim) @ planes[dim] > 0
+                codes = (signs.reshape(-1, count, bits) * weights).sum(axis=2)
+                raw = [vector[i : i + 8 * dim] for i in range(0, len(vector), 8 * dim)]
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, count, dtype=np.int32)), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [part["cls"], part["dim"], part["copies"], pa.array([c.astype("<i8").tobytes() for c in codes], pa.binary()), pa.array(raw, pa.binary()), listed], ["cls", "dim", "copies", "codes", "raw", "code"]
+                )
+
+    return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
-        for table, _, dim, lo, hi, own, rep, copies, codes, raw in common.grouped(batches, 5):
+        for table, _, dim, lo, hi, own, cls, copies, codes, raw in common.grouped(batches, 5):
             t, d = int(table[0]), int(dim[0])
-            unit, code = _unit(raw, d), np.frombuffer(b"".join(codes), "<u2").reshape(-1, TABLES)[:, :t]
+            unit, code = _unit(raw, d), np.frombuffer(b"".join(codes), "<i8").reshape(-1, count)[:, :t]
             left = np.flatnonzero(own == lo[0])
             right = left if lo[0] == hi[0] else np.flatnonzero(own == hi[0])
-            links, root = np.zeros(len(rep), np.int64), rep.astype(np.int64).copy()
+            links, root = np.zeros(len(cls), np.int64), cls.astype(np.int64).copy()
             pairs = []
             for a in range(0, len(left), _STRIP):
                 i, j = np.nonzero(unit[left[a : a + _STRIP]] @ unit[right].T >= threshold)
@@ -81,8 +96,8 @@ def _compare(threshold: float):
                     break
                 np.minimum.at(root, i, low)
                 np.minimum.at(root, j, low)
-            at = np.flatnonzero((links > 0) | (root != rep))
-            out.append(np.stack([rep[at].astype(np.int64), root[at], links[at]]))
+            at = np.flatnonzero((links > 0) | (root != cls))
+            out.append(np.stack([cls[at].astype(np.int64), root[at], links[at]]))
             if sum(x.shape[1] for x in out) >= 8192:
                 yield _links(out)
                 out = []
@@ -93,21 +108,23 @@ def _compare(threshold: float):
 
 
 def _links(out: list[np.ndarray]) -> pa.RecordBatch:
-    rep, root, links = np.concatenate(out, axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(root), pa.array(links)], ["rep", "root", "links"])
+    cls, root, links = np.concatenate(out, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(root), pa.array(links)], ["cls", "root", "links"])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    Exact copies of a vector form one class with a count, so that they are never
-    paired among themselves. Buckets are split into pairs of bounded blocks. A
-    block adds up the links of each vector and gives one edge to the smallest id
-    that it reaches there: its output grows with the rows, not the pairs.
+    Exact copies of a vector form one class with a count and a number of its own, so
+    that they are never paired among themselves. Buckets are split into pairs of
+    bounded blocks. A block adds up the links of each class and gives one edge to the
+    smallest class that it reaches there: its output grows with the rows, not the pairs.
 
     A vector that is null, empty, zero or has null or non-finite components, and
     a row of a null id, links with nothing: n_links 0, its own component, kept.
-    Vectors of different dimension don't link. Other columns are ignored.
+    Vectors of different dimension don't link. Where an id is repeated, each of its
+    rows links by its own vector; component_id is the smallest id of any row that a
+    row reaches. Other columns are ignored; an empty table gives no row.
     """
     numbers = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), numbers.alias("vector"))
@@ -117,20 +134,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         {"key_a": F.when(F.col("valid"), F.xxhash64("vector")), "key_b": F.when(F.col("valid"), F.xxhash64(F.lit(7), "vector"))}
     )
     classes = keyed.filter("valid").groupBy("key_a", "key_b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    classes = common.materialize(classes.withColumn("dim", F.size("vector")), "vector-classes")
-    coded = classes.select("rep", "dim", "copies", "vector").mapInArrow(_codes, "rep long, dim int, copies long, codes binary, raw binary, code array<int>")
+    classes = common.materialize(classes.withColumns({"dim": F.size("vector"), "cls": F.monotonically_increasing_id()}), "vector-classes")
+    count, bits = tables(classes.count(), threshold)
+    coded = classes.select("cls", "dim", "copies", "vector").mapInArrow(_codes(count, bits), "cls long, dim int, copies long, codes binary, raw binary, code array<long>")
     coded = common.materialize(coded, "vector-codes")
-    rows = coded.select("rep", "dim", F.posexplode("code").alias("table", "bucket"))
-    dealt = common.blocks(rows, ["table", "bucket", "dim"], "rep", F.lit(1), BLOCK)
-    full = dealt.join(coded.select("rep", "copies", "codes", "raw"), "rep")
+    rows = coded.select("cls", "dim", F.posexplode("code").alias("table", "bucket"))
+    dealt = common.blocks(rows, ["table", "bucket", "dim"], "cls", F.lit(1), BLOCK)
+    full = dealt.join(coded.select("cls", "copies", "codes", "raw"), "cls")
     keys = ["table", "bucket", "dim", "lo", "hi"]
     n = common.partitions(vectors.sparkSession)
-    full = full.select(*keys, "own", "rep", "copies", "codes", "raw").repartition(n, *keys).sortWithinPartitions(*keys)
-    found = common.materialize(full.mapInArrow(_compare(threshold), "rep long, root long, links long"), "vector-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    member = components(found, "rep", "root").withColumnRenamed("id", "rep")
-    by_class = classes.select("key_a", "key_b", "rep", "copies").join(links, "rep", "left").join(member, "rep", "left")
-    by_class = by_class.select("key_a", "key_b", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    full = full.select(*keys, "own", "cls", "copies", "codes", "raw").repartition(n, *keys).sortWithinPartitions(*keys)
+    found = common.materialize(full.mapInArrow(_compare(threshold, count), "cls long, root long, links long"), "vector-links")
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    member = components(found, "cls", "root").select(F.col("id").alias("cls"), F.col("component_id").alias("root"))
+    member = common.materialize(classes.select("cls", "rep").join(member, "cls").select("cls", "root", "rep"), "vector-members")
+    member = member.join(member.groupBy("root").agg(F.min("rep").alias("lowest")), "root").select("cls", "lowest")
+    by_class = classes.select("key_a", "key_b", "cls", "rep", "copies").join(links, "cls", "left").join(member, "cls", "left")
+    by_class = by_class.select("key_a", "key_b", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("lowest", "rep").alias("component_id"))
     out = keyed.select("vec_id", "key_a", "key_b").join(by_class, ["key_a", "key_b"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
