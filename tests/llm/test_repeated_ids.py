@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from windowmill.llm import near_vectors, ngram_join
+from windowmill.llm import decontaminate, near_vectors, ngram_join
 
 WORDS = [f"w{k}" for k in range(60)]
 A, A2, B = " ".join(WORDS), " ".join([*WORDS[:59], "other"]), " ".join(f"v{k}" for k in range(40))
@@ -44,3 +44,13 @@ def test_tables_follow_the_number_of_vectors():
     assert [bits for _, bits in seen] == [8, 10, 20, 30]
     for count, bits in seen:
         assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** count <= near_vectors.MISSED
+
+
+def test_decontamination_judges_each_text_of_an_id(spark):
+    item = [f"t{k}" for k in range(13)]
+    docs = [(5, " ".join(item)), (5, " ".join(f"z{k}" for k in range(40))), (6, None), (5, None), (None, " ".join(item)), (7, "filler " * 60_000 + " ".join(item)), (7, "filler " * 60_000 + " ".join(item))]
+    odd = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("hash", "at", "start", "window", "n", "places", "item_id", "text_key")})
+    found = decontaminate.contamination(odd, spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found) == [
+        (0, 13, 0, 0, False), (5, 0, 0, 0, False), (5, 13, 13, 2, True), (5, 40, 0, 0, False), (6, 0, 0, 0, False), (7, 60_013, 13, 2, False), (7, 60_013, 13, 2, False),
+    ]

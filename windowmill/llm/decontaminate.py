@@ -2,18 +2,17 @@
 
 1. Items are cut into windows of 13 consecutive words; a shorter item is one
    window. The tokens of a window are its shingles of three words.
-2. One pass over the documents keeps the places of shingles that items hold.
-3. Shingles are ordered by their number of places. A window must be whole in a
-   document to count, so its necessary prefix is its single rarest shingle: only
-   that is joined, which gives the place where the window would have to start.
-4. Length and positional bounds drop places where the window does not fit.
-5. The words at what remains are compared with the window's words.
+2. Shingles are ordered by rarity: a first pass counts how often the documents hold
+   each shingle of an item, adding up before the shuffle.
+3. A window must be whole in a document to count, so its necessary prefix is its
+   single rarest shingle. A second pass joins only prefix shingles, which gives the
+   places where a window would have to start.
+4. Length and positional bounds drop places where no window fits.
+5. The item-sized runs of words at what remains are compared with the windows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ from windowmill.llm import common
 
 WINDOW = 13
 GRAM = 3
-#: Benchmark shingles are broadcast up to so many rows (about 32 bytes each), and shuffled beyond.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast up to so many rows of its own (32 to 300 bytes each), and shuffled beyond.
+BROADCAST_ROWS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,10 +37,6 @@ def _grams(words_: Column, size: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.lit(size), *(F.get(words_, i + k) for k in range(size))))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """item_id, gram (shingle size), window (words): each distinct window of an item."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("words")).filter("item_id is not null and size(words) > 0")
@@ -53,41 +48,45 @@ def windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> Dat
 def contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key.
 
     A document is contaminated if words inside windows make up at least one in
     ``share``. A null or empty text has no words. Items of a null id, or without
-    words, match nothing; repeated items count once. Ids name documents; a null
-    doc_id has no hits. Other columns are ignored.
+    words, match nothing; repeated items count once. Where an id is repeated, each row
+    is judged by its own text, and ``text_key`` (xxhash64 of the text) tells them
+    apart; a null doc_id has no hits. Other columns are ignored. Either table may be
+    empty.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    row = ["doc_id", "text_key"]
     listed = common.materialize(windows(benchmark, width, item_col, item_text_col), "benchmark-windows")
-    cut = listed.select("window", "gram").distinct().withColumn("w", F.xxhash64("window"))
-    sizes = [r.gram for r in cut.select("gram").distinct().collect()]  # at most GRAM values
+    cut = common.materialize(listed.select("window", "gram").distinct().withColumn("n", F.size("window")), "benchmark-distinct")
     by_size = F.array([F.struct(F.lit(g).alias("gram"), _grams(F.col("window"), g).alias("hashes")) for g in range(1, GRAM + 1)])
-    tokens = cut.select("w", "window", F.posexplode(F.filter(by_size, lambda s: s.gram == F.col("gram"))[0].hashes).alias("offset", "hash"))
-    known = tokens.select("hash").distinct()
-    n_known = known.count()
+    tokens = cut.select("window", "n", F.posexplode(F.filter(by_size, lambda s: s.gram == F.col("gram"))[0].hashes).alias("offset", "hash"))
+    tokens = common.materialize(tokens, "benchmark-tokens")
+    sizes = sorted(r.gram for r in cut.select("gram").distinct().collect())  # at most GRAM values
 
     texts = own.filter("doc_id is not null and text is not null")
-    split = texts.select("doc_id", words(F.col("text")).alias("words"))
-    placed = [split.select("doc_id", F.posexplode(_grams(F.col("words"), g)).alias("at", "hash")) for g in sizes]
-    placed = reduce(DataFrame.unionByName, placed, spark.createDataFrame([], "doc_id long, at int, hash long"))
-    hits = common.materialize(placed.join(_small(known, n_known), "hash"), "benchmark-places")
-
-    often = hits.groupBy("hash").agg(F.count("*").alias("places"))
-    ranked = tokens.join(often, "hash")  # a window of which a shingle is nowhere cannot be whole
-    rarest = ranked.groupBy("w", "window").agg(F.count("*").alias("found"), F.min_by(F.struct("hash", "offset"), F.struct("places", "hash", "offset")).alias("t"))
-    prefix = rarest.filter(F.col("found") == F.size("window") - F.least(F.lit(GRAM), F.size("window")) + 1).select("w", F.size("window").alias("n"), "t.hash", "t.offset")
-    candidates = hits.join(_small(prefix, n_known), "hash").select("doc_id", (F.col("at") - F.col("offset")).alias("start"), "w", "n").filter("start >= 0").distinct()
-    by_doc = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("start", "w", "n")).alias("candidates"))
-
-    again = texts.join(by_doc, "doc_id").select("doc_id", words(F.col("text")).alias("words"), "candidates")
-    fits = F.filter("candidates", lambda c: c.start + c.n <= F.size("words"))
-    found = again.withColumn("c", F.explode(fits)).select("doc_id", "c.start", "c.w", F.slice("words", F.col("c.start") + 1, F.col("c.n")).alias("window"))
-    whole = found.join(_small(cut.select("w", "window"), n_known), ["w", "window"]).select("doc_id", "start", F.size("window").alias("n"), "w", "window")
-    whole = common.materialize(whole, "benchmark-hits")
+    split = texts.select(*row, words(F.col("text")).alias("words"))
+    hashes = F.concat(*(_grams(F.col("words"), g) for g in sizes)) if sizes else F.array().cast("array<bigint>")
+    known = common.broadcast_if_small(common.materialize(tokens.select("hash").distinct(), "benchmark-known"), BROADCAST_ROWS)
+    often = split.select(F.explode(hashes).alias("hash")).join(known, "hash").groupBy("hash").agg(F.count("*").alias("places"))
+    ranked = tokens.join(common.materialize(often, "benchmark-rarity"), "hash")  # a window of which a shingle is nowhere cannot be whole
+    rarest = ranked.groupBy("window", "n").agg(F.count("*").alias("found"), F.min_by(F.struct("hash", "offset"), F.struct("places", "hash", "offset")).alias("t"))
+    whole_size = F.col("n") - F.least(F.lit(GRAM), F.col("n")) + 1
+    prefix = common.materialize(rarest.filter(F.col("found") == whole_size).select("t.hash", "t.offset", "n").distinct(), "benchmark-prefix")
+    prefix = common.broadcast_if_small(prefix, BROADCAST_ROWS)
+
+    placed = F.concat(*(F.transform(_grams(F.col("words"), g), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))) for g in sizes)) if sizes else F.array().cast("array<struct<at:int,hash:bigint>>")
+    places = split.select(*row, F.size("words").alias("size"), F.explode(placed).alias("p")).select(*row, "size", "p.at", "p.hash")
+    candidates = places.join(prefix, "hash").select(*row, (F.col("at") - F.col("offset")).alias("start"), "n", "size").filter("start >= 0 and start + n <= size").drop("size")
+    by_doc = candidates.groupBy(*row).agg(F.collect_set(F.struct("start", "n")).alias("candidates"))
+    by_doc = common.broadcast_if_small(common.materialize(by_doc, "benchmark-candidates"), BROADCAST_ROWS)
+
+    again = texts.join(by_doc, row).select(*row, words(F.col("text")).alias("words"), "candidates")
+    found = again.select(*row, F.explode(F.transform("candidates", lambda c: F.struct(c.start.alias("start"), F.slice("words", c.start + 1, c.n).alias("window")))).alias("c"))
+    whole = found.select(*row, "c.start", "c.window").join(common.broadcast_if_small(cut.select("window", "n"), BROADCAST_ROWS), "window")
+    whole = common.materialize(whole.distinct(), "benchmark-hits")
 
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))),
@@ -95,21 +94,23 @@ def contamination(
         lambda acc, x: F.struct(F.greatest(acc.reach, x.end).alias("reach"), (acc.hit + F.greatest(F.lit(0), x.end - F.greatest(x.start, acc.reach))).alias("hit")),
         lambda acc: acc.hit,
     )
-    hit = whole.groupBy("doc_id").agg(covered.alias("n_hit"))
-    pairs = whole.select("doc_id", "w", "window").distinct().join(_small(listed.select("window", "item_id"), n_known), "window").select("doc_id", "item_id")
-    held = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    counted = own.select("doc_id", F.coalesce(F.size(words(F.col("text"))).cast("long"), F.lit(0).cast("long")).alias("n_words"))
-    out = counted.join(hit, "doc_id", "left").join(held, "doc_id", "left")
+    hit = whole.groupBy(*row).agg(covered.alias("n_hit"))
+    pairs = whole.select(*row, "window").distinct().join(common.broadcast_if_small(listed.select("window", "item_id"), BROADCAST_ROWS), "window").select(*row, "item_id")
+    held = pairs.groupBy(*row).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    counted = own.select(*row, F.coalesce(F.size(words(F.col("text"))).cast("long"), F.lit(0).cast("long")).alias("n_words"))
+    judged = common.broadcast_if_small(common.materialize(hit.join(held, row), "benchmark-judged"), BROADCAST_ROWS)
+    out = counted.join(judged, row, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated")
-    )
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "text_key",
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: all documents against all benchmark items."""
-    return contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 SQL = r"""
