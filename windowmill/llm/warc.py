@@ -1,9 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are ordered by id across range partitions. A task writes its records as
-gzip members and starts a new file when the compressed size passes a bound, so
-that the same table always gives the same bytes. Each file is written under a
-temporary name and renamed to a name that holds its digest; the manifest, a
+Shards are ranges of ids of about equal weight. Their bounds are quantiles of the
+ids whose hash is small, so that they depend on the table alone, not on how Spark
+deals its rows out. A task sorts the records of its shards, writes them as gzip
+members and starts a new file with each shard, and when the compressed size passes a
+bound, so that the same table always gives the same bytes. Each file is written under
+a temporary name and renamed to a name that holds its digest; the manifest, a
 Parquet table, names the files that count, so that a repeated task or a lost
 executor leaves nothing double. Records with equal payloads are stored once:
 that with the largest id is the response, the others are revisits to it.
@@ -18,12 +20,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windowmill.llm import common
 
 ROLL_BYTES = 64 << 20
+#: Weight of a shard (bytes of html, and of overhead for each row), and bounds of the number of shards.
+SHARD_BYTES, ROW_BYTES, LEAST_SHARDS, MOST_SHARDS = 256 << 20, 512, 32, 16_384
+#: Bounds are found from about so many distinct ids, four for each shard at least.
+SAMPLE_IDS = 65_536
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"  # fixed, so that the bytes depend on the table alone
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,14 +57,14 @@ def _member(head: list[tuple[str, object]], block: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def _record(key: object, url: str | None, payload: bytes, digest: str, refers: object) -> bytes:
-    """One record with headers made anew from the row."""
+def _record(key: object, url: str | None, payload: bytes, digest: str, refers: object, copy: int) -> bytes:
+    """One record with headers made anew from the row; ``copy`` numbers rows of the same id and payload."""
     name = "" if key is None else str(key)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers is not None else http + payload
     head = [
         ("WARC-Type", "response" if refers is None else "revisit"),
-        ("WARC-Record-ID", _record_id("record", name)),
+        ("WARC-Record-ID", _record_id("record", f"{name}:{digest}:{copy}")),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _clean(url)),
         ("WARC-Source-Key", name),
@@ -65,47 +72,72 @@ def _record(key: object, url: str | None, payload: bytes, digest: str, refers: o
         ("WARC-Payload-Digest", f"sha1:{digest}"),
     ]
     if refers is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id("record", str(refers))), ("WARC-Refers-To-Key", refers)]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id("record", f"{refers}:{digest}:0")), ("WARC-Refers-To-Key", refers)]
     return _member([*head, ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def plan(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """page_id, refers_to: the revisits of a table.
+def plan(marked: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """id, digest, refers: the revisits among rows of id, digest and n (bytes of the payload).
 
-    Payloads are compared by their digest. The largest id of a digest is found by
-    an aggregate that combines before it shuffles, and joined back by a join that
-    splits a hot digest. Rows that repeat the largest id are responses as well; a
-    null id is always a response.
+    The largest id of a digest is found by an aggregate that combines before it
+    shuffles, and joined back by a join that splits a hot digest. Rows that repeat
+    both the id and the payload of a response are responses as well; a null id is
+    always a response.
     """
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    marked = pages.select(F.col(id_col).alias("page_id"), F.sha1(payload).alias("digest"), F.length(payload).alias("n"))
-    marked = marked.filter((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).drop("n")
-    first = marked.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).filter("copies > 1")
-    return marked.join(first.drop("copies"), "digest").filter("page_id <> response").select("page_id", F.col("response").alias("refers_to")).distinct()
+    usable = marked.filter((F.col("n") >= least_bytes) & F.col("id").isNotNull()).select("id", "digest")
+    first = usable.groupBy("digest").agg(F.max("id").alias("refers"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    return usable.join(common.materialize(first, "warc-responses"), "digest").filter("id <> refers").distinct()
+
+
+def bounds(marked: DataFrame) -> list[float]:
+    """Inner bounds of the shards, ascending: weighted quantiles of the ids of small hash.
+
+    At most a few times ``SAMPLE_IDS`` distinct ids reach the driver, however many
+    rows repeat one of them.
+    """
+    weight = F.col("n") + ROW_BYTES
+    total, rows = marked.agg(F.sum(weight), F.count("*")).first()
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, -(-(total or 0) // SHARD_BYTES)))
+    one_in = max(1, (rows or 0) // max(SAMPLE_IDS, 4 * shards))
+    seen = marked.filter(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)).groupBy("id").agg(F.sum(weight).alias("w")).collect()
+    seen = sorted((float(r.id), r.w) for r in seen)
+    every, out, passed = sum(w for _, w in seen) / shards, [], 0
+    for key, w in seen:
+        if passed >= every * (len(out) + 1) and (not out or key > out[-1]):
+            out.append(key)
+        passed += w
+    return out
 
 
 def write(pages: DataFrame, target: str, roll_bytes: int = ROLL_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write a record per row; return the manifest.
 
-    A null html is an empty payload and a null url an empty one. Rows that repeat
-    an id with different html are told apart by their payload only when one of
-    them repeats another id's. An empty table gives no file.
+    Ids are whole numbers. A null html is an empty payload and a null url an empty
+    one. Where an id is repeated, each row is stored or revisits by its own payload.
+    Rows of a null id come first. Other columns are ignored; an empty table gives no file.
     """
     spark = pages.sparkSession
     n = common.partitions(spark)
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    revisits = common.materialize(plan(pages, id_col, html_col, least_bytes), "warc-revisits")
-    kind = own.schema["id"].dataType
-    empty = F.lit(None)
-    rows = own.select("id", F.lit(1).alias("order"), "url", "html", empty.cast(kind).alias("refers")).unionByName(
-        revisits.select(F.col("page_id").alias("id"), F.lit(0).alias("order"), empty.cast("string").alias("url"), empty.cast("string").alias("html"), F.col("refers_to").alias("refers"))
-    )  # so that one range shuffle brings a row and its decision together
+    own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    marked = common.materialize(own.select("id", F.sha1(payload).alias("digest"), F.length(payload).alias("n")), "warc-digests")
+    revisits = plan(marked, least_bytes)
+    rows = own.select("id", F.sha1(payload).alias("digest"), F.lit(1).alias("order"), "url", "html", F.lit(None).cast("long").alias("refers")).unionByName(
+        revisits.select("id", "digest", F.lit(0).alias("order"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers")
+    )  # so that one shuffle brings a row and its decision together
+    splits = [float("-inf"), *bounds(marked), float("inf")]
+    rows = rows.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(-1e300)))
+    if len(splits) > 2:
+        rows = Bucketizer(splits=splits, inputCol="at", outputCol="shard").transform(rows)
+    else:
+        rows = rows.withColumn("shard", F.lit(0.0))
+    rows = rows.select(F.col("shard").cast("int").alias("shard"), "id", "digest", "order", "url", "html", "refers")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, folder = common.filesystem(target)
-        part, number, known = TaskContext.get().partitionId(), 0, (None, None)
+        task, part, number, known, last, copy = TaskContext.get().partitionId(), -1, 0, None, None, 0
         out, temp, size, count, sha = None, "", 0, 0, hashlib.sha256()
 
         def close() -> pa.RecordBatch:
@@ -117,15 +149,22 @@ def write(pages: DataFrame, target: str, roll_bytes: int = ROLL_BYTES, id_col: s
             out, number = None, number + 1
             return pa.RecordBatch.from_pydict(row)
 
-        for key, order, url, html, refers in common.rows(batches):
+        for shard, key, digest, order, url, html, refers in common.rows(batches):
+            if shard != part:
+                if out is not None:
+                    yield close()
+                part, number = shard, 0
             if not order:
-                known = (key, refers)
+                known = (key, digest, refers)
                 continue
+            copy = copy + 1 if last == (key, digest) else 0
+            last = (key, digest)
             payload = (html or "").encode("utf-8", "surrogatepass")
-            data = _record(key, url, payload, _base32_sha1(payload), known[1] if key is not None and known[0] == key else None)
+            refers = known[2] if known is not None and key is not None and known[:2] == last else None
+            data = _record(key, url, payload, _base32_sha1(payload), refers, copy)
             if out is None:
                 fs.create_dir(folder, recursive=True)
-                temp, size, count, sha = f"{folder}/.tmp-{part:06d}-{uuid.uuid4().hex}", 0, 0, hashlib.sha256()
+                temp, size, count, sha = f"{folder}/.tmp-{task:06d}-{uuid.uuid4().hex}", 0, 0, hashlib.sha256()
                 out = fs.open_output_stream(temp, compression=None)
                 first = _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id("file", f"{part}-{number}")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                 out.write(first)
@@ -139,7 +178,7 @@ def write(pages: DataFrame, target: str, roll_bytes: int = ROLL_BYTES, id_col: s
         if out is not None:
             yield close()
 
-    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "order", "url", "html")
+    ordered = rows.repartition(n, "shard").sortWithinPartitions("shard", "id", "digest", "order", "url")
     ordered.mapInArrow(save, _MANIFEST).write.parquet(f"{target}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{target}/manifest")
 
