@@ -110,9 +110,11 @@ def write(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_col: str
     """Write the ids of all documents in ascending order of id; return the manifest.
 
     Range partitions keep the order across files; each task streams its rows, so
-    that its memory is one group of blocks and one document. A null or empty text
-    has the end id only; rows of a null id come first; equal ids stay adjacent.
-    Other columns are ignored. An empty table gives no file.
+    that its memory is one group of blocks, one document, and for each document of
+    the task its id and its count for the footer. A null or empty text has the end id
+    only; rows of a null id come first; rows of equal ids follow one another by their
+    text, so that each has one place. Other columns are ignored. An empty table gives
+    no file.
     """
     n = common.partitions(docs.sparkSession)
 
@@ -162,7 +164,7 @@ def write(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_col: str
         fs.move(temp, path)
         yield pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "docs": [len(names)], "ids": [total], "bytes": [length]})
 
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id")
+    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(save, _MANIFEST).write.parquet(f"{target}/manifest")
     return docs.sparkSession.read.schema(_MANIFEST).parquet(f"{target}/manifest")
 

@@ -17,7 +17,7 @@ import struct
 import numpy as np
 
 #: Unicode White_Space.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 CACHE_ENTRIES = 400_000
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 #: Letters that every normaliser and pattern of these files treats alike, then ASCII marks.
