@@ -193,7 +193,6 @@ def test_license_scan(spark):
 
 def library_ids(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -273,10 +272,33 @@ def check_packing(found, docs):
 
 def test_packing(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + [(-1, None), (-2, "")]
+    docs += [(-3, "one <|endoftext|> two <|startoftext|>"), (-4, "a\u2003b\u2009 - c -\u2001- d\u205f")]
     sequences, ids = check_packing(packing.pack_documents(frame(spark, docs), public_tokenizers.path("word_bpe_49k.json"), 0).collect(), docs)
     assert sequences <= 1.02 * ids / 2048 + 4
 
 
+def test_packing_is_the_same_from_any_order(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = ODD * 3 + [(None, None), (20, "y " * 5000)]
+    pack = lambda df: packing.pack_documents(df.coalesce(1), path, 0)
+    once, again = pack(frame(spark, rows)).collect(), pack(frame(spark, rows[::-1])).collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, again)) and sum(r.doc_id == 5 for r in once) == 6
+    assert all(r.offset + r.length <= 2048 for r in once) and pack(frame(spark, [])).count() == 0
+
+
+def test_token_files_order_repeated_ids_by_text(spark, tmp_path):
+    rows, path = [(3, "b"), (3, "a"), (3, None), (1, "z")], public_tokenizers.path("byte_bpe_50k.json")
+    found = [token_files.read(token_files.write(frame(spark, x), f"file://{tmp_path}/{k}", path, 2), f"file://{tmp_path}/{k}").collect() for k, x in enumerate((rows, rows[::-1]))]
+    assert sorted((r.id, r.start, bytes(r.ids)) for r in found[0]) == sorted((r.id, r.start, bytes(r.ids)) for r in found[1])
+
+
+def test_piece_counts_odd_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = piece_counts.piece_counts(frame(spark, ODD), path).collect()
+    assert len(found) == len(ODD) and {r.n_tokens for r in found if r.doc_id in (1, 2, 3)} == {0} and len({(r.n_words, r.n_tokens) for r in found if r.doc_id == 5}) == 1
+    assert next(r.n_words for r in found if r.doc_id == 7) == 50_001 and piece_counts.piece_counts(frame(spark, []), path).count() == 0
+
+
 def test_best_fit_is_bounded():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4, 9, 8, 5)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0), (4, 0)]

@@ -87,9 +87,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
     Rows are dealt out by hash to partitions that the data's size decides, so
     that a partition holds many pieces and few sequences stay half full; each
-    partition packs alone. Pieces wait in a bounded block, where longer ones go
-    first, and blocks follow one another through the same open bins. Memory is
-    one block and the open bins whatever the size of a partition.
+    partition packs alone, in the order of another hash, so that a task that runs
+    again gives the same sequences. Pieces wait in a bounded block, where longer ones
+    go first, and blocks follow one another through the same open bins. Memory is
+    one block and the open bins whatever the size of a partition. An empty table
+    gives no row.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
             yield placed(block)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
-    dealt = parts.repartition(F.hash("doc_id", "piece", "start", "ids_crc32"))
+    row = ["doc_id", "piece", "start", "ids_crc32"]
+    dealt = parts.repartition(F.hash(*row)).sortWithinPartitions(F.xxhash64(*row), *row)
     return dealt.mapInArrow(fill, f"{schema}, sequence_id long, offset long")
 
 
