@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by path joins.
 
 Every text is compared with short templates, whatever its lines: a template is laid
-on each token that it shares, and the window of as many tokens as the template has
+on each token that it shares, but for its commonest tokens, which alone could never
+reach the threshold, and the window of as many tokens as the template has
 is weighted by term frequency and by rarity over all texts and compared by cosine.
 Line ends and comment marks are no tokens, so wrapped headers are seen, and prose
 before and after a statement is outside its window. A file takes its best
@@ -48,15 +49,24 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense"),
 ]
+#: Names after the SPDX mark, with the licence that each stands for. Their lines must be whole.
+SPDX = [
+    ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0-or-later"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"),
+    ("LGPL-3.0", "LGPL-3.0-only"), ("LGPL-3.0", "LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"), ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"),
+    ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("ISC", "ISC"), ("Unlicense", "Unlicense"),
+]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {said}") for name, said in SPDX]
 FILE_NAME = r"(?i)^(un)?(licen[sc]e|copying|notice)([._-].*)?$"
 COSINE = 0.35
+#: An SPDX line differs from another in its name alone, so it counts only if all of it is there.
+WHOLE = 0.999
 #: A text is a licence file if statements make up at least this share of its tokens.
 MOSTLY = 0.5
 
 
 _CUT = r"[^a-z0-9.]+|\.(?![0-9])"
 #: A place of a template is one number: the start, which may lie before the text, and the template.
-_BEFORE, _BASE = 1024, 64
+_BEFORE, _BASE = 1024, 64  # more than the templates
 
 
 def tokens(text: Column) -> Column:
@@ -75,11 +85,11 @@ class _Templates:
     def __init__(self, cosine: float):
         self.words = [[t for t in re.split(_CUT, text.lower()) if t] for _, text in TEMPLATES]
         self.known = sorted({t for w in self.words for t in w})
-        self.cosine = cosine
+        self.cosine = [WHOLE if text.startswith("SPDX") else cosine for _, text in TEMPLATES]
 
     def weigh(self, total: int, df: dict[str, int]) -> None:
         self.weights = [{t: n * _idf(total, df.get(t, 0)) for t, n in Counter(w).items()} for w in self.words]
-        self.floor = [(self.cosine - 1e-5) ** 2 * sum(x * x for x in w.values()) for w in self.weights]
+        self.floor = [(c - 1e-5) ** 2 * sum(x * x for x in w.values()) for c, w in zip(self.cosine, self.weights, strict=True)]
         self.places: dict[str, list[tuple[int, int]]] = {}
         for k, (words, weights) in enumerate(zip(self.words, self.weights, strict=True)):
             left, common = 0.0, set()
@@ -123,7 +133,9 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: fl
     """One row per input row: id, path, license, score, found_by, license_path.
 
     found_by is statement, inherited or none. A null or empty text has no
-    statement; a null path has no directory and inherits nothing. Of two licences
+    statement; a null path has no directory and inherits nothing; the root is above
+    every path. What a statement says is not parsed: one that is denied counts as
+    well. Of two licences
     of equal score the first by name counts, and of two licence files of one
     directory that of the smallest path. Equal windows are scored once, so that
     a statement which millions of files repeat costs no more than one. Repeated
@@ -145,7 +157,8 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: fl
     weighed = weighed.join(F.broadcast(fixed.table(spark)), ["template", "token"], "left")  # a fixed list
     near = weighed.groupBy("template", "said").agg(F.round(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("score"))
     license = F.get(F.array(*[F.lit(name) for name, _ in TEMPLATES]), F.col("template"))
-    near = near.filter(F.col("score") >= cosine).select("template", "said", license.alias("license"), "score")
+    least = F.get(F.array(*[F.lit(c) for c in fixed.cosine]), F.col("template"))
+    near = near.filter(F.col("score") >= least).select("template", "said", license.alias("license"), "score")
     spans = F.array_sort(F.collect_set(F.struct("start", "stop")))
     said_size = F.aggregate(  # tokens in any statement
         spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -161,7 +174,7 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: fl
     placed = own.select("id", "path", folder.alias("folder"))
     folders = placed.select("folder").distinct().filter("folder is not null")
     steps = F.split("folder", "/")
-    above = folders.select("folder", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth"), steps.alias("steps")).select("folder", "depth", F.array_join(F.slice("steps", 1, F.col("depth")), "/").alias("above"))
+    above = folders.select("folder", F.explode(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(steps)))).alias("depth"), steps.alias("steps")).select("folder", "depth", F.array_join(F.slice("steps", 1, F.col("depth")), "/").alias("above"))
     nearest = above.join(covered.withColumnRenamed("folder", "above"), "above").groupBy("folder").agg(F.max_by("cover", "depth").alias("cover"))
     out = placed.join(direct.drop("said_size"), "id", "left").join(nearest, "folder", "left")
     has = F.col("license").isNotNull()
