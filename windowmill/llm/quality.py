@@ -1,10 +1,11 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of 64 words. Each passage is encoded by counts of
-characters, word shapes and repetitions and a learned layer; gated attention
-weights the passages, and the weighted sum is scored. Only document labels are
-used. All parameters are fitted together by gradient descent on a bounded sample
-of labelled rows; every document is scored on all its passages.
+A document is a bag of passages of 64 words. Each passage is encoded by a learned
+layer over its hashed words and the shares of characters, word shapes and
+repetitions in it; gated attention weights the passages, and the weighted sum is
+scored. Nothing but the passages enters, and only document labels are used. All
+parameters are fitted together by gradient descent on a bounded sample of labelled
+rows; every document is scored on all its passages.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from windowmill.llm.shingles import mix, word_hashes
 PASSAGE = 64
 #: The fit sees at most so many labelled documents, chosen by a hash of their id, and all passages of each.
 SAMPLE_DOCS = 4000
-HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 16, 12, 200, 0.03, 1e-3, 11
+HIDDEN, ATTENTION, STEPS, RATE, DECAY, WORD_DECAY, SEED = 16, 12, 200, 0.03, 1e-6, 1e-5, 11
 ACCEPT = 0.3
-N_FEATURES = 22
+N_SHAPE, N_WORDS = 21, 256
+N_FEATURES = N_SHAPE + N_WORDS
+#: Hashed words are scaled alike, not to unit variance, so that 256 rare ones do not drown the shapes.
+WORD_SCALE = 0.2
 
 #: Byte classes. 0 other symbols, 1 lower case, 2 upper case, 3 digits, 4 space, 5 line feed, 6 full stop and comma, 7 non-ASCII.
 _CLASS = np.zeros(256, np.int64)
@@ -38,15 +42,15 @@ def _spread(values: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, PASSAGE)
 
 
-def passages(text: str | None) -> np.ndarray:
-    """Features of each passage; a text without words is one passage of zeros."""
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Shape features of each passage, and the bucket of each word; a text without words is one passage of zeros."""
     data = (text or "").encode("utf-8", "surrogatepass")
     raw = np.frombuffer(data, np.uint8)
     kind = _CLASS[raw]
     inside = (kind != 4) & (kind != 5)
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     if not len(edge):
-        return np.zeros((1, N_FEATURES), np.float32)
+        return np.zeros((1, N_SHAPE), np.float32), np.empty(0, np.uint8)
     starts, ends = edge[::2], edge[1::2]
     words, length, first = word_hashes(text), ends - starts, kind[starts]
     n = -(-len(starts) // PASSAGE)
@@ -63,12 +67,26 @@ def passages(text: str | None) -> np.ndarray:
     repeat = np.concatenate([[False], words[1:] == words[:-1]])
     last = kind[ends - 1]
     pair = mix(words[1:] + mix(words[:-1])) if len(words) > 1 else words
-    whole = len(np.unique(pair)) / len(pair)
+    again = np.ones(len(words))  # pairs of words that stand before in the document
+    again[np.unique(pair, return_index=True)[1]] = 0
+    again[len(pair) :] = 0
     bare = first == 0
-    return np.column_stack(
+    shape = np.column_stack(
         [*shares, mean / 10, np.sqrt(np.maximum(0, square - mean**2)) / 10, distinct, per_word(repeat), per_word(length <= 3), per_word((length == 1) & bare), per_word(first == 2),
-         per_word(last == 0), per_word(last == 6), per_word(length >= 15), count / PASSAGE, np.full(n, whole), np.full(n, np.log1p(len(words)) / 10), np.ones(n)]
+         per_word(last == 0), per_word(last == 6), per_word(length >= 15), per_word(again), count / PASSAGE, np.ones(n)]
     ).astype(np.float32)
+    return shape, (words >> np.uint64(56)).astype(np.uint8)
+
+
+def features(shape: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Shape features and the share of each bucket of words, for each passage."""
+    at = np.arange(len(buckets)) // PASSAGE * N_WORDS + buckets
+    counts = np.bincount(at, minlength=len(shape) * N_WORDS)[: len(shape) * N_WORDS].reshape(len(shape), N_WORDS)
+    return np.concatenate([shape, (counts / PASSAGE).astype(np.float32)], axis=1)
+
+
+def passages(text: str | None) -> np.ndarray:
+    return features(*bag(text))
 
 
 class Model:
@@ -77,8 +95,10 @@ class Model:
     def __init__(self, centre: np.ndarray, scale: np.ndarray, seed: int = SEED):
         rng = np.random.default_rng(seed)
         draw = lambda a, b: rng.standard_normal((a, b)) / np.sqrt(a)
-        self.centre, self.scale = centre, scale
+        self.centre, self.scale = centre.astype(np.float32), scale.astype(np.float32)
         self.p = [draw(len(centre), HIDDEN), np.zeros(HIDDEN), draw(HIDDEN, ATTENTION), draw(HIDDEN, ATTENTION), draw(ATTENTION, 1)[:, 0], draw(HIDDEN, 1)[:, 0], np.zeros(1)]
+        #: Pull of each parameter to zero: firm on hashed words, of which there are many.
+        self.decay: list[np.ndarray | float] = [np.where(np.arange(len(centre)) < N_SHAPE, DECAY, WORD_DECAY)[:, None], *[DECAY] * 6]
 
     def forward(self, x: np.ndarray, bag: np.ndarray, n: int) -> tuple:
         """x: features of passages; bag: the document of each, ascending from 0 to n - 1."""
@@ -111,17 +131,17 @@ class Model:
         m, s = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p]
         for step in range(1, STEPS + 1):
             for i, g in enumerate(self.gradients(x, bag, target)):
-                g = g + DECAY / len(target) * self.p[i]
+                g = g + self.decay[i] * self.p[i]
                 m[i], s[i] = 0.9 * m[i] + 0.1 * g, 0.999 * s[i] + 0.001 * g * g
                 self.p[i] = self.p[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-8)
         return self
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        bags = [passages(t) for t in texts]
-        if not bags:
+        found = [passages(t) for t in texts]
+        if not found:
             return np.empty(0)
-        bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        return self.forward(np.concatenate(bags), bag, len(bags))[-1]
+        owner = np.repeat(np.arange(len(found)), [len(b) for b in found])
+        return self.forward(np.concatenate(found), owner, len(found))[-1]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -130,40 +150,48 @@ def held_out(doc_id: Column) -> Column:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [passages(text).tobytes() for text in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["target"], pa.array(out, pa.binary())], ["doc_id", "target", "x"])
+        shape, buckets = zip(*map(bag, batch["text"].to_pylist()), strict=True) if len(batch) else ((), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"], batch["target"], pa.array([x.tobytes() for x in shape], pa.binary()), pa.array([x.tobytes() for x in buckets], pa.binary())], ["doc_id", "target", "shape", "buckets"]
+        )
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on labelled documents outside the held-out fold.
 
     The sample is the ``SAMPLE_DOCS`` labelled ids of smallest hash. All their
-    passages reach the driver, 88 bytes for 64 words, and nothing else. Labels other than 0 and 1
-    and null ids are ignored; a repeated id counts once with its smallest label.
-    With no label, or one kind only, the score is the share of that kind.
+    passages reach the driver, 148 bytes for 64 words, and nothing else. Labels other
+    than 0 and 1 and null ids are ignored; an id that is repeated counts once, with
+    its smallest label and its smallest text. With no label, or one kind only, the
+    score is the share of that kind.
     """
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("target")).filter("doc_id is not null and target in (0, 1)")
     usable = usable.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("target").alias("target"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("target").alias("target"), F.min("text").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = sorted(texts.mapInArrow(_bags, f"doc_id {kind}, target int, x binary").collect(), key=lambda r: (r.doc_id, r.x))
+    found = sorted(texts.mapInArrow(_bags, f"doc_id {kind}, target int, shape binary, buckets binary").collect(), key=lambda r: r.doc_id)
     if not found:
         found_x, target = [np.zeros((1, N_FEATURES), np.float32)], np.array([0.5])
     else:
-        found_x, target = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in found], np.array([float(r.target) for r in found])
-    x, bag = np.concatenate(found_x).astype(float), np.repeat(np.arange(len(target)), [len(b) for b in found_x])
-    model = Model(x.mean(axis=0), x.std(axis=0) + 1e-3)
+        found_x = [features(np.frombuffer(r.shape, np.float32).reshape(-1, N_SHAPE), np.frombuffer(r.buckets, np.uint8)) for r in found]
+        target = np.array([float(r.target) for r in found])
+    x, owner = np.concatenate(found_x), np.repeat(np.arange(len(target)), [len(b) for b in found_x])
+    scale = x.std(axis=0) + 1e-3
+    scale[N_SHAPE:] = WORD_SCALE
+    model = Model(x.mean(axis=0), scale)
     if target.min() == target.max():
         model.p[5][:], model.p[6][0] = 0, 4 * (2 * target[0] - 1)
         return model
-    return model.fit(x, bag, target)
+    return model.fit(x, owner, target)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and score, for every row, without a shuffle.
 
-    A null or empty text is scored as one empty passage.
+    A null or empty text is scored as one empty passage. Equal texts have equal
+    scores up to rounding, whatever else is in the row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
