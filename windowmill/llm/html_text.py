@@ -3,14 +3,20 @@
 A page is cut into blocks at block-level tags. Blocks inside navigation, headers
 outside an article, footers, asides, forms, scripts and the like, hidden elements,
 or elements whose whole class or id is that of an advert, notice or comment list,
-are boilerplate from the start. Other names that hint at boilerplate, as one part
-of a class or id, are a feature only: they hold down to the next article or main
-element, and a long dense block overrules them. The first pass classifies blocks by
-stop-word density, length and link density as good, bad or undecided; short blocks
-stay undecided. In the second pass an undecided block takes the label of its nearest
-decided neighbours on its side of the article's bounds and in the same hinted
-element, the good one where they disagree; if there are none, it is good outside
-hinted elements and bad inside.
+are boilerplate from the start.
+
+The first pass classifies every other block by stop-word density, length and link
+density: mostly links is bad; dense, or long and not sparse, is good; long and
+sparse is bad, or undecided inside an article, where tables and lists stand; short
+is undecided. A name that hints at boilerplate, as one part of a class or id outside
+an article, asks for a longer and denser block.
+
+In the second pass an undecided block takes the label of its nearest decided
+neighbours on its side of the article's bounds and in the same hinted element, the
+good one where they disagree. If there are none, it is good inside an article and
+bad inside hinted elements; elsewhere it is good only on a page where nothing is
+decided. Where an article or main element holds a good block, what stands outside
+all of them is no part of the article.
 """
 
 from __future__ import annotations
@@ -48,6 +54,8 @@ GOOD_DENSITY, LOW_DENSITY, LINKED, SHORT, LONG = 0.20, 0.10, 0.5, 70, 200
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^>]*\Z|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+#: A slash that closes the element, not the end of a value as in ``<a href=/>``.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 GOOD, BAD, OPEN = 1, 0, None
 
 
@@ -59,7 +67,7 @@ def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
         return False, False
     if name in ("html", "body", "article", "main"):
         return False, False
-    hint = False
+    hint = False  # names inside an article tell nothing about its text
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -69,7 +77,7 @@ def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
         if key in ("class", "id"):
             if any(EXACT.fullmatch(part) for part in value.split()):
                 return True, False
-            hint = hint or bool(HINTS.search(re.sub(r"[^a-z0-9\s_-]", " ", value)))
+            hint = hint or not in_article and bool(HINTS.search(re.sub(r"[^a-z0-9\s_-]", " ", value)))
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, False
     return False, hint
@@ -128,14 +136,14 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
             continue
         if block:
             end()
-        if name in VOID or attributes.endswith("/"):
+        if name in VOID or (name not in RAW and _CLOSED.search(attributes)):
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else size
             continue
         if name == "a":
-            in_link += 1
+            in_link = 1  # a link ends where the next one starts
         if name in ("p", "li", "dt", "dd", "tr", "td", "th") or (block and stack and stack[-1][0] == "p"):
             closes = {"p"} if name not in ("dt", "dd", "td", "th") else {"p", "dt", "dd", "td", "th"}
             while stack and (stack[-1][0] in closes or stack[-1][0] not in BLOCKS and any(s[0] == "p" for s in stack) or (name in ("li", "tr") and stack[-1][0] == name)):
@@ -159,25 +167,22 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
     return out
 
 
-def first_pass(text: str, linked: int, hidden: bool, hinted: bool = False) -> int | None:
+def first_pass(text: str, linked: int, hidden: bool, in_article: bool = False, hinted: bool = False) -> int | None:
     if hidden or linked > LINKED * len(text):
         return BAD
+    if len(text) < (LONG if hinted else SHORT):
+        return OPEN
     words = _WORD.findall(text.lower())
     density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(text) < SHORT or (hinted and len(text) < LONG):
-        return OPEN
-    if hinted:
-        return GOOD if density >= GOOD_DENSITY else BAD
-    if density >= GOOD_DENSITY or (density >= LOW_DENSITY and len(text) >= LONG):
+    if density >= GOOD_DENSITY or (not hinted and density >= LOW_DENSITY and len(text) >= LONG):
         return GOOD
-    return OPEN if words else BAD
+    if density >= LOW_DENSITY and not hinted:
+        return OPEN
+    return OPEN if in_article else BAD
 
 
-def extract(html: str | None) -> str:
-    """The article's blocks, white space collapsed, joined by an empty line."""
-    found = blocks(html or "")
-    label = [first_pass(text, linked, hidden, hinted > 0) for text, linked, hidden, _, hinted in found]
-    #: Nearest decided blocks before and after, apart for blocks inside and outside an article and for each hinted element.
+def second_pass(found: list[tuple[str, int, bool, bool, int]], label: list[int | None]) -> list[int | None]:
+    """Labels where each undecided block has taken that of its nearest decided neighbours, if it has any."""
     near: list[list[int]] = [[] for _ in found]
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):
         last: dict[tuple[bool, int], int] = {}
@@ -187,7 +192,21 @@ def extract(html: str | None) -> str:
                 near[i].append(label[last[tuple(place)]])
             elif label[i] is not OPEN and not hidden:
                 last[tuple(place)] = i
-    kept = [text for (text, *_, hinted), own, others in zip(found, label, near, strict=True) if (max(others, default=BAD if hinted else GOOD) if own is OPEN else own) == GOOD]
+    return [max(others) if own is OPEN and others else own for own, others in zip(label, near, strict=True)]
+
+
+def extract(html: str | None) -> str:
+    """The article's blocks, white space collapsed, joined by an empty line."""
+    found = blocks(html or "")
+    label = second_pass(found, [first_pass(text, linked, hidden, inside, hinted > 0) for text, linked, hidden, inside, hinted in found])
+    article = any(x != BAD and inside for x, (*_, inside, _) in zip(label, found, strict=True))
+    decided = any(x is not OPEN and not hidden for x, (_, _, hidden, *_) in zip(label, found, strict=True))
+    kept = []
+    for (text, _, _, inside, hinted), x in zip(found, label, strict=True):
+        if x is OPEN:
+            x = GOOD if inside or not (hinted or decided) else BAD
+        if x == GOOD and (inside or not article):
+            kept.append(text)
     return "\n\n".join(kept)
 
 
