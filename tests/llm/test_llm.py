@@ -305,19 +305,6 @@ def test_best_fit_is_bounded():
     assert bins.open <= 2
 
 
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, sf_dir)
-        assert after.columns == docs.columns and after.count() < kept.count(), name
-        kept = after
-    ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == ids
-
-
 def test_catalog_names():
     assert [n.split("_")[0] for n in catalog.queries()] == [f"op{k}" for k in range(1, 11)]
 

@@ -263,7 +263,7 @@ def _raw_sets(size: int):
 
 
 def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, text_key.
+    """One row per input row: doc_id, n_shingles, component_id, text_key, group_key.
 
     Words stand between ASCII white space, A-Z lower-cased; the set of a text is
     its distinct shingles of ``size`` words, of all its words if it has fewer. Two
@@ -271,8 +271,9 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
     of white space, has an empty set and links with nothing. Rows of a null id
     link with nothing either. Where an id is repeated, each of its rows links by its
     own text, and ``text_key`` (xxhash64 of the text) tells them apart; a row's
-    component_id is the smallest id of any row that it reaches. Other columns are
-    ignored.
+    component_id is the smallest id of any row that it reaches. ``group_key`` is the
+    component's own, also where two share their smallest id; it is NULL where nothing
+    can link. Other columns are ignored.
 
     Keys are given once for each set in a task, so that a group of copies that
     holds much of the table costs as much as one text. The sets of candidates alone
@@ -308,12 +309,13 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
 
     linked = common.materialize(classes.join(merged, "mark").select("mark", "root", "rep"), "ngram-linked")
     lowest = linked.groupBy("root").agg(F.min("rep").alias("lowest"))
-    member = classes.select("mark", "rep").join(linked.join(lowest, "root").select("mark", "lowest"), "mark", "left").select("mark", F.coalesce("lowest", "rep").alias("component_id"))
+    member = classes.select("mark", "rep").join(linked.join(lowest, "root").select("mark", "root", "lowest"), "mark", "left")
+    member = member.select("mark", F.coalesce("lowest", "rep").alias("component_id"), F.coalesce("root", "mark").alias("group_key"))
     usable = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("mark"))
     out = marked.withColumn("mark", usable).join(member, "mark", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key", "group_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: components of documents at Jaccard 0.9 of 3-word shingles."""
-    return ngram_components(common.table(spark, sf_dir, "documents"))
+    return ngram_components(common.table(spark, sf_dir, "documents")).drop("text_key", "group_key")
