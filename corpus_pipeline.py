@@ -16,16 +16,35 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, COLUMNS).filter(F.col("score") >= quality.ACCEPT).select(*COLUMNS)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents but those rows; a row is told by its id and its text, so that a repeated id loses only what is meant."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    return keyed.join(gone.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_anti").select(*COLUMNS)
+
+
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
-    found = ngram_join.ngram_components(docs)
-    return docs.join(found.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies: that of the smallest id.
+
+    Of rows of a group that repeat this id, one of the smallest text key stays. Rows of
+    a null id and texts without words belong to no group and are kept.
+    """
+    found = common.materialize(ngram_join.ngram_components(docs).filter("group_key is not null"), "near-copies")
+    copies = found.filter("doc_id <> component_id").select("doc_id", "text_key")
+    first = found.filter("doc_id = component_id")
+    several = first.groupBy("group_key", "doc_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    several = common.materialize(several, "repeated-ids")
+    if several.isEmpty():
+        return _without(docs, copies)
+    gone = copies.unionByName(first.join(several.select("group_key"), "group_key", "left_semi").select("doc_id", "text_key"))
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    once = keyed.join(several.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return _without(docs, gone).unionByName(once.select(*COLUMNS))
 
 
 def decontaminate_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage to the extent of the contract's rule."""
     found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, found.filter("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
