@@ -67,19 +67,24 @@ def contamination(
     sizes = sorted(r.gram for r in cut.select("gram").distinct().collect())  # at most GRAM values
 
     texts = own.filter("doc_id is not null and text is not null")
-    split = texts.select(*row, words(F.col("text")).alias("words"))
+    split = texts.select(*row, words(F.col("text")).alias("words")).withColumn("size", F.size("words"))
     hashes = F.concat(*(_grams(F.col("words"), g) for g in sizes)) if sizes else F.array().cast("array<bigint>")
     known = common.broadcast_if_small(common.materialize(tokens.select("hash").distinct(), "benchmark-known"), BROADCAST_ROWS)
     often = split.select(F.explode(hashes).alias("hash")).join(known, "hash").groupBy("hash").agg(F.count("*").alias("places"))
     ranked = tokens.join(common.materialize(often, "benchmark-rarity"), "hash")  # a window of which a shingle is nowhere cannot be whole
     rarest = ranked.groupBy("window", "n").agg(F.count("*").alias("found"), F.min_by(F.struct("hash", "offset"), F.struct("places", "hash", "offset")).alias("t"))
     whole_size = F.col("n") - F.least(F.lit(GRAM), F.col("n")) + 1
-    prefix = common.materialize(rarest.filter(F.col("found") == whole_size).select("t.hash", "t.offset", "n").distinct(), "benchmark-prefix")
+    whole_found = rarest.filter(F.col("found") == whole_size)
+    prefix = common.materialize(whole_found.select("t.hash", "t.offset", "n", F.least(F.lit(GRAM), F.col("n")).alias("gram")).distinct(), "benchmark-prefix")
     prefix = common.broadcast_if_small(prefix, BROADCAST_ROWS)
 
-    placed = F.concat(*(F.transform(_grams(F.col("words"), g), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))) for g in sizes)) if sizes else F.array().cast("array<struct<at:int,hash:bigint>>")
-    places = split.select(*row, F.size("words").alias("size"), F.explode(placed).alias("p")).select(*row, "size", "p.at", "p.hash")
-    candidates = places.join(prefix, "hash").select(*row, (F.col("at") - F.col("offset")).alias("start"), "n", "size").filter("start >= 0 and start + n <= size").drop("size")
+    # the size is made before, so that no place carries the words
+    places = split.select(*row, "size", F.posexplode(hashes).alias("at", "hash")).join(prefix, "hash")
+    at, runs = F.col("at"), F.lit(0)
+    for g in sizes:  # the arrays of all sizes stand one after another
+        at = F.when(F.col("gram") == g, F.col("at") - runs).otherwise(at)
+        runs = runs + F.greatest(F.lit(0), F.col("size") - g + 1)
+    candidates = places.select(*row, (at - F.col("offset")).alias("start"), "n", "size").filter("start >= 0 and start + n <= size").drop("size")
     by_doc = candidates.groupBy(*row).agg(F.collect_set(F.struct("start", "n")).alias("candidates"))
     by_doc = common.broadcast_if_small(common.materialize(by_doc, "benchmark-candidates"), BROADCAST_ROWS)
 
