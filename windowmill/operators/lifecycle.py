@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowmill.operators.windows import validated
+from windowmill.operators.asof import asof
+from windowmill.operators.windows import DAY_MS, validated
 
 #: Evidence limits: bytes of decoded evidence, characters of a code and of a detail.
 EVIDENCE_BYTES, CODE_CHARS, DETAIL_CHARS = 16_384, 128, 2_048
@@ -15,18 +16,10 @@ NATIVE, STABLE = "NATIVE", "STABLE"
 
 
 def settings_asof(windows: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Windows with the last revision in effect when they opened; NULL before the first.
-
-    Revisions and windows are merged by time within a bucket of markets, and the
-    last revision is carried forward: no window meets more than one, however
-    many revisions there are.
-    """
-    n = 64
-    w = windows.select("mint", "opened_ms", F.col("opened_ms").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("revision"), F.pmod(F.xxhash64("mint"), F.lit(n)).alias("b"))
-    r = revisions.select(F.lit(None).cast("string").alias("mint"), F.lit(None).cast("long").alias("opened_ms"), F.col("effective_ms").alias("at"), F.lit(0).alias("side"), F.col("revision").cast("int").alias("revision"))
-    r = r.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    run = Window.partitionBy("b").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return w.unionByName(r).withColumn("pinned", F.last("revision", ignorenulls=True).over(run)).filter("side = 1").select("mint", "opened_ms", F.col("pinned").alias("revision"))
+    """Windows with the last revision in effect when they opened; NULL before the first."""
+    r = revisions.select("effective_ms", F.col("revision").cast("int").alias("revision"), F.lit(0).alias("_all"))
+    w = windows.select("mint", "opened_ms", F.lit(0).alias("_all"))
+    return asof(w, r, ["_all"], "opened_ms", "effective_ms", "revision", DAY_MS).select("mint", "opened_ms", "revision")
 
 
 def checkpoints(positions: DataFrame) -> DataFrame:
@@ -41,19 +34,23 @@ def checkpoints(positions: DataFrame) -> DataFrame:
 
 
 def gap_resolution(gaps: DataFrame, creations: DataFrame) -> DataFrame:
-    """Each gap with the next creation of its source; one at a lower slot is rejected."""
-    g = gaps.select("source", F.col("gap_ms").alias("at"), F.lit(1).alias("side"), F.col("gap_id"), F.lit(None).cast("struct<ms:bigint,slot:bigint>").alias("next"))
-    c = creations.select("source", F.col("received_ms").alias("at"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("gap_id"), F.struct(F.col("received_ms").alias("ms"), "slot").alias("next"))
-    later = Window.partitionBy("source").orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
-    found = g.unionByName(c).withColumn("next", F.last("next", ignorenulls=True).over(later)).filter("side = 1")
-    status = F.when(F.col("next").isNull(), "ACTIVE").when(F.col("next.slot") < F.col("gap_id"), "REJECTED").otherwise("RESOLVED")
-    return found.select("gap_id", "source", F.col("at").alias("gap_ms"), F.col("next.ms").alias("resolved_ms"), status.alias("status"))
+    """Each gap with the next creation of its source; one at a slot below the gap's is rejected."""
+    c = creations.select("source", "received_ms", F.struct(F.col("received_ms").alias("ms"), "slot").alias("next"))
+    found = asof(gaps.select("gap_id", "source", "gap_ms", "slot"), c, ["source"], "gap_ms", "received_ms", "next", DAY_MS, after=True)
+    status = F.when(F.col("next").isNull(), "ACTIVE").when(F.col("next.slot") < F.col("slot"), "REJECTED").otherwise("RESOLVED")
+    return found.select("gap_id", "source", "gap_ms", F.col("next.ms").alias("resolved_ms"), status.alias("status"))
 
 
 def flow(observations: DataFrame, span_ms: int) -> DataFrame:
-    """Per observation: how many of its source came within the span up to it."""
-    trailing = Window.partitionBy("source").orderBy("received_ms").rangeBetween(-(span_ms - 1), 0)
-    return observations.select("event_id", "source", "received_ms", F.count("*").over(trailing).alias("flow"))
+    """Per observation: how many of its source came within the span up to it.
+
+    A row counts in its own time slot of one span and in the next, so that a busy
+    source is spread over its slots.
+    """
+    slot = F.floor(F.col("received_ms") / span_ms)
+    spread = observations.select("event_id", "source", "received_ms", slot.alias("_own"), F.explode(F.array(slot, slot + 1)).alias("_slot"))
+    trailing = Window.partitionBy("source", "_slot").orderBy("received_ms").rangeBetween(-(span_ms - 1), 0)
+    return spread.withColumn("flow", F.count("*").over(trailing)).filter("_own = _slot").select("event_id", "source", "received_ms", "flow")
 
 
 def network_check(tables: list[DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowmill.functions.ordering import order_columns
-from windowmill.operators import lifecycle, metrics, projection, replay, rules, windows
+from windowmill.operators import intake, lifecycle, metrics, projection, replay, rules, windows
 from windowmill.sources import adapters
 
 LENGTH_MS = 7 * windows.DAY_MS
@@ -14,7 +14,9 @@ SHIP_LENGTH_MS = 90 * windows.DAY_MS
 POLICY = rules.Policy(minimum_native_quote_units=20_000, minimum_stable_quote_units=20_000, maximum_wallet_share_bps=6_000)
 CAPACITY = 64
 CLAIM_TTL_MS = 2 * windows.DAY_MS
-FLOW_MS = 3_600_000
+FLOW_MS = 60_000
+CONFIRM_MS = 3_600_000
+MAX_AGE_MS = 15_000
 CUTOFF_MS = 1_705_708_800_000
 #: (revision, effective from, minimum trades)
 REVISIONS = [(1, 1_704_067_200_000, 5), (2, 1_704_931_200_000, 8), (3, 1_705_795_200_000, 3)]
@@ -90,6 +92,36 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(adapters.observations(spark, sf_dir).select("event_id", "source", "mint", "asset", "kind", "side", trimmed(F.col("wallet")).alias("wallet"), "creator", "base", "quote", "base_reserve", "quote_reserve", "received_ms"))
 
 
+def intake_events(s: Scene) -> tuple[DataFrame, DataFrame]:
+    """Notifications, some of them failed or malformed, and their events with an age, an order and a repeated target."""
+    note = adapters.notifications(s.spark, s.sf_dir)
+    marked = note.select("signature", (F.col("k") % 17 == 3).alias("failed"), (F.col("k") % 11 == 5).alias("malformed"))
+    e = s.observations.withColumns({"target": F.concat(F.lit("mint:"), F.col("mint")), "event_ms": F.col("received_ms") - F.col("k") * 400 + 5_000, "event_order": F.lit(0)})
+    again = e.filter("k % 5 = 0").withColumn("event_order", F.lit(1))
+    return marked, e.unionByName(again)
+
+
+def intake_classified(s: Scene) -> DataFrame:
+    note, events = intake_events(s)
+    return intake.classified(note, events, s.windows, MAX_AGE_MS, LENGTH_MS)
+
+
+def intake_seeds(s: Scene) -> DataFrame:
+    return intake.seeds(intake_events(s)[1], MAX_AGE_MS)
+
+
+def market_matched(s: Scene) -> DataFrame:
+    """Observations against a registry where creations open a market and completions and migrations close it."""
+    kind, k = F.col("kind"), F.col("k")
+    quoted = s.observations.withColumn("quote_mint", F.when(k % 19 == 4, "OTHER").otherwise(F.col("asset")))
+    registry = s.observations.filter("kind in ('CREATE', 'COMPLETE', 'MIGRATION')").select("mint", F.col("received_ms").alias("at_ms"), F.col("asset").alias("quote_mint"), (kind == "CREATE").alias("open"))
+    return intake.registered(quoted.filter(kind != "CREATE"), registry).select("event_id", "mint", "quarantine_reason", "registered_ms")
+
+
+def window_states(s: Scene) -> DataFrame:
+    return windows.states(s.complete(), windows.evict(s.windows, CAPACITY), adapters.controls(s.spark, s.sf_dir), CONFIRM_MS)
+
+
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pools of the four kinds of pairs."""
     key, kind = F.col("p_partkey"), F.col("p_partkey") % 4
@@ -170,6 +202,10 @@ QUERIES = {
     "obs_total_order": total_order,
     "windows_open": scene(lambda s: s.windows),
     "windows_evict": scene(lambda s: windows.evict(s.windows, CAPACITY)),
+    "window_states": scene(window_states),
+    "intake_classified": scene(intake_classified),
+    "intake_seeds": scene(intake_seeds),
+    "market_matched": scene(market_matched),
     "window_superseded": scene(lambda s: windows.superseded(s.windows).select("mint", "opened_ms", "is_current")),
     "window_membership": scene(lambda s: s.member.select("mint", "opened_ms", "event_id")),
     "membership_mismatch": scene(lambda s: windows.late(s.observations, s.windows)),

@@ -1,8 +1,8 @@
 """The same queries in DuckDB SQL, over one chain of common table expressions."""
 
-from windowmill.plans.flows import CLAIM_TTL_MS, CUTOFF_MS, FLOW_MS, LENGTH_MS, POLICY, REVISIONS, SHIP_LENGTH_MS
+from windowmill.plans.flows import CAPACITY, CLAIM_TTL_MS, CONFIRM_MS, CUTOFF_MS, FLOW_MS, LENGTH_MS, MAX_AGE_MS, POLICY, REVISIONS, SHIP_LENGTH_MS
 from windowmill.operators.rules import RULES
-from windowmill.sources.adapters import GAP_CENTS
+from windowmill.sources.adapters import CONTROL_KINDS, GAP_CENTS
 
 _BASE = f"""
 WITH RECURSIVE raw AS (SELECT event_id, user_id, event_type AS t, epoch_us(ts) // 1000 AS received_ms, CAST(json_extract(props, '$.k') AS INT) AS k, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
@@ -115,7 +115,31 @@ arr AS (SELECT *, 'h-' || event_id AS evidence, CAST(NULL AS BIGINT) AS tx, even
   UNION ALL SELECT *, 'h-' || event_id, k + 1, event_id * 10 + 4 FROM obs WHERE event_id % 26 = 0),
 byk AS (SELECT signature, count(*) AS copies, count(DISTINCT evidence) AS contents, count(DISTINCT tx) AS indexes, min(received_ms) AS earliest, arg_min(received_ms, arrival) AS first_ms, min(kind) AS kind FROM arr GROUP BY signature)"""
 _PRICE = "CAST(quote AS HUGEINT) * 1000000 // base"  # amounts are small here: base at most 100, so six digits tell fractions apart
+_EVICTED = f"""SELECT mint, opened_ms, closes_ms, CASE WHEN lead(opened_ms, {CAPACITY}) OVER (ORDER BY opened_ms, mint) < closes_ms THEN lead(opened_ms, {CAPACITY}) OVER (ORDER BY opened_ms, mint) END AS evicted_ms FROM win"""
+_REACH = "CASE WHEN reason IN ('SOURCE_DISCONNECTED', 'CPI_INSTRUCTION_DATA_UNAVAILABLE') THEN c.source = w.source WHEN reason IN ('STREAM_STOPPED', 'PIPELINE_RESTARTED') THEN true ELSE c.mint = w.mint END"
+_INTAKE = _BASE + f""",
+marked AS (SELECT signature, k % 17 = 3 AS failed, k % 11 = 5 AS malformed FROM note),
+ev AS (SELECT o.*, 'mint:' || mint AS target, received_ms - k * 400 + 5000 AS event_ms, unnest(CASE WHEN k % 5 = 0 THEN [0, 1] ELSE [0] END) AS event_order FROM obs o),
+disc AS (SELECT *, event_ms BETWEEN received_ms - {MAX_AGE_MS} AND received_ms + 10000 AS fresh FROM ev WHERE kind IN ('CREATE', 'CREATE_POOL')),
+seeds AS (SELECT signature, target, min(event_order) AS event_order, arg_min(event_ms, event_order) AS event_ms FROM disc WHERE fresh GROUP BY ALL),
+taken AS (SELECT e.signature, count(DISTINCT e.target) AS n FROM ev e JOIN win w ON w.mint = e.mint AND e.received_ms >= w.opened_ms AND e.received_ms < w.closes_ms WHERE e.kind NOT IN ('CREATE', 'CREATE_POOL') GROUP BY e.signature)"""
 ORACLES = {
+    "windows_evict": _BASE + f" {_EVICTED}",
+    "window_states": _BASE + f""", ev AS ({_EVICTED}),
+      ctl AS (SELECT received_ms AS at_ms, CASE k {' '.join(f"WHEN {k} THEN '{r}'" for k, r in CONTROL_KINDS.items())} END AS reason, source, mint FROM note WHERE kind = 'NONE' AND k BETWEEN 2 AND 7),
+      hits AS (SELECT w.mint, w.opened_ms, at_ms, reason FROM win w JOIN ctl c ON c.at_ms >= w.opened_ms AND c.at_ms < w.closes_ms AND {_REACH} UNION ALL SELECT mint, opened_ms, evicted_ms, 'CAPACITY_EVICTED' FROM ev WHERE evicted_ms IS NOT NULL),
+      fin AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY mint, opened_ms ORDER BY at_ms, reason) = 1)
+      SELECT c.mint, c.opened_ms, CASE WHEN f.at_ms < c.opened_ms + {CONFIRM_MS} THEN 'CANCELLED_PENDING' WHEN f.at_ms IS NOT NULL THEN 'CANCELLED_CONFIRMED' ELSE 'CONFIRMED' END AS status,
+        CASE WHEN f.at_ms < c.opened_ms + {CONFIRM_MS} THEN NULL ELSE coalesce(f.reason, c.reason) END AS incomplete_reason, f.at_ms AS ended_ms FROM complete c LEFT JOIN fin f USING (mint, opened_ms)""",
+    "intake_seeds": _INTAKE + " SELECT * FROM seeds",
+    "intake_classified": _INTAKE + """ SELECT m.signature, CASE WHEN failed THEN 'FAILED_TRANSACTION' WHEN s.n > 0 THEN 'FETCH_DISCOVERY' WHEN t.n > 0 THEN 'COLLECT_TRACKED_ACTIVITY' WHEN d.signature IS NOT NULL THEN 'STALE_DISCOVERY' WHEN malformed THEN 'MALFORMED_LOGS' ELSE 'IRRELEVANT' END AS disposition,
+      CASE WHEN failed THEN 0 ELSE coalesce(s.n, 0) END AS seeds, CASE WHEN failed THEN 0 ELSE coalesce(t.n, 0) END AS tracked
+      FROM marked m LEFT JOIN (SELECT signature, count(*) AS n FROM seeds GROUP BY ALL) s USING (signature) LEFT JOIN taken t USING (signature) LEFT JOIN (SELECT DISTINCT signature FROM disc WHERE NOT fresh) d USING (signature)""",
+    "market_matched": _BASE + """, reg AS (SELECT mint, received_ms AS at_ms, asset AS quote_mint, kind = 'CREATE' AS open FROM obs WHERE kind IN ('CREATE', 'COMPLETE', 'MIGRATION')),
+      q AS (SELECT *, CASE WHEN k % 19 = 4 THEN 'OTHER' ELSE asset END AS qm FROM obs WHERE kind <> 'CREATE'),
+      j AS (SELECT q.event_id, q.mint, r.at_ms, CASE WHEN kind = 'TRADE' AND (base <= 0 OR quote <= 0) THEN 'ZERO_TRADE_AMOUNT' WHEN NOT coalesce(r.open, false) THEN 'UNRESOLVED_MARKET' WHEN kind = 'TRADE' AND q.qm IS DISTINCT FROM r.quote_mint THEN 'QUOTE_MINT_MISMATCH' END AS reason
+        FROM q ASOF LEFT JOIN reg r ON q.mint = r.mint AND q.received_ms > r.at_ms)
+      SELECT event_id, mint, reason AS quarantine_reason, CASE WHEN reason IS NULL THEN at_ms END AS registered_ms FROM j""",
     "obs_normalize": _BASE + " SELECT event_id, source, mint, asset, kind, side, nullif(trim(wallet), '') AS wallet, creator, base, quote, base_reserve, quote_reserve, received_ms FROM obs",
     "obs_dedup_replay": _COPIES + " SELECT signature, CASE WHEN kind = 'CREATE' THEN first_ms ELSE earliest END AS received_ms, CAST(NULL AS BIGINT) AS transaction_index, kind, copies FROM byk WHERE contents = 1 AND indexes <= 1",
     "obs_replay_conflicts": _COPIES + " SELECT signature, copies, CASE WHEN contents > 1 THEN 'CONTENT' ELSE 'TRANSACTION_INDEX' END AS conflict_kind FROM byk WHERE contents > 1 OR indexes > 1",
@@ -183,7 +207,7 @@ ORACLES = {
       SELECT pool, CASE kind WHEN 0 THEN 'BASE_IS_TOKEN' WHEN 1 THEN 'QUOTE_IS_TOKEN' END AS orientation, CASE kind WHEN 2 THEN 'BOTH_SIDES_QUOTE' WHEN 3 THEN 'NO_SUPPORTED_QUOTE' END AS quarantine_reason,
         CASE WHEN kind < 2 THEN 'T' || pool END AS token, CASE kind WHEN 0 THEN 'STABLE' WHEN 1 THEN 'NATIVE' END AS asset, CASE WHEN kind = 0 THEN side WHEN kind = 1 AND side = 'BUY' THEN 'SELL' WHEN kind = 1 THEN 'BUY' END AS side,
         CASE kind WHEN 0 THEN pool WHEN 1 THEN quote END AS base, CASE kind WHEN 0 THEN quote WHEN 1 THEN pool END AS quote FROM p""",
-    "risk_fold": _BASE + """, e AS (SELECT mint, CASE k % 4 WHEN 0 THEN 'PASS' WHEN 3 THEN 'REJECT' ELSE 'UNKNOWN' END AS d FROM obs WHERE kind LIKE 'LIQUIDITY%' AND k % 16 < 4 AND k >= 20)
+    "risk_fold": _BASE + """, e AS (SELECT mint, CASE k % 4 WHEN 0 THEN 'PASS' WHEN 3 THEN 'REJECT' ELSE 'UNKNOWN' END AS d FROM obs WHERE kind LIKE 'LIQUIDITY%')
       SELECT o.mint, CASE WHEN bool_or(d = 'REJECT') THEN 'REJECT' WHEN bool_or(d = 'UNKNOWN') OR count(d) = 0 THEN 'UNKNOWN' ELSE 'PASS' END AS decision, count(d) AS evidence FROM (SELECT DISTINCT mint FROM obs) o LEFT JOIN e USING (mint) GROUP BY o.mint""",
     "strategy_match": _BASE + " SELECT mint, opened_ms FROM m WHERE trades >= 5 AND top_share_bps <= 6000 AND asset IN ('NATIVE', 'STABLE') AND sells <> 0",
     "ship_window_metrics": f"""WITH RECURSIVE t AS (SELECT CAST(l_suppkey AS VARCHAR) AS mint, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000 AS ms, l_linenumber AS ln, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, CAST(o_custkey AS VARCHAR) AS wallet,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GAP_CENTS = 25_000
@@ -12,12 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def naive_ms(at: Column) -> Column:
+    """Milliseconds since 1970 of a time without a zone, whatever the zone of the session."""
+    since = F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000
+    return since + ((F.hour(at) * 60 + F.minute(at)) * 60_000).cast("long") + F.floor(F.extract(F.lit("SECOND"), at) * 1000).cast("long")
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with receipt time, k and cents; only the columns that are used are read."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = table(spark, sf_dir, "events")
     return e.select(
-        "event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("received_ms"),
+        "event_id", "user_id", "event_type", naive_ms(F.col("ts")).alias("received_ms"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), F.round(F.col("value") * 100).cast("long").alias("cents"),
     )
 
@@ -64,7 +69,17 @@ def observations(spark: SparkSession, sf_dir: str, invalid: bool = True, liquidi
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source coverage gaps: gap_id, source, gap_ms, reason."""
     found = notifications(spark, sf_dir).filter("kind = 'GAP'")
-    return found.select(F.col("event_id").alias("gap_id"), "source", F.col("received_ms").alias("gap_ms"), F.lit("DECODE_GAP").alias("reason"))
+    return found.select(F.col("event_id").alias("gap_id"), "source", F.col("received_ms").alias("gap_ms"), "slot", F.lit("DECODE_GAP").alias("reason"))
+
+
+#: Which control an irrelevant notification stands for, by k.
+CONTROL_KINDS = {2: "SOURCE_DISCONNECTED", 3: "STREAM_STOPPED", 4: "PROCESSING_FAILED", 5: "QUEUE_OVERFLOW", 6: "CPI_INSTRUCTION_DATA_UNAVAILABLE", 7: "PIPELINE_RESTARTED"}
+
+
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of the collector: at_ms, reason, source, mint."""
+    named = F.create_map(*(F.lit(x) for kv in CONTROL_KINDS.items() for x in kv))
+    return notifications(spark, sf_dir).filter("kind = 'NONE' and k between 2 and 7").select(F.col("received_ms").alias("at_ms"), named[F.col("k")].alias("reason"), "source", "mint")
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,14 +89,13 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as trades of a supplier's market: high volume, frequent ties."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     units = lambda x: x.cast("decimal(20,0)")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.lit("MAINNET").alias("network"), F.lit("SHIP").alias("source"), F.col("l_orderkey").alias("slot"), F.col("l_partkey").alias("transaction_index"),
         F.concat_ws("-", F.lit("line"), "l_orderkey", "l_linenumber").alias("signature"), F.col("l_linenumber").alias("instruction_index"), F.lit(0).alias("event_index"),
-        F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("received_ms"), F.col("l_suppkey").cast("string").alias("mint"), F.lit("NATIVE").alias("asset"),
+        naive_ms(F.col("l_shipdate")).alias("received_ms"), F.col("l_suppkey").cast("string").alias("mint"), F.lit("NATIVE").alias("asset"),
         F.lit("TRADE").alias("kind"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("o_custkey").cast("string").alias("wallet"),
         F.lit(None).cast("string").alias("creator"), units(F.col("l_quantity").cast("long")).alias("base"), units(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("quote"),
         F.lit(None).cast("decimal(20,0)").alias("base_reserve"), F.lit(None).cast("decimal(20,0)").alias("quote_reserve"), "l_linenumber",
