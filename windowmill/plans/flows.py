@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windowmill.functions.ordering import order_columns
 from windowmill.operators import intake, lifecycle, metrics, projection, replay, rules, windows
-from windowmill.sources import adapters
+from windowmill.sources import adapters, layouts, logs, samples
 
 LENGTH_MS = 7 * windows.DAY_MS
 SHIP_LENGTH_MS = 90 * windows.DAY_MS
@@ -118,6 +118,19 @@ def market_matched(s: Scene) -> DataFrame:
     return intake.registered(quoted.filter(kind != "CREATE"), registry).select("event_id", "mint", "quarantine_reason", "registered_ms")
 
 
+def decode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layouts.decoded(samples.completions(spark, sf_dir), "COMPLETE")
+    return found.select("event_id", "decode_error", "user", "mint", "bonding_curve", "timestamp", "quote_mint")
+
+
+def event_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layouts.dispatched(samples.first_bytes(spark, sf_dir)).select("event_id", "program", "kind", "status")
+
+
+def cpi_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layouts.unmatched_copies(*samples.copies(spark, sf_dir)).groupBy("signature", "instruction_index", "payload", "reason_code").agg(F.count("*").alias("copies"))
+
+
 def window_states(s: Scene) -> DataFrame:
     return windows.states(s.complete(), windows.evict(s.windows, CAPACITY), adapters.controls(s.spark, s.sf_dir), CONFIRM_MS)
 
@@ -202,6 +215,10 @@ QUERIES = {
     "obs_total_order": total_order,
     "windows_open": scene(lambda s: s.windows),
     "windows_evict": scene(lambda s: windows.evict(s.windows, CAPACITY)),
+    "log_scope": lambda spark, sf_dir: logs.scoped(samples.notifications(spark, sf_dir), samples.PROGRAM),
+    "decode_events": decode_events,
+    "event_dispatch": event_dispatch,
+    "cpi_pairing": cpi_pairing,
     "window_states": scene(window_states),
     "intake_classified": scene(intake_classified),
     "intake_seeds": scene(intake_seeds),

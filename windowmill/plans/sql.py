@@ -131,6 +131,18 @@ ORACLES = {
       fin AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY mint, opened_ms ORDER BY at_ms, reason) = 1)
       SELECT c.mint, c.opened_ms, CASE WHEN f.at_ms < c.opened_ms + {CONFIRM_MS} THEN 'CANCELLED_PENDING' WHEN f.at_ms IS NOT NULL THEN 'CANCELLED_CONFIRMED' ELSE 'CONFIRMED' END AS status,
         CASE WHEN f.at_ms < c.opened_ms + {CONFIRM_MS} THEN NULL ELSE coalesce(f.reason, c.reason) END AS incomplete_reason, f.at_ms AS ended_ms FROM complete c LEFT JOIN fin f USING (mint, opened_ms)""",
+    "log_scope": _BASE + """, shape AS (SELECT signature, event_id, unnest(CASE k % 6
+        WHEN 0 THEN [{'i': 0, 'e': 0, 'l': 'a', 'x': NULL}] WHEN 1 THEN [{'i': 1, 'e': 0, 'l': 'a', 'x': NULL}, {'i': 1, 'e': 1, 'l': 'b', 'x': NULL}] WHEN 2 THEN [{'i': 0, 'e': 0, 'l': 'a', 'x': NULL}]
+        WHEN 3 THEN [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'TRUNCATED_LOGS'}] WHEN 4 THEN [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'INVALID_INVOCATION_DEPTH'}] ELSE [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'UNCLOSED_INVOCATIONS'}] END) AS s FROM note)
+      SELECT signature, CAST(s.i AS INT) AS instruction_index, CAST(s.e AS INT) AS event_index, CASE WHEN s.l IS NOT NULL THEN to_base64(encode(s.l || event_id)) END AS payload, s.x AS scope_error FROM shape""",
+    "decode_events": _BASE + """, f AS (SELECT event_id, received_ms, CASE k % 7 WHEN 0 THEN 'TRUNCATED' WHEN 1 THEN 'TRAILING_BYTES' WHEN 2 THEN 'UNKNOWN_DISCRIMINATOR' WHEN 3 THEN 'INVALID_BASE64' END AS decode_error FROM note)
+      SELECT event_id, decode_error, CASE WHEN decode_error IS NULL THEN sha256('u' || event_id) END AS user, CASE WHEN decode_error IS NULL THEN sha256('m' || event_id) END AS mint,
+        CASE WHEN decode_error IS NULL THEN sha256('c' || event_id) END AS bonding_curve, CASE WHEN decode_error IS NULL THEN received_ms END AS timestamp, CASE WHEN decode_error IS NULL THEN sha256('q' || event_id) END AS quote_mint FROM f""",
+    "event_dispatch": _BASE + " SELECT event_id, CASE WHEN k % 2 = 0 THEN 'CURVE' ELSE 'SWAP' END AS program, CASE WHEN k % 4 = 0 THEN 'COMPLETE' END AS kind, CASE k % 4 WHEN 0 THEN 'DECODED' WHEN 2 THEN 'IGNORED' ELSE 'UNKNOWN' END AS status FROM note",
+    "cpi_pairing": _BASE + """, e AS (SELECT event_id, 's' || (event_id // 40) AS signature, k % 2 AS instruction_index, 'p' || (k % 3) AS payload FROM note),
+      sent AS (SELECT * FROM e WHERE event_id % 2 = 0 UNION ALL SELECT * FROM e WHERE event_id % 3 = 0),
+      a AS (SELECT signature, instruction_index, payload, count(*) AS n FROM sent GROUP BY ALL), b AS (SELECT signature, instruction_index, payload, count(*) AS n FROM e GROUP BY ALL)
+      SELECT a.signature, a.instruction_index, a.payload, 'CPI_EVENT_WITHOUT_CANONICAL_LOG' AS reason_code, a.n - coalesce(b.n, 0) AS copies FROM a LEFT JOIN b USING (signature, instruction_index, payload) WHERE a.n > coalesce(b.n, 0)""",
     "intake_seeds": _INTAKE + " SELECT * FROM seeds",
     "intake_classified": _INTAKE + """ SELECT m.signature, CASE WHEN failed THEN 'FAILED_TRANSACTION' WHEN s.n > 0 THEN 'FETCH_DISCOVERY' WHEN t.n > 0 THEN 'COLLECT_TRACKED_ACTIVITY' WHEN d.signature IS NOT NULL THEN 'STALE_DISCOVERY' WHEN malformed THEN 'MALFORMED_LOGS' ELSE 'IRRELEVANT' END AS disposition,
       CASE WHEN failed THEN 0 ELSE coalesce(s.n, 0) END AS seeds, CASE WHEN failed THEN 0 ELSE coalesce(t.n, 0) END AS tracked

@@ -20,6 +20,49 @@ FIRST_BYTES = DISCRIMINATORS | {
     "LIQUIDITY_WITHDRAW": bytes([22, 9, 133, 26, 160, 44, 71, 192]),
 }
 
+#: First bytes of the events that a program also sends and that are known but not decoded.
+IGNORED = {
+    "CURVE": [
+        bytes([64, 69, 192, 104, 29, 30, 25, 107]), bytes([245, 59, 70, 34, 75, 185, 109, 92]), bytes([147, 250, 108, 120, 247, 29, 67, 222]), bytes([226, 214, 246, 33, 7, 242, 147, 229]),
+        bytes([79, 172, 246, 49, 205, 91, 206, 232]), bytes([146, 159, 189, 172, 146, 88, 56, 244]), bytes([122, 2, 127, 1, 14, 191, 12, 175]), bytes([165, 55, 129, 112, 4, 179, 202, 40]),
+        bytes([97, 97, 215, 144, 93, 146, 22, 124]), bytes([134, 36, 13, 72, 232, 101, 130, 216]), bytes([155, 167, 104, 220, 213, 108, 243, 3]), bytes([168, 216, 132, 239, 235, 182, 49, 52]),
+        bytes([43, 188, 250, 18, 221, 75, 187, 95]), bytes([237, 52, 123, 37, 245, 251, 72, 210]), bytes([142, 203, 6, 32, 127, 105, 191, 162]), bytes([223, 195, 159, 246, 62, 48, 143, 131]),
+        bytes([197, 122, 167, 124, 116, 81, 91, 255]), bytes([182, 195, 137, 42, 35, 206, 207, 247]), bytes([117, 123, 228, 182, 161, 168, 220, 214]),
+    ],
+    "SWAP": [
+        bytes([45, 220, 93, 24, 25, 97, 172, 104]), bytes([147, 250, 108, 120, 247, 29, 67, 222]), bytes([63, 69, 28, 22, 48, 92, 194, 185]), bytes([226, 214, 246, 33, 7, 242, 147, 229]),
+        bytes([79, 172, 246, 49, 205, 91, 206, 232]), bytes([146, 159, 189, 172, 146, 88, 56, 244]), bytes([232, 245, 194, 238, 234, 218, 58, 89]), bytes([107, 52, 89, 129, 55, 226, 81, 22]),
+        bytes([107, 253, 193, 76, 228, 202, 27, 104]), bytes([97, 97, 215, 144, 93, 146, 22, 124]), bytes([174, 124, 74, 249, 4, 81, 246, 17]), bytes([134, 36, 13, 72, 232, 101, 130, 216]),
+        bytes([170, 221, 82, 199, 147, 165, 247, 46]), bytes([43, 188, 250, 18, 221, 75, 187, 95]), bytes([242, 231, 235, 102, 65, 99, 189, 211]), bytes([89, 128, 240, 141, 91, 202, 71, 105]),
+        bytes([150, 107, 199, 123, 124, 207, 102, 228]), bytes([197, 122, 167, 124, 116, 81, 91, 255]), bytes([225, 152, 171, 87, 246, 63, 66, 234]), bytes([90, 23, 65, 35, 62, 244, 188, 208]),
+    ],
+}
+#: Which events each program's own are.
+OWN = {"CURVE": ["CREATE", "TRADE", "COMPLETE", "COMPLETE_PUMP_AMM_MIGRATION"], "SWAP": ["CREATE_POOL", "BUY", "SELL", "LIQUIDITY_DEPOSIT", "LIQUIDITY_WITHDRAW"]}
+
+
+def dispatched(events: DataFrame, program: str = "program", payload: str = "payload") -> DataFrame:
+    """Add kind and status of base64 payloads by their first bytes, the instruction prefix taken off.
+
+    status is DECODED for a program's own events, which have a kind, IGNORED for those
+    that are known, UNKNOWN for any other, and TRUNCATED below eight bytes. A payload
+    that is no base64, or a program that is not known, is UNKNOWN.
+    """
+    whole = F.try_to_binary(F.col(payload), F.lit("base64"))
+    bare = F.when(F.substring(whole, 1, 8) == F.lit(INSTRUCTION_PREFIX), F.substring(whole, F.lit(9), F.octet_length(whole))).otherwise(whole)
+    mark = F.concat_ws(":", program, F.lower(F.hex(F.substring(bare, 1, 8))))
+    kinds = {f"{p}:{FIRST_BYTES[k].hex()}": k for p, own in OWN.items() for k in own}
+    kind = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[mark]
+    ignored = mark.isin([f"{p}:{b.hex()}" for p, known in IGNORED.items() for b in known])
+    status = F.when(F.octet_length(bare) < 8, "TRUNCATED").when(kind.isNotNull(), "DECODED").when(ignored, "IGNORED").otherwise("UNKNOWN")
+    return events.withColumn("kind", kind).withColumn("status", status)
+
+
+def one_fault_fails_all(decoded_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add batch_error: the first decode_error, by position, among the rows of a batch; NULL if there is none."""
+    bad = decoded_rows.filter("decode_error is not null").groupBy(*keys).agg(F.min_by("decode_error", "position").alias("batch_error"))
+    return decoded_rows.join(bad, keys, "left")
+
 
 def _fields(text: str) -> list[tuple[str, str]]:
     """``type: name name ...`` lines to (name, type)."""
