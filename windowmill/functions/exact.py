@@ -6,11 +6,12 @@ floors are formed from the remainder instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 U64 = "decimal(20,0)"
 WIDE = "decimal(38,0)"
@@ -77,28 +78,27 @@ def change_bps_native(q0: Column, b0: Column, q1: Column, b1: Column) -> Column:
     return F.when(fits & (size <= F.lit(_I64).cast(WIDE)), F.when(last >= first, size).otherwise(-size)).cast("long")
 
 
-def _change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for q0, b0, q1, b1 in zip(*(batch[c].to_pylist() for c in ("_q0", "_b0", "_q1", "_b1")), strict=True):
-            if None in (q0, b0, q1, b1) or not q0 or not b0 or not b1:
-                out.append(None)
-                continue
-            first, last = int(q0) * int(b1), int(q1) * int(b0)
-            size = abs(last - first) * 10000 // first
-            out.append((size if last >= first else -size) if size <= _I64 else None)
-        yield batch.append_column("price_change_bps", pa.array(out, pa.int64()))
+@F.pandas_udf(LongType())
+def _wide_change(q0: pd.Series, b0: pd.Series, q1: pd.Series, b1: pd.Series) -> pd.Series:
+    """The change of rows whose products pass 38 digits; the others come as NULL."""
+
+    def one(a, b, c, d):
+        if a is None or not a or not b or not d:
+            return None
+        first, last = int(a) * int(d), int(c) * int(b)
+        size = abs(last - first) * 10000 // first
+        return (size if last >= first else -size) if size <= _I64 else None
+
+    return pd.Series([one(*row) for row in zip(q0, b0, q1, b1, strict=True)], dtype="Int64")
 
 
 def with_price_change(df: DataFrame, q0: str, b0: str, q1: str, b1: str) -> DataFrame:
-    """Add price_change_bps. Only rows whose products pass 38 digits go through Python.
+    """Add price_change_bps in one pass; only rows whose products pass 38 digits have values for Python.
 
     NULL where a price is missing or the change is beyond 64 bits.
     """
-    native = df.withColumn("price_change_bps", change_bps_native(F.col(q0), F.col(b0), F.col(q1), F.col(b1)))
-    limit = F.lit(10**16)
-    small = F.coalesce(F.greatest(*(F.col(c) for c in (q0, b0, q1, b1))) < limit, F.lit(True))
-    rest = df.filter(~small).withColumns({"_q0": F.col(q0), "_b0": F.col(b0), "_q1": F.col(q1), "_b1": F.col(b1)})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    exact = rest.mapInArrow(_change, f"{schema}, price_change_bps long").drop("_q0", "_b0", "_q1", "_b1")
-    return native.filter(small).unionByName(exact)
+    names = (q0, b0, q1, b1)
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in names))
+    big = F.coalesce(F.greatest(*(F.col(c) for c in names)) >= F.lit(10**16), F.lit(False)) & known
+    wide_ones = _wide_change(*(F.when(big, F.col(c)) for c in names))
+    return df.withColumn("price_change_bps", F.when(big, wide_ones).otherwise(change_bps_native(*(F.col(c) for c in names))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowmill.functions.exact import wide
@@ -69,9 +69,20 @@ def snapshot(stage: DataFrame, mode: str, rows: int = 500) -> DataFrame:
     return stage.filter(F.col("stage").isin(MODES[mode])).orderBy(F.desc("latest_slot"), "mint").limit(rows)
 
 
-def counters(named: dict[str, DataFrame]) -> DataFrame:
-    """counter, value: the row count of each table."""
-    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("value")).select(F.lit(name).alias("counter"), "value") for name, df in named.items()])
+def page_totals(stage: DataFrame, mode: str, rows: int = 500) -> DataFrame:
+    """One row: how many tokens a mode shows, how many a snapshot returns, and whether it cuts."""
+    total = stage.filter(F.col("stage").isin(MODES[mode])).agg(F.count("*").alias("tokens_total"))
+    returned = F.least("tokens_total", F.lit(rows).cast("long"))
+    return total.select("tokens_total", returned.alias("returned"), (F.col("tokens_total") > returned).alias("tokens_truncated"))
+
+
+def counters(tables: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """counter, value: how many rows of each table meet each condition; one pass for each table."""
+    found = []
+    for df, named in tables:
+        counted = df.agg(*(F.count_if(condition).alias(name) for name, condition in named.items()))
+        found.append(counted.select(F.explode(F.array(*(F.struct(F.lit(name).alias("counter"), F.col(name).alias("value")) for name in named))).alias("c")).select("c.*"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def live_markets(observations: DataFrame) -> DataFrame:
@@ -84,6 +95,15 @@ def retention_candidates(observations: DataFrame, member: DataFrame, gate: DataF
     """Old observations of a finalized window that no open window holds and that opened none."""
     old = observations.filter(F.col("received_ms") < cutoff_ms).select("event_id", "mint", "signature", "received_ms")
     held = member.select("event_id", "mint", "opened_ms").join(gate.select("mint", "opened_ms", "finalizable"), ["mint", "opened_ms"])
-    done, active = held.filter("finalizable").select("event_id"), held.filter("not finalizable").select("event_id")
+    done = held.groupBy("event_id").agg(F.bool_and("finalizable").alias("done")).filter("done").select("event_id")
     openers = gate.select(F.col("opener").alias("signature"))
-    return old.join(done, "event_id", "left_semi").join(active, "event_id", "left_anti").join(openers, "signature", "left_anti").select("event_id", "mint", "received_ms")
+    return old.join(done, "event_id", "left_semi").join(openers, "signature", "left_anti").select("event_id", "mint", "received_ms")
+
+
+def retention_classes(observations: DataFrame, quarantined: DataFrame, applied: DataFrame, now_ms: int, hours: dict[str, int]) -> DataFrame:
+    """class, candidates: rows of each class that are older than its own number of hours."""
+    parts = []
+    for name, df, at in (("observations", observations, "received_ms"), ("quarantine", quarantined, "seen_ms"), ("projection_events", applied, "applied_ms")):
+        old = df.filter(F.col(at) < now_ms - hours[name] * 3_600_000)
+        parts.append(old.agg(F.count("*").alias("candidates")).select(F.lit(name).alias("class"), "candidates"))
+    return reduce(DataFrame.unionByName, parts)

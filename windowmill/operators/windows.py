@@ -131,18 +131,15 @@ def superseded(windows: DataFrame) -> DataFrame:
     return windows.withColumn("is_current", F.struct("opened_ms", "opener") == F.max(F.struct("opened_ms", "opener")).over(latest))
 
 
-def mismatch(source: str, window: str) -> Column:
-    """The first field by which an observation does not belong to a window; NULL if it does."""
+def mismatch(source: str, window: str, fields: tuple[str, ...] = ("source", "mint", "asset")) -> Column:
+    """The first field by which an observation does not belong to a window; NULL if it does.
+
+    ``fields`` must be equal, NULL to NULL, in this order; the receipt comes last.
+    """
     o, w = (lambda c: F.col(f"{source}.{c}")), (lambda c: F.col(f"{window}.{c}"))
-    found = F.lit(None).cast("string")
-    for name, wrong in reversed(
-        [
-            ("source", ~o("source").eqNullSafe(w("source"))), ("mint", ~o("mint").eqNullSafe(w("mint"))), ("asset", ~o("asset").eqNullSafe(w("asset"))),
-            ("received_before_open", o("received_ms") < w("opened_ms")), ("received_after_close", o("received_ms") >= w("closes_ms")),
-        ]
-    ):
-        found = F.when(wrong, name).otherwise(found)
-    return found
+    checks = [(c, ~o(c).eqNullSafe(w(c))) for c in fields]
+    checks += [("received_before_open", o("received_ms") < w("opened_ms")), ("received_after_close", o("received_ms") >= w("closes_ms"))]
+    return F.coalesce(*(F.when(wrong, name) for name, wrong in checks))
 
 
 def late(observations: DataFrame, windows: DataFrame) -> DataFrame:

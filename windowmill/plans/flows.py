@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowmill.functions.ordering import order_columns
-from windowmill.operators import intake, lifecycle, metrics, projection, replay, rules, windows
+from windowmill.operators import evidence, intake, lifecycle, metrics, projection, replay, rules, windows
 from windowmill.sources import adapters, layouts, logs, samples
 
 LENGTH_MS = 7 * windows.DAY_MS
@@ -163,13 +163,19 @@ def summary(s: Scene) -> DataFrame:
 
 
 def counters(s: Scene) -> DataFrame:
-    stage, decided = s.stage(), rules.decisions(s.rules())
+    every, is_stage, is_decision = F.lit(True), (lambda x: F.col("stage") == x), (lambda x: F.col("decision") == x)
     return projection.counters(
-        {"tokens": stage, "qualified": stage.filter("stage = 'QUALIFIED'"), "approved": stage.filter("stage = 'APPROVED'"), "rejected": decided.filter("decision = 'REJECT'"),
-         "unknown": decided.filter("decision = 'UNKNOWN'"), "observations": s.observations, "gaps": s.gaps}
+        [(s.stage(), {"tokens": every, "qualified": is_stage("QUALIFIED"), "approved": is_stage("APPROVED")}), (rules.decisions(s.rules()), {"rejected": is_decision("REJECT"), "unknown": is_decision("UNKNOWN")}),
+         (s.observations, {"observations": every}), (s.gaps, {"gaps": every})]
     )
 
 
+def token_outcomes(s: Scene) -> DataFrame:
+    market = F.when(F.col("k") >= 90, F.concat(F.col("asset"), F.lit("-B"))).otherwise(F.col("asset"))
+    passed = s.gate().filter("finalizable").join(rules.decisions(s.rules()).filter("decision = 'PASS'"), metrics.WINDOW).select("mint", F.col("closes_ms").alias("at_ms"))
+    return evidence.merge_outcomes(s.observations.withColumn("market", market), passed)
+
+
 def reasons(decision: str):
     def query(s: Scene) -> DataFrame:
         rows = s.rules()
@@ -219,6 +225,8 @@ QUERIES = {
     "decode_events": decode_events,
     "event_dispatch": event_dispatch,
     "cpi_pairing": cpi_pairing,
+    "token_outcomes": scene(token_outcomes),
+    "snapshot_totals": scene(lambda s: projection.page_totals(s.stage(), "OBSERVE_ALL", 50)),
     "window_states": scene(window_states),
     "intake_classified": scene(intake_classified),
     "intake_seeds": scene(intake_seeds),

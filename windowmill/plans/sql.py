@@ -143,6 +143,15 @@ ORACLES = {
       sent AS (SELECT * FROM e WHERE event_id % 2 = 0 UNION ALL SELECT * FROM e WHERE event_id % 3 = 0),
       a AS (SELECT signature, instruction_index, payload, count(*) AS n FROM sent GROUP BY ALL), b AS (SELECT signature, instruction_index, payload, count(*) AS n FROM e GROUP BY ALL)
       SELECT a.signature, a.instruction_index, a.payload, 'CPI_EVENT_WITHOUT_CANONICAL_LOG' AS reason_code, a.n - coalesce(b.n, 0) AS copies FROM a LEFT JOIN b USING (signature, instruction_index, payload) WHERE a.n > coalesce(b.n, 0)""",
+    "snapshot_totals": _STAGED + " SELECT count(*) AS tokens_total, least(count(*), 50) AS returned, count(*) > 50 AS tokens_truncated FROM token",
+    "token_outcomes": _STAGED + """, g AS (SELECT *, CASE WHEN k >= 90 THEN asset || '-B' ELSE asset END AS market, row_number() OVER o AS place, coalesce(count(*) FILTER (kind = 'CREATE') OVER b, 0) AS named FROM aged
+        WINDOW o AS (PARTITION BY mint ORDER BY received_ms, event_id), b AS (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      h AS (SELECT *, last_value(CASE WHEN NOT stale THEN market END IGNORE NULLS) OVER (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM g),
+      i AS (SELECT *, NOT stale AND (had IS NULL OR had <> market) AS changed FROM h),
+      j AS (SELECT *, max(CASE WHEN changed THEN received_ms END) OVER (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS changed_ms FROM i),
+      pass AS (SELECT mint, closes_ms AS at_ms FROM gate JOIN dec USING (mint, opened_ms) WHERE finalizable AND decision = 'PASS')
+      SELECT j.event_id, j.mint, CASE WHEN place = 1 THEN 'INSERTED' WHEN stale AND kind = 'CREATE' AND named = 0 THEN 'METADATA_ENRICHED_FROM_STALE_CREATION' WHEN stale THEN 'STALE_OBSERVATION_IGNORED'
+        WHEN changed AND p.at_ms > changed_ms THEN 'DEMOTED_BY_MARKET_CHANGE' ELSE 'UPDATED' END AS outcome FROM j ASOF LEFT JOIN pass p ON j.mint = p.mint AND j.received_ms >= p.at_ms""",
     "intake_seeds": _INTAKE + " SELECT * FROM seeds",
     "intake_classified": _INTAKE + """ SELECT m.signature, CASE WHEN failed THEN 'FAILED_TRANSACTION' WHEN s.n > 0 THEN 'FETCH_DISCOVERY' WHEN t.n > 0 THEN 'COLLECT_TRACKED_ACTIVITY' WHEN d.signature IS NOT NULL THEN 'STALE_DISCOVERY' WHEN malformed THEN 'MALFORMED_LOGS' ELSE 'IRRELEVANT' END AS disposition,
       CASE WHEN failed THEN 0 ELSE coalesce(s.n, 0) END AS seeds, CASE WHEN failed THEN 0 ELSE coalesce(t.n, 0) END AS tracked
