@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,21 +108,44 @@ class _Templates:
         rows = [(k, t, x / math.sqrt(sum(y * y for y in w.values()))) for k, w in enumerate(self.weights) for t, x in w.items()]
         return spark.createDataFrame(rows, "template int, token string, v double")
 
-    def windows(self, words: Column) -> Column:
-        """array of (template, start, stop, said): the windows that may reach the cosine, each once."""
-        at = F.create_map(*[x for t, found in self.places.items() for x in (F.lit(t), F.array(*[F.lit((_BEFORE - back) * _BASE + k) for k, back in found]))])
-        sizes = F.array(*[F.lit(len(w)) for w in self.words])
+    def _enough(self) -> Callable[[Column, Column], Column]:
+        """Whether these tokens hold so much of a template that a window of them may reach the cosine."""
         floors = F.array(*[F.lit(x) for x in self.floor])
         vectors = F.array(*[F.array(*[F.struct(F.lit(t).alias("token"), F.lit(x * x).alias("square")) for t, x in w.items()]) for w in self.weights])
-        hits = F.array_compact(F.transform(words, lambda t, i: F.when(t.isin(list(self.places)), i)))
-        codes = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(at, F.get(words, i)), lambda c: i * _BASE + c))))
+
+        def enough(template: Column, present: Column) -> Column:
+            held = F.aggregate(F.get(vectors, template), F.lit(0.0), lambda a, e: a + F.when(F.array_contains(present, e.token), e.square).otherwise(0.0))
+            return held >= F.get(floors, template)
+
+        return enough
+
+    def _shared(self, words: Column) -> Column:
+        return F.array_distinct(F.filter(words, lambda t: t.isin(self.known)))
+
+    def possible(self, words: Column) -> Column:
+        """Whether the whole text holds enough of any template; of most texts no window need be looked at."""
+        enough, templates = self._enough(), F.sequence(F.lit(0), F.lit(len(self.words) - 1))
+        return F.exists(F.array(self._shared(words)), lambda w: F.exists(templates, lambda k: enough(k, w)))
+
+    def windows(self, words: Column) -> Column:
+        """array of (template, start, stop, said): the windows that may reach the cosine, each once.
+
+        What lies around a token, as far as any template on it may lie, is looked up
+        once for all templates; only of those that it could hold are windows cut. An array of one
+        element gives a name to a value within a lambda, which is else computed at each use.
+        """
+        at = F.create_map(*[x for t, found in self.places.items() for x in (F.lit(t), F.array(*[F.lit((_BEFORE - back) * _BASE + k) for k, back in found]))])
+        sizes, widest, enough = F.array(*[F.lit(len(w)) for w in self.words]), max(map(len, self.words)), self._enough()
         start = lambda c: F.shiftright(c, 6) - _BEFORE
         template = lambda c: c.bitwiseAND(_BASE - 1)
         first = lambda c: F.greatest(F.lit(0), start(c))
         stop = lambda c: F.least(F.size(words), start(c) + F.get(sizes, template(c)))
         window = lambda c: F.slice(words, first(c) + 1, stop(c) - first(c))
-        held = lambda c: F.aggregate(F.get(vectors, template(c)), F.lit(0.0), lambda a, e: a + F.when(F.array_contains(window(c), e.token), e.square).otherwise(0.0))
-        near = F.filter(codes, lambda c: held(c) >= F.get(floors, template(c)))
+        around = lambda i: self._shared(F.slice(words, F.greatest(F.lit(0), i - widest) + 1, F.lit(2 * widest + 1)))
+        hits = F.array_compact(F.transform(words, lambda t, i: F.when(t.isin(list(self.places)), i)))
+        fit = lambda i: F.flatten(F.transform(F.array(around(i)), lambda w: F.filter(F.element_at(at, F.get(words, i)), lambda c: enough(template(c), w))))
+        codes = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.transform(fit(i), lambda c: i * _BASE + c))))
+        near = F.filter(codes, lambda c: F.exists(F.array(window(c)), lambda w: enough(template(c), w)))
         return F.transform(near, lambda c: F.struct(template(c).alias("template"), first(c).alias("start"), stop(c).alias("stop"), F.array_join(window(c), " ").alias("said")))
 
 
@@ -149,7 +173,7 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: fl
     fixed = _Templates(cosine)
     fixed.weigh(total, {r.token: r.df for r in rarity.filter(F.col("token").isin(fixed.known)).collect()})  # tokens of a fixed list
 
-    found = words.select("id", "path", F.size("words").alias("size"), F.explode(fixed.windows(F.col("words"))).alias("w"))
+    found = words.filter(fixed.possible(F.col("words"))).select("id", "path", F.size("words").alias("size"), F.explode(fixed.windows(F.col("words"))).alias("w"))
     marked = common.materialize(found.select("id", "path", "size", "w.*"), "license-statements")
     counts = marked.select("template", "said").distinct().select("template", "said", F.explode(F.split("said", " ")).alias("token")).groupBy("template", "said", "token").agg(F.count("*").alias("tf"))
     idf = F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1
