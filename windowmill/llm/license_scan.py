@@ -13,6 +13,7 @@ directory above them that is covered. DataFrame functions only.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -74,6 +75,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _CUT), lambda t: t != "")
 
 
+def _constant(value, schema: str) -> Column:
+    """A nested value as one literal: the optimizer folds it, and the plan does not hold a node for each part."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 class _Templates:
     """The fixed list with its weights, as literals; everything here is bounded by that list.
 
@@ -110,8 +116,8 @@ class _Templates:
 
     def _enough(self) -> Callable[[Column, Column], Column]:
         """Whether these tokens hold so much of a template that a window of them may reach the cosine."""
-        floors = F.array(*[F.lit(x) for x in self.floor])
-        vectors = F.array(*[F.array(*[F.struct(F.lit(t).alias("token"), F.lit(x * x).alias("square")) for t, x in w.items()]) for w in self.weights])
+        floors = _constant(self.floor, "array<double>")
+        vectors = _constant([[{"token": t, "square": x * x} for t, x in w.items()] for w in self.weights], "array<array<struct<token: string, square: double>>>")
 
         def enough(template: Column, present: Column) -> Column:
             held = F.aggregate(F.get(vectors, template), F.lit(0.0), lambda a, e: a + F.when(F.array_contains(present, e.token), e.square).otherwise(0.0))
@@ -134,8 +140,8 @@ class _Templates:
         once for all templates; only of those that it could hold are windows cut. An array of one
         element gives a name to a value within a lambda, which is else computed at each use.
         """
-        at = F.create_map(*[x for t, found in self.places.items() for x in (F.lit(t), F.array(*[F.lit((_BEFORE - back) * _BASE + k) for k, back in found]))])
-        sizes, widest, enough = F.array(*[F.lit(len(w)) for w in self.words]), max(map(len, self.words)), self._enough()
+        at = _constant({t: [(_BEFORE - back) * _BASE + k for k, back in found] for t, found in self.places.items()}, "map<string, array<int>>")
+        sizes, widest, enough = _constant([len(w) for w in self.words], "array<int>"), max(map(len, self.words)), self._enough()
         start = lambda c: F.shiftright(c, 6) - _BEFORE
         template = lambda c: c.bitwiseAND(_BASE - 1)
         first = lambda c: F.greatest(F.lit(0), start(c))
