@@ -1,8 +1,10 @@
-"""As-of joins that split a busy key by time."""
+"""As-of joins and running totals that split a busy key by time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +35,20 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col("c._slot") == F.col("s._slot")]
     out = carried.alias("c").join(slots.alias("s"), same, "left")
     return out.select("c._row.*", F.coalesce("_inside", "_enters").alias(value))
+
+
+def before(df: DataFrame, keys: list[str], order: list[Column], at: str, slot_ms: int, fold: Callable, value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the fold (F.sum, F.max or F.min) of a value over earlier rows of the same keys; NULL if there are none.
+
+    ``order`` must begin with the time ``at``, nulls first. Rows are folded within a time slot, and
+    what enters a slot comes from one row for each key and slot, so a key that holds most rows is spread over its slots.
+    """
+    both = F.greatest if fold is F.max else F.least if fold is F.min else (lambda a, b: F.coalesce(a + b, a, b))
+    cut = df.withColumn("_value", value).withColumn("_slot", F.floor(F.col(at) / slot_ms))
+    slots = cut.groupBy(*keys, "_slot").agg(fold("_value").alias("_own"))
+    entering = Window.partitionBy(*keys, F.lit(0)).orderBy(F.asc_nulls_first("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*keys, "_slot", fold("_own").over(entering).alias("_enters"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_inside", fold("_value").over(inside))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_slot"]]
+    return cut.alias("c").join(slots.alias("s"), same).select(*(F.col(f"c.`{c}`") for c in df.columns), both(F.col("_enters"), F.col("_inside")).alias(name))

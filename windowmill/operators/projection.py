@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windowmill.functions.exact import wide
 from windowmill.functions.text import blank
+from windowmill.operators.asof import before
+from windowmill.operators.windows import DAY_MS
 
 MODES = {"OBSERVE_ALL": ["OBSERVED", "QUALIFIED", "APPROVED"], "QUALIFIED_ONLY": ["QUALIFIED", "APPROVED"], "APPROVED_ONLY": ["APPROVED"]}
 MAX_ROWS = 5_000
@@ -31,8 +33,8 @@ def lifetime_activity(observations: DataFrame) -> DataFrame:
 
 def marked_stale(observations: DataFrame) -> DataFrame:
     """Add stale: a lower slot than one that arrived before it for the same mint."""
-    earlier = Window.partitionBy("mint").orderBy("received_ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return observations.withColumn("stale", F.coalesce(F.col("slot") < F.max("slot").over(earlier), F.lit(False)))
+    seen = before(observations, ["mint"], [F.asc_nulls_first("received_ms"), F.col("event_id")], "received_ms", DAY_MS, F.max, F.col("slot"), "_highest")
+    return seen.withColumn("stale", F.coalesce(F.col("slot") < F.col("_highest"), F.lit(False))).drop("_highest")
 
 
 def token_state(observations: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from windowmill.functions.ordering import order_columns
 from windowmill.operators import evidence, intake, lifecycle, metrics, projection, replay, rules, windows
+from windowmill.operators.asof import before
 from windowmill.sources import adapters, layouts, logs, samples
 
 LENGTH_MS = 7 * windows.DAY_MS
@@ -200,10 +201,9 @@ def claims(s: Scene) -> DataFrame:
 
 
 def total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     o = adapters.observations(spark, sf_dir)
-    return o.select("mint", "event_id", F.row_number().over(Window.partitionBy("mint").orderBy(*order_columns())).cast("long").alias("position"))
+    placed = before(o, ["mint"], order_columns(), "received_ms", windows.DAY_MS, F.sum, F.lit(1), "_earlier")
+    return placed.select("mint", "event_id", (F.coalesce("_earlier", F.lit(0)) + 1).cast("long").alias("position"))
 
 
 def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
