@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from windowmill.functions.ordering import order_columns
 from windowmill.operators import evidence, intake, lifecycle, metrics, projection, replay, rules, windows
 from windowmill.operators.asof import before
-from windowmill.sources import adapters, layouts, logs, samples
+from windowmill.sources import adapters, coverage, layouts, logs, samples
 
 LENGTH_MS = 7 * windows.DAY_MS
 SHIP_LENGTH_MS = 90 * windows.DAY_MS
@@ -132,6 +132,12 @@ def cpi_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.unmatched_copies(*samples.copies(spark, sf_dir)).groupBy("signature", "instruction_index", "payload", "reason_code").agg(F.count("*").alias("copies"))
 
 
+def coverage_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = samples.calls(spark, sf_dir)
+    direct = logs.scoped(lines, samples.PROGRAM).filter("scope_error is null").groupBy("signature", "instruction_index").agg(F.count("*").alias("eligible"), F.lit(False).alias("invalid"))
+    return coverage.incomplete(coverage.call_coverage(lines, samples.PROGRAM), direct)
+
+
 def window_states(s: Scene) -> DataFrame:
     return windows.states(s.complete(), windows.evict(s.windows, CAPACITY), adapters.controls(s.spark, s.sf_dir), CONFIRM_MS)
 
@@ -225,6 +231,8 @@ QUERIES = {
     "decode_events": decode_events,
     "event_dispatch": event_dispatch,
     "cpi_pairing": cpi_pairing,
+    "call_coverage": lambda spark, sf_dir: coverage.call_coverage(samples.calls(spark, sf_dir), samples.PROGRAM),
+    "coverage_incomplete": coverage_incomplete,
     "token_outcomes": scene(token_outcomes),
     "snapshot_totals": scene(lambda s: projection.page_totals(s.stage(), "OBSERVE_ALL", 50)),
     "window_states": scene(window_states),

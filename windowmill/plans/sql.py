@@ -143,6 +143,11 @@ ORACLES = {
       sent AS (SELECT * FROM e WHERE event_id % 2 = 0 UNION ALL SELECT * FROM e WHERE event_id % 3 = 0),
       a AS (SELECT signature, instruction_index, payload, count(*) AS n FROM sent GROUP BY ALL), b AS (SELECT signature, instruction_index, payload, count(*) AS n FROM e GROUP BY ALL)
       SELECT a.signature, a.instruction_index, a.payload, 'CPI_EVENT_WITHOUT_CANONICAL_LOG' AS reason_code, a.n - coalesce(b.n, 0) AS copies FROM a LEFT JOIN b USING (signature, instruction_index, payload) WHERE a.n > coalesce(b.n, 0)""",
+    "call_coverage": _BASE + """, shape AS (SELECT event_id, unnest(CASE k % 6
+        WHEN 0 THEN [{'i': 0, 'c': 1, 'g': false, 'x': NULL}] WHEN 1 THEN [{'i': 0, 'c': 0, 'g': true, 'x': NULL}] WHEN 2 THEN [{'i': 0, 'c': 1, 'g': true, 'x': NULL}] WHEN 3 THEN [{'i': 0, 'c': 0, 'g': true, 'x': NULL}]
+        WHEN 4 THEN [{'i': 0, 'c': 0, 'g': false, 'x': NULL}, {'i': 1, 'c': 1, 'g': false, 'x': NULL}] ELSE [{'i': NULL, 'c': NULL, 'g': NULL, 'x': 'UNCLOSED_INVOCATIONS'}] END) AS s FROM note)
+      SELECT 'n' || event_id AS signature, CAST(s.i AS INT) AS instruction_index, CAST(s.c AS INT) AS calls, CAST(s.g AS BOOLEAN) AS gap, s.x AS scope_error FROM shape""",
+    "coverage_incomplete": _BASE + " SELECT 'n' || event_id AS signature, k % 6 IN (1, 2, 3) AS incomplete FROM note WHERE k % 6 <> 5",
     "snapshot_totals": _STAGED + " SELECT count(*) AS tokens_total, least(count(*), 50) AS returned, count(*) > 50 AS tokens_truncated FROM token",
     "token_outcomes": _STAGED + """, g AS (SELECT *, CASE WHEN k >= 90 THEN asset || '-B' ELSE asset END AS market, row_number() OVER o AS place, coalesce(count(*) FILTER (kind = 'CREATE') OVER b, 0) AS named FROM aged
         WINDOW o AS (PARTITION BY mint ORDER BY received_ms, event_id), b AS (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

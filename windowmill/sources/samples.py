@@ -36,6 +36,25 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.notifications(spark, sf_dir).select("signature", lines.alias("log_messages"))
 
 
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signature, log_messages: one notification for each event, in six shapes by k, of direct events and the calls that carry them."""
+    go = lambda program, depth: F.lit(f"Program {program} invoke [{depth}]")
+    data, call, ok = F.concat(F.lit("Program data: "), _said("a")), go(PROGRAM, 2), F.lit(f"Program {PROGRAM} success")
+    used = F.lit(f"Program {PROGRAM} consumed 10 of 200 compute units")
+    shapes = [
+        [go(PROGRAM, 1), data, call, used, ok, ok],
+        [go(PROGRAM, 1), data, ok],
+        [go(PROGRAM, 1), data, data, call, ok, ok],
+        [go(PROGRAM, 1), data, F.lit("Program log: between"), call, ok, ok],
+        [go(OTHER, 1), F.lit(f"Program {OTHER} success"), go(PROGRAM, 1), data, used, call, ok, ok],
+        [go(PROGRAM, 1), data, call, ok],
+    ]
+    lines = F.lit(None).cast("array<string>")
+    for n, shape in enumerate(shapes):
+        lines = F.when(F.col("k") % len(shapes) == n, F.array(*shape)).otherwise(lines)
+    return adapters.notifications(spark, sf_dir).select(F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("signature"), lines.alias("log_messages"))
+
+
 def _key(letter: str) -> Column:
     return F.sha2(F.concat(F.lit(letter), F.col("event_id").cast("string")), 256)
 
