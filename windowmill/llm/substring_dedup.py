@@ -3,13 +3,13 @@
 A window is hashed word by word; its minimiser is the smallest hash of its runs of
 three words, and depends on nothing else, so that equal windows have equal minimisers
 wherever they stand. Consecutive windows of one minimiser travel as one packed string
-to the bucket of that minimiser. There they are cut again, sorted by a 128-bit
-fingerprint and document, and the windows that are not in the first document that
-holds them are hits.
+to the bucket of that minimiser; strings of one task and bucket are compressed together.
+There they are cut again, sorted by a 128-bit fingerprint and document, and the windows
+that are not in the first document that holds them are hits.
 
 A minimiser that many strings share would fill one bucket. A first pass finds those
-that hold more than a quarter of a partition (a frequent-items sketch, so at most four
-times as many as partitions); their windows travel one by one as fingerprints, where
+that hold more than a quarter of a partition, at most four times as many as there are
+partitions; their windows travel one by one as fingerprints, where
 the first holder is a minimum that is combined before the shuffle, and hits are what a
 join on fingerprint and document together leaves over: no key of it is a common one.
 """
@@ -28,7 +28,8 @@ from windowmill.llm import common
 
 WIDTH, GRAM = 13, 3
 _CHUNK = 1 << 20
-_ROWS = 50_000
+#: Bytes of packed strings that a task holds before it sends them.
+_HELD = 48 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(1213)
@@ -126,51 +127,81 @@ def _strings(data: bytes, width: int, kinds: int = 1) -> tuple | None:
     return starts, ends, hashes, least, np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
 
 
-def _keys(width: int):
-    """text to the minimiser of each packed string."""
+def _repeated_keys(width: int):
+    """text to the minimisers that several strings of a batch have, and the number of strings: key, strings.
+
+    The last row of a batch, of a null key, has the number of all its strings.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s[3][s[4]] for _, data in _texts(batch) if (s := _strings(data, width))]
-            for k in range(0, len(found), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[k : k + 1000]).view(np.int64))], ["key"])
+            if found:
+                key, often = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
+                keys = pa.array([*key[often > 1].tolist(), None], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.append(often[often > 1], often.sum()))], ["key", "strings"])
 
     return run
 
 
-def _packed(width: int, hot: np.ndarray):
-    """doc_id, text_key, text to packed strings (key, doc_id, text_key, start, packed) of minimisers that are not hot."""
+_META = ["<i8", "<i4", "<i4", "<i4"]  # of a packed string: document, key of its text, first word, windows
+_ZSTD = "zstd"
+
+
+def _blob(meta: list[np.ndarray], strings: list[bytes]) -> bytes:
+    """Packed strings of one bucket in one compressed piece."""
+    first, *rest = meta
+    parts = [np.diff(first, prepend=0), *rest]
+    data = b"".join([np.array([len(first)], "<i8").tobytes(), *(x.astype(t).tobytes() for x, t in zip(parts, _META, strict=True)), *strings])
+    return len(data).to_bytes(8, "little") + pa.compress(data, _ZSTD, asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    data = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), _ZSTD, asbytes=True)
+    n, at, meta = int.from_bytes(data[:8], "little"), 8, []
+    for t in _META:
+        meta.append(np.frombuffer(data, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return [np.cumsum(meta[0]), *meta[1:]], data[at:]
+
+
+def _packed(width: int, hot: np.ndarray, buckets: int):
+    """doc_id, text_key, text to packed strings of minimisers that are not hot, by bucket: bucket, blob."""
+
+    def flushed(out: list[list]) -> pa.RecordBatch:
+        bucket, *meta = (np.concatenate(x) for x in out[:5])
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        strings, ends = out[5], np.append(cuts[1:], len(order))
+        blobs = [_blob([x[own] for x in meta], [strings[k] for k in own.tolist()]) for own in (order[a:b] for a, b in zip(cuts, ends))]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], [], [], []]
+        held = 0
         for batch in batches:
             docs, keys = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy()
-            out: list[list] = [[], [], [], [], []]
             for k, data in _texts(batch):
                 if not (s := _strings(data, width)):
                     continue
                 starts, ends, _, least, first = s
-                last = np.append(first[1:], len(least)) + width - 2  # the last word of each string
-                key = least[first].view(np.int64)
-                cold = ~_among(key, hot)
-                key, first, last = key[cold], first[cold], last[cold]
-                out[0].append(key)
-                out[1].append(np.full(len(key), docs[k]))
-                out[2].append(np.full(len(key), keys[k]))
-                out[3].append(first.astype(np.int32))
-                out[4] += [data[a:b] for a, b in zip(starts[first].tolist(), (ends[last] + 1).tolist())]
-                if len(out[4]) >= _ROWS:
-                    yield _batch(out)
-                    out = [[], [], [], [], []]
-            if out[4]:
-                yield _batch(out)
+                after = np.append(first[1:], len(least))
+                cold = ~_among(least[first].view(np.int64), hot)
+                first, after = first[cold], after[cold]
+                from_, to = starts[first], ends[after + width - 2] + 1  # the white space behind the last word goes along
+                for column, values in zip(out, [(least[first] % np.uint64(buckets)).astype(np.int64), np.full(len(first), docs[k]), np.full(len(first), keys[k]), first, after - first], strict=False):
+                    column.append(values)
+                out[5] += [data[a:b] for a, b in zip(from_.tolist(), to.tolist())]
+                held += int((to - from_).sum())
+                if held >= _HELD:
+                    yield flushed(out)
+                    out, held = [[], [], [], [], [], []], 0
+        if out[5]:
+            yield flushed(out)
 
     return run
 
 
-def _batch(out: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:4]), pa.array(out[4], pa.binary())], ["key", "doc_id", "text_key", "start", "packed"])
-
-
 def _among(key: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(key), bool)
@@ -201,40 +232,32 @@ def _hot_windows(width: int, hot: np.ndarray):
 
 
 def _count(width: int):
-    """Packed strings sorted by key to hits: doc_id, text_key, start, windows (consecutive ones)."""
+    """bucket, blob, sorted by bucket, to hits: doc_id, text_key, start, windows (consecutive ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            kept.append(batch)
-            if sum(map(len, kept)) < _ROWS:
-                continue
-            table = pa.Table.from_batches(kept).combine_chunks()
-            key = table["key"].to_numpy()
-            if key[0] == key[-1]:  # one bucket goes on
-                continue
-            whole = int(np.searchsorted(key, key[-1]))
-            yield from _bucket(table.slice(0, whole), width)
-            kept = table.slice(whole).combine_chunks().to_batches()
-        if kept:
-            yield from _bucket(pa.Table.from_batches(kept), width)
+        at, blobs = None, []
+        for bucket, blob in common.rows(batches):
+            if bucket != at and blobs:
+                yield from _bucket(blobs, width)
+                blobs = []
+            at = bucket
+            blobs.append(blob)
+        if blobs:
+            yield from _bucket(blobs, width)
 
     return run
 
 
-def _bucket(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
-    packed = [x or b"" for x in table["packed"].to_pylist()]
-    raw = np.frombuffer(b"".join(packed), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in packed])])
-    starts, _, hashes = _words(raw, 2)
-    first = np.searchsorted(starts, offsets)  # the first word of each string
-    windows = np.diff(first) - width + 1
-    row = np.repeat(np.arange(len(packed)), windows)
+def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
+    parts = [_unpacked(b) for b in blobs]
+    docs, text_keys, begin, windows = (np.concatenate(x) for x in zip(*(meta for meta, _ in parts), strict=True))
+    raw = np.frombuffer(b"".join(data for _, data in parts), np.uint8)
+    _, _, hashes = _words(raw, 2)
+    first = np.concatenate([[0], np.cumsum(windows + width - 1)])  # the first word of each string
+    row = np.repeat(np.arange(len(windows)), windows)
     place = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)  # within its string
     high, low = (_runs(h, width)[first[row] + place] for h in hashes)
-    doc = table["doc_id"].to_numpy()[row]
+    doc = docs[row]
     order = np.argsort(high)
     same = high[order][1:] == high[order][:-1]
     order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # what occurs once is no hit
@@ -249,7 +272,7 @@ def _bucket(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
         runs = np.diff(np.append(np.flatnonzero(fresh), len(at)))
         at = at[fresh]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[at]), pa.array(table["text_key"].to_numpy()[row[at]]), pa.array((table["start"].to_numpy()[row[at]] + place[at]).astype(np.int32)), pa.array(runs.astype(np.int32))],
+            [pa.array(doc[at]), pa.array(text_keys[row[at]]), pa.array((begin[row[at]] + place[at]).astype(np.int32)), pa.array(runs.astype(np.int32))],
             ["doc_id", "text_key", "start", "windows"],
         )
 
@@ -278,12 +301,16 @@ def _kept(width: int):
 
 
 def _hot(texts: DataFrame, width: int) -> np.ndarray:
-    """Minimisers that hold more than a quarter of a partition's strings, about; at most four times as many as partitions."""
-    most = min(100_000, 4 * common.partitions(texts.sparkSession))
-    keys = texts.select("text").mapInArrow(_keys(width), "key long")
-    found = keys.agg(F.expr(f"approx_top_k(key, {most}, {min(1_000_000, 16 * most)})").alias("top"), F.count("*").alias("n")).first()
-    listed = [r["item"] for r in found.top or [] if r["count"] * most > found.n and r["count"] > 1]
-    return np.sort(np.array(listed, np.int64))
+    """Minimisers that hold more than one in four times as many strings as there are partitions; there are no more than that.
+
+    What is single in a batch is not counted, so at most one string for each batch is missed.
+    """
+    most = 4 * common.partitions(texts.sparkSession)
+    counted = texts.select("text").mapInArrow(_repeated_keys(width), "key long, strings long").groupBy("key").agg(F.sum("strings").alias("strings"))
+    counted = common.materialize(counted, "repeated-minimisers")
+    every = counted.filter("key is null").first()
+    found = counted.filter(F.col("key").isNotNull() & (F.col("strings") * most > (every.strings if every else 0))).select("key").collect()
+    return np.sort(np.array([r.key for r in found], np.int64))
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,8 +318,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("text_key"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     n = common.partitions(docs.sparkSession)
     hot = _hot(texts, width)
-    packed = texts.mapInArrow(_packed(width, hot), "key long, doc_id long, text_key int, start int, packed binary")
-    hits = packed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_count(width), "doc_id long, text_key int, start int, windows int")
+    packed = texts.mapInArrow(_packed(width, hot, 4 * n), "bucket int, blob binary")
+    hits = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(width), "doc_id long, text_key int, start int, windows int")
     if not len(hot):
         return hits
     single = texts.mapInArrow(_hot_windows(width, hot), "high long, low long, doc_id long, text_key int, start int")
