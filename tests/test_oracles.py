@@ -41,7 +41,7 @@ def test_known_decisions(spark):
     from windowmill.operators import rules
     from windowmill.plans.flows import Scene
 
-    s = Scene(spark, "/root/testdata/sf0.01", invalid=False, liquidity=False)
+    s = Scene(spark, "/root/testdata/sf0.01", invalid=False, liquidity=False, registered=False)
     found = {r.decision: r["count"] for r in rules.decisions(s.rules(quote_rule=False)).groupBy("decision").count().collect()}
     assert found == {"PASS": 189, "REJECT": 227, "UNKNOWN": 115}
 

@@ -110,12 +110,6 @@ def test_reserves_keep_the_earliest_extreme(spark):
     assert (row.samples, row.min_base_reserve, row.min_base_reserve_signature, row.max_quote_reserve, row.max_quote_reserve_signature, row.latest_base, row.latest_quote) == (4, 80, "s2", 320, "s2", None, 310)
 
 
-def test_eviction_takes_the_window_that_closes_first(spark):
-    w = spark.createDataFrame([("a", 0, 10), ("b", 1, 11), ("c", 2, 12), ("d", 10, 20)], "mint string, opened_ms long, closes_ms long")
-    found = {r.mint: r.evicted_ms for r in windows.evict(w, 2).collect()}
-    assert found == {"a": 2, "b": None, "c": None, "d": None} or found == {"a": 2, "b": 10, "c": None, "d": None}
-
-
 def test_share_rounds_up_and_rejects(spark):
     row = spark.range(1).select(exact.share_bps(F.lit(9001).cast("decimal(20,0)"), F.lit(10001).cast("decimal(20,0)")).alias("x"), exact.share_bps(F.lit(0).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")).alias("y")).first()
     assert (row.x, row.y) == (9001, None)

@@ -57,8 +57,8 @@ def token_state(observations: DataFrame) -> DataFrame:
 
 
 def staged(tokens: DataFrame, current: DataFrame, approvals: DataFrame) -> DataFrame:
-    """Add stage: a pass of the current, finalizable window qualifies; an approval needs that."""
-    passed = current.filter("is_current and finalizable and decision = 'PASS'").select("mint", F.lit(True).alias("_passed")).distinct()
+    """Add stage: a pass of the current window qualifies; an approval needs that."""
+    passed = current.filter("is_current and decision = 'PASS'").select("mint", F.lit(True).alias("_passed")).distinct()
     out = tokens.join(passed, "mint", "left").join(approvals.select("mint", F.lit(True).alias("_approved")).distinct(), "mint", "left")
     stage = F.when(F.col("_passed") & F.col("_approved"), "APPROVED").when(F.col("_passed"), "QUALIFIED").otherwise("OBSERVED")
     return out.withColumn("stage", stage).drop("_passed", "_approved")

@@ -87,9 +87,15 @@ def gap_reasons(windows: DataFrame, gaps: DataFrame, length_ms: int) -> DataFram
 
 def completeness(windows: DataFrame, member: DataFrame, gaps: DataFrame, length_ms: int) -> DataFrame:
     """Windows with reason: NULL if complete, else the gap's, else the first invalid trade's."""
-    bad = validated(member).filter("invalid_reason is not null").groupBy("mint", "opened_ms").agg(F.min_by("invalid_reason", order_key()).alias("trade_reason"))
-    out = windows.join(gap_reasons(windows, gaps, length_ms), ["mint", "opened_ms"], "left").join(bad, ["mint", "opened_ms"], "left")
-    return out.withColumn("reason", F.coalesce("gap_reason", "trade_reason")).drop("gap_reason", "trade_reason")
+    gapped = windows.join(gap_reasons(windows, gaps, length_ms), ["mint", "opened_ms"], "left").withColumnRenamed("gap_reason", "reason")
+    return named_first(gapped, member)
+
+
+def named_first(windows: DataFrame, member: DataFrame) -> DataFrame:
+    """Windows with their reason, or that of their first invalid trade if they have none."""
+    bad = validated(member).filter("invalid_reason is not null").groupBy("mint", "opened_ms").agg(F.min_by("invalid_reason", order_key()).alias("_trade"))
+    out = windows.join(bad, ["mint", "opened_ms"], "left")
+    return out.withColumn("reason", F.coalesce("reason", "_trade")).drop("_trade")
 
 
 def gated(complete: DataFrame, progress: DataFrame) -> DataFrame:
@@ -98,33 +104,6 @@ def gated(complete: DataFrame, progress: DataFrame) -> DataFrame:
     return out.withColumn("finalizable", F.col("reason").isNotNull() | F.coalesce(F.col("progress_ms") >= F.col("closes_ms"), F.lit(False)))
 
 
-def ranked(windows: DataFrame, slot_ms: int) -> DataFrame:
-    """Add rank: the place of each window in the order of opening and market, from 0.
-
-    Windows are numbered within time slots, and the sizes of the slots before are added.
-    """
-    cut = windows.withColumn("_slot", F.floor(F.col("opened_ms") / slot_ms))
-    sizes = cut.groupBy("_slot").agg(F.count("*").alias("_size"))  # one row for each slot
-    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_slot", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_slot").orderBy("opened_ms", "mint"))
-    return cut.withColumn("_inside", inside).join(sizes, "_slot").withColumn("rank", F.col("_before") + F.col("_inside") - 1).drop("_slot", "_before", "_inside")
-
-
-def evict(windows: DataFrame, capacity: int) -> DataFrame:
-    """Windows under a global cap: evicted_ms is when a newcomer displaced them, else NULL.
-
-    At most ``capacity`` windows are active; an opener beyond that evicts the one
-    that closes first, the smallest market on a tie. All windows are of one length, so
-    they close in the order of opening, and the opener that evicts a window is the one
-    ``capacity`` places after it, if that comes before the close: a join of ranks.
-    """
-    placed = ranked(windows.select("mint", "opened_ms", "closes_ms"), DAY_MS)
-    newcomer = placed.select((F.col("rank") - capacity).alias("rank"), F.col("opened_ms").alias("_at"))
-    out = placed.join(newcomer, "rank", "left")
-    return out.select("mint", "opened_ms", "closes_ms", F.when(F.col("_at") < F.col("closes_ms"), F.col("_at")).alias("evicted_ms"))
-
-
 def superseded(windows: DataFrame) -> DataFrame:
     """Add is_current: the latest (opened, opener) of its market."""
     latest = Window.partitionBy("mint")
@@ -151,32 +130,3 @@ def late(observations: DataFrame, windows: DataFrame) -> DataFrame:
     seen = asof(observations.select("event_id", "source", "mint", "asset", "received_ms"), w, ["mint"], "received_ms", "opened_ms", "w", DAY_MS)
     seen = seen.withColumn("o", F.struct("source", "mint", "asset", "received_ms"))
     return seen.select("event_id", "mint", F.col("w.opened_ms").alias("opened_ms"), F.when(F.col("w").isNull(), "NO_WINDOW").otherwise(mismatch("o", "w")).alias("mismatch_field"))
-
-
-#: What ends a window early, by how far a control reaches.
-CONTROLS = {
-    "SOURCE_DISCONNECTED": "source", "CPI_INSTRUCTION_DATA_UNAVAILABLE": "source", "STREAM_STOPPED": "all", "PIPELINE_RESTARTED": "all", "QUEUE_OVERFLOW": "mint", "PROCESSING_FAILED": "mint",
-}
-
-
-def states(complete: DataFrame, evicted: DataFrame, controls: DataFrame, confirm_ms: int) -> DataFrame:
-    """mint, opened_ms, status, incomplete_reason, ended_ms of each window.
-
-    ``complete`` has each window's own reason (gaps and invalid trades), ``controls`` has
-    at_ms, reason, source and mint. A control ends the windows that it reaches and that
-    are open at its time; the earliest of these and of an eviction counts, by name on a
-    tie. Before a window is confirmed, ``confirm_ms`` after its opening, it is
-    CANCELLED_PENDING and has no reason; later it is CANCELLED_CONFIRMED, and the first
-    cause stays: the end's, else the window's own.
-    """
-    out = complete.join(evicted.select("mint", "opened_ms", "evicted_ms"), ["mint", "opened_ms"], "left").withColumn("_all", F.lit(0))
-    ends = [F.when(F.col("evicted_ms").isNotNull(), F.struct(F.col("evicted_ms").alias("at"), F.lit("CAPACITY_EVICTED").alias("reason")))]
-    for reach, keys in (("source", ["source"]), ("all", ["_all"]), ("mint", ["mint"])):
-        mine = controls.filter(F.col("reason").isin([r for r, x in CONTROLS.items() if x == reach])).withColumn("_all", F.lit(0))
-        firsts = mine.groupBy(*keys, "at_ms").agg(F.struct(F.col("at_ms").alias("at"), F.min("reason").alias("reason")).alias(f"_by_{reach}"))
-        out = asof(out, firsts, keys, "opened_ms", "at_ms", f"_by_{reach}", DAY_MS, after=True)
-        ends.append(F.when(F.col(f"_by_{reach}.at") < F.col("closes_ms"), F.col(f"_by_{reach}")))
-    out = out.withColumn("_end", F.array_min(F.array_compact(F.array(*ends))))
-    pending = F.col("_end.at") < F.col("opened_ms") + confirm_ms
-    status = F.when(pending, "CANCELLED_PENDING").when(F.col("_end").isNotNull(), "CANCELLED_CONFIRMED").otherwise("CONFIRMED")
-    return out.select("mint", "opened_ms", status.alias("status"), F.when(~F.coalesce(pending, F.lit(False)), F.coalesce("_end.reason", "reason")).alias("incomplete_reason"), F.col("_end.at").alias("ended_ms"))

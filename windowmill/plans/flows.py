@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowmill.functions.ordering import order_columns
-from windowmill.operators import evidence, intake, lifecycle, metrics, projection, replay, rules, windows
+from windowmill.operators import evidence, intake, lifecycle, metrics, projection, registry, replay, rules, windows
 from windowmill.operators.asof import before
+from windowmill.operators.storage import checkpointed
 from windowmill.sources import adapters, coverage, layouts, logs, samples
 
 LENGTH_MS = 7 * windows.DAY_MS
 SHIP_LENGTH_MS = 90 * windows.DAY_MS
 POLICY = rules.Policy(minimum_native_quote_units=20_000, minimum_stable_quote_units=20_000, maximum_wallet_share_bps=6_000)
-CAPACITY = 64
+CAPACITY = 128
 CLAIM_TTL_MS = 2 * windows.DAY_MS
 FLOW_MS = 60_000
-CONFIRM_MS = 3_600_000
 MAX_AGE_MS = 15_000
 CUTOFF_MS = 1_705_708_800_000
 #: (revision, effective from, minimum trades)
@@ -33,7 +35,8 @@ def longs(df: DataFrame) -> DataFrame:
 class Scene:
     """Observations of a folder with their windows and members."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, invalid: bool = True, liquidity: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, invalid: bool = True, liquidity: bool = True, registered: bool = True):
+        self.registered = registered
         self.spark, self.sf_dir = spark, sf_dir
         self.observations = adapters.observations(spark, sf_dir, invalid, liquidity)
         self.windows = windows.open_windows(self.observations.filter("kind = 'CREATE'"), LENGTH_MS)
@@ -47,18 +50,42 @@ class Scene:
     def gate(self) -> DataFrame:
         return windows.gated(self.complete(), adapters.progress(self.spark, self.sf_dir))
 
+    @cached_property
+    def registry_events(self) -> DataFrame:
+        return adapters.registry_events(self.spark, self.sf_dir)
+
+    @cached_property
+    def states(self) -> DataFrame:
+        """Windows of the registry, with what ended them and when they were claimed."""
+        opened = registry.registry(self.registry_events, LENGTH_MS, CAPACITY)
+        return checkpointed(registry.settled(opened, self.registry_events, adapters.feed_times(self.spark, self.sf_dir)))
+
+    @cached_property
+    def decided_member(self) -> tuple[DataFrame, DataFrame]:
+        """Claimed windows with their reason, and their members: what was admitted before they left."""
+        if not self.registered:
+            return self.complete(), self.member
+        claimed = self.states.filter("claimed_ms is not null").select("mint", "source", "asset", "opener", "opened_ms", "closes_ms", "left_ms", "reason", "claimed_ms")
+        keep = [c for c in self.observations.columns if c != "mint"]
+        member = windows.members(self.observations, claimed.drop("closes_ms").withColumnRenamed("left_ms", "closes_ms"), LENGTH_MS, keep)
+        return windows.named_first(claimed.drop("left_ms"), member), member
+
     def metrics(self) -> DataFrame:
-        return metrics.counts(self.complete(), self.member)
+        return metrics.counts(*self.decided_member)
 
     def rules(self, quote_rule: bool = True) -> DataFrame:
         return rules.rule_rows(self.metrics(), POLICY, quote_rule)
 
+    @cached_property
+    def decided(self) -> DataFrame:
+        """mint, opened_ms, decision, reasons, claimed_ms, is_current of claimed windows; written once, as several steps read it."""
+        durable = windows.superseded(self.states.filter("status in ('CONFIRMED', 'CANCELLED_CONFIRMED', 'OPEN')"))
+        return checkpointed(rules.decisions(self.rules()).join(durable.select(*metrics.WINDOW, "claimed_ms", "is_current"), metrics.WINDOW))
+
     def stage(self) -> DataFrame:
-        decided = rules.decisions(self.rules())
-        current = windows.superseded(self.gate()).join(decided, metrics.WINDOW)
         named = self.observations.withColumn("name", F.when(F.col("kind") == "CREATE", F.concat(F.lit("name-"), F.col("event_id").cast("string"))))
         approvals = self.observations.select("mint").distinct().filter(F.col("mint").cast("long") % 3 == 0)
-        return projection.staged(projection.token_state(named), current, approvals)
+        return projection.staged(projection.token_state(named), self.decided, approvals)
 
 
 def scene(query):
@@ -139,7 +166,7 @@ def coverage_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_states(s: Scene) -> DataFrame:
-    return windows.states(s.complete(), windows.evict(s.windows, CAPACITY), adapters.controls(s.spark, s.sf_dir), CONFIRM_MS)
+    return registry.runs(s.states, s.registry_events)
 
 
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,29 +191,28 @@ def risk(s: Scene) -> DataFrame:
 
 
 def summary(s: Scene) -> DataFrame:
-    decided = rules.decisions(s.rules())
-    out = windows.superseded(s.gate()).join(s.metrics().drop("reason", "closes_ms", "source", "asset", "opener"), metrics.WINDOW).join(decided, metrics.WINDOW)
-    return longs(out.select(*metrics.WINDOW, "closes_ms", "source", "asset", "observations", "trades", "buys", "sells", "traders", "quote_volume", "top_wallet", "top_share_bps", "reason", "finalizable", "is_current", "decision", "reasons"))
+    out = s.metrics().drop("claimed_ms").join(s.decided, metrics.WINDOW)
+    return longs(out.select(*metrics.WINDOW, "closes_ms", "source", "asset", "observations", "trades", "buys", "sells", "traders", "quote_volume", "top_wallet", "top_share_bps", "reason", "claimed_ms", "is_current", "decision", "reasons"))
 
 
 def counters(s: Scene) -> DataFrame:
     every, is_stage, is_decision = F.lit(True), (lambda x: F.col("stage") == x), (lambda x: F.col("decision") == x)
     return projection.counters(
-        [(s.stage(), {"tokens": every, "qualified": is_stage("QUALIFIED"), "approved": is_stage("APPROVED")}), (rules.decisions(s.rules()), {"rejected": is_decision("REJECT"), "unknown": is_decision("UNKNOWN")}),
+        [(s.stage(), {"tokens": every, "qualified": is_stage("QUALIFIED"), "approved": is_stage("APPROVED")}), (s.decided, {"rejected": is_decision("REJECT"), "unknown": is_decision("UNKNOWN")}),
          (s.observations, {"observations": every}), (s.gaps, {"gaps": every})]
     )
 
 
 def token_outcomes(s: Scene) -> DataFrame:
     market = F.when(F.col("k") >= 90, F.concat(F.col("asset"), F.lit("-B"))).otherwise(F.col("asset"))
-    passed = s.gate().filter("finalizable").join(rules.decisions(s.rules()).filter("decision = 'PASS'"), metrics.WINDOW).select("mint", F.col("closes_ms").alias("at_ms"))
+    passed = s.decided.filter("decision = 'PASS'").select("mint", F.col("claimed_ms").alias("at_ms"))
     return evidence.merge_outcomes(s.observations.withColumn("market", market), passed)
 
 
 def reasons(decision: str):
     def query(s: Scene) -> DataFrame:
         rows = s.rules()
-        return rules.reason_counts(rows, rules.decisions(rows), s.windows.select(*metrics.WINDOW, "closes_ms"), decision).orderBy(F.desc("windows"), "reason_code")
+        return rules.reason_counts(rows, rules.decisions(rows), s.states.select(*metrics.WINDOW, "closes_ms"), decision).orderBy(F.desc("windows"), "reason_code")
 
     return query
 
@@ -226,7 +252,7 @@ QUERIES = {
     "obs_replay_conflicts": conflicts,
     "obs_total_order": total_order,
     "windows_open": scene(lambda s: s.windows),
-    "windows_evict": scene(lambda s: windows.evict(s.windows, CAPACITY)),
+    "windows_evict": scene(lambda s: registry.evicted(s.registry_events, LENGTH_MS, CAPACITY)),
     "log_scope": lambda spark, sf_dir: logs.scoped(samples.notifications(spark, sf_dir), samples.PROGRAM),
     "decode_events": decode_events,
     "event_dispatch": event_dispatch,

@@ -1,10 +1,11 @@
 """The same queries in DuckDB SQL, over one chain of common table expressions."""
 
-from windowmill.plans.flows import CAPACITY, CLAIM_TTL_MS, CONFIRM_MS, CUTOFF_MS, FLOW_MS, LENGTH_MS, MAX_AGE_MS, POLICY, REVISIONS, SHIP_LENGTH_MS
+from windowmill.plans.flows import CAPACITY, CLAIM_TTL_MS, CUTOFF_MS, FLOW_MS, LENGTH_MS, MAX_AGE_MS, POLICY, REVISIONS, SHIP_LENGTH_MS
 from windowmill.operators.rules import RULES
-from windowmill.sources.adapters import CONTROL_KINDS, GAP_CENTS
+from windowmill.operators.registry import CAUSES
+from windowmill.sources.adapters import COLLECTOR, COLLECTOR_KS, CONTROL_KINDS, GAP_CENTS, READ_MS, UNREAD_K
 
-_BASE = f"""
+_NOTES = f"""
 WITH RECURSIVE raw AS (SELECT event_id, user_id, event_type AS t, epoch_us(ts) // 1000 AS received_ms, CAST(json_extract(props, '$.k') AS INT) AS k, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
 note AS (SELECT event_id, 'MAINNET' AS network, 'SRC_' || (user_id // 10) AS source, event_id AS slot, 'sig-' || event_id AS signature, received_ms, CAST(user_id AS VARCHAR) AS mint,
   CASE WHEN user_id % 10 = 0 THEN 'UNSUPPORTED' WHEN user_id % 10 <= 2 THEN 'STABLE' ELSE 'NATIVE' END AS asset,
@@ -17,11 +18,13 @@ note AS (SELECT event_id, 'MAINNET' AS network, 'SRC_' || (user_id // 10) AS sou
   CASE WHEN t = 'purchase' AND k = 13 THEN 0 WHEN t IN ('purchase', 'click', 'view') THEN cents END AS quote,
   CASE WHEN t = 'view' THEN CAST(1000 + k AS BIGINT) END AS base_reserve, CASE WHEN t = 'view' THEN 100000 + cents END AS quote_reserve, k FROM raw),
 obs AS (SELECT * FROM note WHERE kind NOT IN ('GAP', 'NONE')),
-opener AS (SELECT mint, source, asset, received_ms AS opened_ms, signature AS opener FROM obs WHERE kind = 'CREATE'),
+opener AS (SELECT mint, source, asset, received_ms AS opened_ms, signature AS opener FROM obs WHERE kind = 'CREATE'),"""
+_GREEDY = f"""
 chain(mint, opened_ms) AS (SELECT mint, min(opened_ms) FROM opener GROUP BY mint UNION ALL
   SELECT o.mint, min(o.opened_ms) FROM chain c JOIN opener o ON o.mint = c.mint AND o.opened_ms >= c.opened_ms + {LENGTH_MS} GROUP BY o.mint),
-win AS (SELECT mint, source, asset, opened_ms, opened_ms + {LENGTH_MS} AS closes_ms, min(opener) AS opener FROM chain JOIN opener USING (mint, opened_ms) GROUP BY ALL),
-member AS (SELECT w.opened_ms, w.closes_ms, o.* FROM win w JOIN obs o ON o.mint = w.mint AND o.received_ms >= w.opened_ms AND o.received_ms < w.closes_ms),
+win AS (SELECT mint, source, asset, opened_ms, opened_ms + {LENGTH_MS} AS closes_ms, min(opener) AS opener FROM chain JOIN opener USING (mint, opened_ms) GROUP BY ALL),"""
+_MEMBER = """
+member AS (SELECT w.opened_ms, w.closes_ms, o.* FROM win w JOIN obs o ON o.mint = w.mint AND o.received_ms >= w.opened_ms AND o.received_ms < w.UNTIL),
 judged AS (SELECT *, CASE WHEN kind = 'TRADE' AND trim(coalesce(wallet, '')) = '' THEN 'INVALID_TRADE_WALLET' WHEN kind = 'TRADE' AND (base <= 0 OR quote <= 0) THEN 'INVALID_TRADE_AMOUNT' END AS invalid_reason FROM member),
 valid AS (SELECT * FROM judged WHERE kind = 'TRADE' AND invalid_reason IS NULL),
 wal AS (SELECT mint, opened_ms, wallet, count(*) AS trades, count(*) FILTER (side = 'BUY') AS buys, count(*) FILTER (side = 'SELL') AS sells,
@@ -32,17 +35,64 @@ traded AS (SELECT mint, opened_ms, sum(trades) AS trades, sum(buys) AS buys, sum
   CAST(sum(quote_volume) AS BIGINT) AS quote_volume, count(*) AS traders, count(*) FILTER (buys > 0) AS buyers, count(*) FILTER (sells > 0) AS sellers FROM wal GROUP BY ALL),
 largest AS (SELECT mint, opened_ms, wallet AS top_wallet, quote_volume AS top_quote FROM wal QUALIFY row_number() OVER (PARTITION BY mint, opened_ms ORDER BY quote_volume DESC, wallet) = 1),
 seen AS (SELECT mint, opened_ms, count(*) AS observations, max(slot) AS latest_slot FROM member GROUP BY ALL),
+bad AS (SELECT mint, opened_ms, invalid_reason FROM judged WHERE invalid_reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mint, opened_ms ORDER BY received_ms, slot) = 1),"""
+_GAPPED = """
 gap AS (SELECT source, event_id AS gap_id, received_ms AS gap_ms FROM note WHERE kind = 'GAP'),
 gapped AS (SELECT DISTINCT mint, opened_ms FROM win JOIN gap USING (source) WHERE gap_ms >= opened_ms AND gap_ms < closes_ms),
-bad AS (SELECT mint, opened_ms, invalid_reason FROM judged WHERE invalid_reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mint, opened_ms ORDER BY received_ms, slot) = 1),
 complete AS (SELECT w.*, CASE WHEN g.mint IS NOT NULL THEN 'DECODE_GAP' ELSE b.invalid_reason END AS reason FROM win w LEFT JOIN gapped g USING (mint, opened_ms) LEFT JOIN bad b USING (mint, opened_ms)),
 progress AS (SELECT source, max(received_ms) AS progress_ms FROM note GROUP BY source),
-gate AS (SELECT c.*, progress_ms, reason IS NOT NULL OR coalesce(progress_ms >= closes_ms, false) AS finalizable FROM complete c LEFT JOIN progress USING (source)),
+gate AS (SELECT c.*, progress_ms, reason IS NOT NULL OR coalesce(progress_ms >= closes_ms, false) AS finalizable FROM complete c LEFT JOIN progress USING (source)),"""
+_METRICS = """
 m AS (SELECT c.mint, c.opened_ms, c.closes_ms, c.source, c.asset, c.reason, coalesce(observations, 0) AS observations, latest_slot, CAST(coalesce(trades, 0) AS BIGINT) AS trades, CAST(coalesce(buys, 0) AS BIGINT) AS buys,
   CAST(coalesce(sells, 0) AS BIGINT) AS sells, coalesce(traders, 0) AS traders, coalesce(buyers, 0) AS buyers, coalesce(sellers, 0) AS sellers, CAST(coalesce(buy_base, 0) AS BIGINT) AS buy_base,
   CAST(coalesce(buy_quote, 0) AS BIGINT) AS buy_quote, CAST(coalesce(sell_base, 0) AS BIGINT) AS sell_base, CAST(coalesce(sell_quote, 0) AS BIGINT) AS sell_quote, coalesce(quote_volume, 0) AS quote_volume, top_wallet, top_quote,
   CASE WHEN quote_volume > 0 THEN CAST((CAST(top_quote AS HUGEINT) * 10000 + quote_volume - 1) // CAST(quote_volume AS HUGEINT) AS INT) END AS top_share_bps
   FROM complete c LEFT JOIN seen USING (mint, opened_ms) LEFT JOIN traded USING (mint, opened_ms) LEFT JOIN largest USING (mint, opened_ms))"""
+_BASE = _NOTES + _GREEDY + _MEMBER.replace("UNTIL", "closes_ms") + _GAPPED + _METRICS
+_W = "mint VARCHAR, source VARCHAR, asset VARCHAR, opener VARCHAR, opened BIGINT, confirmed BOOLEAN, reason VARCHAR, reason_ms BIGINT, status VARCHAR, left_ms BIGINT"
+_KEPT = "mint := x.mint, source := x.source, asset := x.asset, opener := x.opener, opened := x.opened"
+_CAUSES = ", ".join(f"('{c}', '{r}', '{a}')" for c, (r, a) in CAUSES.items())
+_ACTS = f"""
+caused AS (SELECT *, CASE WHEN kind = 'GAP' THEN 'DECODE_GAP' WHEN kind = 'NONE' AND k BETWEEN 2 AND 7 AND (k NOT IN {tuple(COLLECTOR_KS)} OR source = '{COLLECTOR}') THEN CASE k {' '.join(f"WHEN {k} THEN '{r}'" for k, r in CONTROL_KINDS.items())} END END AS cause FROM note),
+acts AS (SELECT *, row_number() OVER (ORDER BY at_ms, ord) AS rn FROM (
+  SELECT received_ms AS at_ms, event_id * 2 AS ord, 'OPEN' AS action, 'window' AS reach, mint, source, asset, signature AS opener, CAST(NULL AS VARCHAR) AS reason FROM note WHERE kind = 'CREATE'
+  UNION ALL SELECT received_ms + (k % 9) * {READ_MS}, event_id * 2 + 1, CASE WHEN k % 23 = {UNREAD_K} THEN 'FAIL' ELSE 'CONFIRM' END, 'window', mint, source, asset, signature, NULL FROM note WHERE kind = 'CREATE'
+  UNION ALL SELECT received_ms, event_id * 2, action, reach, mint, source, asset, NULL, cause FROM caused JOIN (VALUES {_CAUSES}) v(cause, reach, action) USING (cause))),"""
+_OPENS = """
+acts AS (SELECT *, row_number() OVER (ORDER BY at_ms, ord) AS rn FROM (
+  SELECT received_ms AS at_ms, event_id * 4 + i AS ord, CASE i WHEN 0 THEN 'OPEN' ELSE 'CONFIRM' END AS action, 'window' AS reach, mint, source, asset, signature AS opener, CAST(NULL AS VARCHAR) AS reason
+  FROM note, (SELECT unnest([0, 1]) AS i) WHERE kind = 'CREATE')),"""
+_WALK = f"""
+walk(rn, act, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT({_W})[]), CAST([] AS STRUCT({_W})[]) UNION ALL
+  SELECT rn, list_filter(moved, lambda x: x.status IS NULL) || CASE WHEN opens THEN [struct_pack(mint := mint, source := source, asset := asset, opener := opener, opened := at_ms, confirmed := false,
+      reason := CAST(NULL AS VARCHAR), reason_ms := CAST(NULL AS BIGINT), status := CAST(NULL AS VARCHAR), left_ms := CAST(NULL AS BIGINT))] ELSE [] END, list_filter(moved, lambda x: x.status IS NOT NULL)
+  FROM (SELECT *, list_transform(act, lambda x: CASE
+      WHEN x.opened + {LENGTH_MS} <= at_ms THEN struct_pack({_KEPT}, confirmed := x.confirmed, reason := x.reason, reason_ms := x.reason_ms, status := CASE WHEN x.confirmed THEN 'CONFIRMED' ELSE 'DISCARDED' END, left_ms := x.opened + {LENGTH_MS})
+      WHEN x.mint = victim OR action = 'CANCEL' AND (reach = 'all' OR reach = 'source' AND x.source = source OR reach = 'mint' AND x.mint = mint) THEN struct_pack({_KEPT}, confirmed := x.confirmed,
+        reason := coalesce(x.reason, CASE WHEN action = 'OPEN' THEN 'CAPACITY_EVICTED' ELSE reason END), reason_ms := CASE WHEN x.reason IS NULL THEN at_ms ELSE x.reason_ms END,
+        status := CASE WHEN x.confirmed THEN 'CANCELLED_CONFIRMED' ELSE 'CANCELLED_PENDING' END, left_ms := at_ms)
+      WHEN action = 'FAIL' AND x.opener = opener AND NOT x.confirmed THEN struct_pack({_KEPT}, confirmed := false, reason := x.reason, reason_ms := x.reason_ms, status := 'CANCELLED_PENDING', left_ms := at_ms)
+      WHEN action = 'CONFIRM' AND x.opener = opener THEN struct_pack({_KEPT}, confirmed := true, reason := x.reason, reason_ms := x.reason_ms, status := x.status, left_ms := x.left_ms)
+      WHEN action = 'MARK' AND x.reason IS NULL AND (reach = 'all' OR reach = 'source' AND x.source = source OR reach = 'mint' AND x.mint = mint) THEN struct_pack({_KEPT}, confirmed := x.confirmed, reason := reason, reason_ms := at_ms, status := x.status, left_ms := x.left_ms)
+      ELSE x END) AS moved
+    FROM (SELECT *, CASE WHEN opens AND len(live) >= {CAPACITY} THEN list_min(list_transform(live, lambda x: struct_pack(opened := x.opened, mint := x.mint))).mint END AS victim
+      FROM (SELECT *, action = 'OPEN' AND len(list_filter(live, lambda x: x.mint = mint)) = 0 AS opens FROM (SELECT e.*, w.act, list_filter(w.act, lambda x: x.opened + {LENGTH_MS} > e.at_ms) AS live FROM walk w JOIN acts e ON e.rn = w.rn + 1))))),
+left_open AS (SELECT unnest(act) AS x FROM walk WHERE rn = (SELECT max(rn) FROM walk)),
+registry AS (SELECT x.mint AS mint, x.source AS source, x.asset AS asset, x.opener AS opener, x.opened AS opened_ms, x.opened + {LENGTH_MS} AS closes_ms, x.status AS status, CASE WHEN x.confirmed THEN x.reason END AS reason, CASE WHEN x.confirmed THEN x.reason_ms END AS reason_ms, x.left_ms AS left_ms
+    FROM (SELECT unnest(gone) AS x FROM walk)
+  UNION ALL SELECT x.mint, x.source, x.asset, x.opener, x.opened, x.opened + {LENGTH_MS}, CASE WHEN x.confirmed THEN 'OPEN' ELSE 'PENDING' END, NULL, NULL, NULL FROM left_open)"""
+_STATES = _NOTES + _ACTS + _WALK + """,
+feed AS (SELECT source, received_ms AS at_ms FROM note WHERE NOT (kind = 'NONE' AND k BETWEEN 2 AND 7)),
+seen_after AS (SELECT r.opener, min(f.at_ms) AS seen_ms FROM registry r JOIN feed f ON f.source = r.source AND f.at_ms >= r.closes_ms GROUP BY r.opener),
+cancelled AS (SELECT r.opener, arg_min(a.reason, a.rn) AS late_reason, min(a.at_ms) AS late_ms FROM registry r JOIN acts a ON a.action = 'CANCEL' AND a.at_ms >= r.closes_ms AND (a.reach = 'all' OR a.reach = 'source' AND a.source = r.source) GROUP BY r.opener),
+closed AS (SELECT r.*, seen_ms, late_reason, late_ms, status = 'CONFIRMED' AND reason IS NULL AS waits, status = 'CONFIRMED' AND reason IS NULL AND late_ms IS NOT NULL AND late_ms <= coalesce(seen_ms, late_ms) AS ended
+  FROM registry r LEFT JOIN seen_after USING (opener) LEFT JOIN cancelled USING (opener)),
+states AS (SELECT mint, source, asset, opener, opened_ms, closes_ms, CASE WHEN ended THEN 'CANCELLED_CONFIRMED' ELSE status END AS status, CASE WHEN ended THEN late_reason ELSE reason END AS reason, CASE WHEN ended THEN late_ms ELSE reason_ms END AS reason_ms, left_ms,
+  CASE WHEN ended THEN late_ms WHEN waits THEN seen_ms WHEN status IN ('CONFIRMED', 'CANCELLED_CONFIRMED') THEN left_ms END AS claimed_ms FROM closed)"""
+_CLAIMED = _STATES + """,
+win AS (SELECT mint, source, asset, opener, opened_ms, closes_ms, left_ms, reason AS cause, claimed_ms FROM states WHERE claimed_ms IS NOT NULL),""" + _MEMBER.replace("UNTIL", "left_ms") + """
+complete AS (SELECT w.*, coalesce(w.cause, b.invalid_reason) AS reason FROM win w LEFT JOIN bad b USING (mint, opened_ms)),""" + _METRICS
+
 
 
 def _rule(number: int, decision: str, code: str, evidence: str) -> str:
@@ -72,17 +122,17 @@ _RULES = " UNION ALL ".join(
         _rule(7, _SHARE.format("UNKNOWN", "PASS", "REJECT"), _SHARE.format("WALLET_CONCENTRATION_UNAVAILABLE", "WALLET_CONCENTRATION_WITHIN_LIMIT", "WALLET_CONCENTRATION_EXCEEDS_LIMIT"), f"CASE WHEN top_share_bps IS NULL THEN 'observed_quote_units=' || quote_volume ELSE 'wallet=' || top_wallet || ';actual_bps=' || top_share_bps || ';maximum_bps={POLICY.maximum_wallet_share_bps}' END"),
     ]
 )
-_DECIDED = _BASE + f""",
+_DECIDED = _CLAIMED + f""",
 rr AS ({_RULES}),
 folded AS (SELECT mint, opened_ms, CASE WHEN bool_or(decision = 'REJECT') THEN 'REJECT' WHEN bool_or(decision = 'UNKNOWN') THEN 'UNKNOWN' ELSE 'PASS' END AS decision FROM rr GROUP BY ALL),
 dec AS (SELECT f.mint, f.opened_ms, f.decision, CASE WHEN f.decision = 'PASS' THEN '' ELSE (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT reason_code AS c FROM rr r WHERE r.mint = f.mint AND r.opened_ms = f.opened_ms AND r.decision = f.decision)) END AS reasons FROM folded f),
-current AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY opened_ms DESC) = 1 AS is_current FROM gate)"""
+current AS (SELECT mint, opened_ms, row_number() OVER (PARTITION BY mint ORDER BY opened_ms DESC, opener DESC) = 1 AS is_current FROM states WHERE status IN ('CONFIRMED', 'CANCELLED_CONFIRMED', 'OPEN'))"""
 _STAGED = _DECIDED + """,
 aged AS (SELECT *, CASE WHEN kind = 'CREATE' THEN 'name-' || event_id END AS name, coalesce(slot < max(slot) OVER (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM obs),
 latest AS (SELECT mint, slot AS latest_slot, kind AS latest_kind, signature AS latest_signature FROM obs QUALIFY row_number() OVER (PARTITION BY mint ORDER BY slot DESC, received_ms DESC) = 1),
 times AS (SELECT mint, min(received_ms) FILTER (NOT stale) AS first_observed_ms, max(received_ms) FILTER (NOT stale) AS last_observed_ms, count(*) FILTER (stale) AS stale_rows,
   arg_max(name, received_ms) FILTER (NOT stale AND kind = 'CREATE') AS own, arg_min(name, received_ms) FILTER (stale AND kind = 'CREATE') AS filled FROM aged GROUP BY mint),
-passed AS (SELECT DISTINCT mint FROM current JOIN dec USING (mint, opened_ms) WHERE is_current AND finalizable AND decision = 'PASS'),
+passed AS (SELECT DISTINCT mint FROM current JOIN dec USING (mint, opened_ms) WHERE is_current AND decision = 'PASS'),
 token AS (SELECT l.*, first_observed_ms, last_observed_ms, stale_rows, coalesce(own, filled) AS name, CASE WHEN own IS NOT NULL THEN 'CREATED' WHEN filled IS NOT NULL THEN 'ENRICHED_FROM_STALE_CREATION' ELSE 'UNNAMED' END AS metadata,
   CASE WHEN p.mint IS NULL THEN 'OBSERVED' WHEN CAST(l.mint AS BIGINT) % 3 = 0 THEN 'APPROVED' ELSE 'QUALIFIED' END AS stage FROM latest l JOIN times USING (mint) LEFT JOIN passed p USING (mint))"""
 
@@ -115,8 +165,6 @@ arr AS (SELECT *, 'h-' || event_id AS evidence, CAST(NULL AS BIGINT) AS tx, even
   UNION ALL SELECT *, 'h-' || event_id, k + 1, event_id * 10 + 4 FROM obs WHERE event_id % 26 = 0),
 byk AS (SELECT signature, count(*) AS copies, count(DISTINCT evidence) AS contents, count(DISTINCT tx) AS indexes, min(received_ms) AS earliest, arg_min(received_ms, arrival) AS first_ms, min(kind) AS kind FROM arr GROUP BY signature)"""
 _PRICE = "CAST(quote AS HUGEINT) * 1000000 // base"  # amounts are small here: base at most 100, so six digits tell fractions apart
-_EVICTED = f"""SELECT mint, opened_ms, closes_ms, CASE WHEN lead(opened_ms, {CAPACITY}) OVER (ORDER BY opened_ms, mint) < closes_ms THEN lead(opened_ms, {CAPACITY}) OVER (ORDER BY opened_ms, mint) END AS evicted_ms FROM win"""
-_REACH = "CASE WHEN reason IN ('SOURCE_DISCONNECTED', 'CPI_INSTRUCTION_DATA_UNAVAILABLE') THEN c.source = w.source WHEN reason IN ('STREAM_STOPPED', 'PIPELINE_RESTARTED') THEN true ELSE c.mint = w.mint END"
 _INTAKE = _BASE + f""",
 marked AS (SELECT signature, k % 17 = 3 AS failed, k % 11 = 5 AS malformed FROM note),
 ev AS (SELECT o.*, 'mint:' || mint AS target, received_ms - k * 400 + 5000 AS event_ms, unnest(CASE WHEN k % 5 = 0 THEN [0, 1] ELSE [0] END) AS event_order FROM obs o),
@@ -124,13 +172,8 @@ disc AS (SELECT *, event_ms BETWEEN received_ms - {MAX_AGE_MS} AND received_ms +
 seeds AS (SELECT signature, target, min(event_order) AS event_order, arg_min(event_ms, event_order) AS event_ms FROM disc WHERE fresh GROUP BY ALL),
 taken AS (SELECT e.signature, count(DISTINCT e.target) AS n FROM ev e JOIN win w ON w.mint = e.mint AND e.received_ms >= w.opened_ms AND e.received_ms < w.closes_ms WHERE e.kind NOT IN ('CREATE', 'CREATE_POOL') GROUP BY e.signature)"""
 ORACLES = {
-    "windows_evict": _BASE + f" {_EVICTED}",
-    "window_states": _BASE + f""", ev AS ({_EVICTED}),
-      ctl AS (SELECT received_ms AS at_ms, CASE k {' '.join(f"WHEN {k} THEN '{r}'" for k, r in CONTROL_KINDS.items())} END AS reason, source, mint FROM note WHERE kind = 'NONE' AND k BETWEEN 2 AND 7),
-      hits AS (SELECT w.mint, w.opened_ms, at_ms, reason FROM win w JOIN ctl c ON c.at_ms >= w.opened_ms AND c.at_ms < w.closes_ms AND {_REACH} UNION ALL SELECT mint, opened_ms, evicted_ms, 'CAPACITY_EVICTED' FROM ev WHERE evicted_ms IS NOT NULL),
-      fin AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY mint, opened_ms ORDER BY at_ms, reason) = 1)
-      SELECT c.mint, c.opened_ms, CASE WHEN f.at_ms < c.opened_ms + {CONFIRM_MS} THEN 'CANCELLED_PENDING' WHEN f.at_ms IS NOT NULL THEN 'CANCELLED_CONFIRMED' ELSE 'CONFIRMED' END AS status,
-        CASE WHEN f.at_ms < c.opened_ms + {CONFIRM_MS} THEN NULL ELSE coalesce(f.reason, c.reason) END AS incomplete_reason, f.at_ms AS ended_ms FROM complete c LEFT JOIN fin f USING (mint, opened_ms)""",
+    "windows_evict": _NOTES + _OPENS + _WALK + " SELECT mint, opened_ms, closes_ms, CASE WHEN status = 'CANCELLED_CONFIRMED' THEN left_ms END AS evicted_ms FROM registry",
+    "window_states": _STATES + " SELECT *, (SELECT count(*) FROM acts a WHERE a.reason = 'PIPELINE_RESTARTED' AND a.at_ms < s.opened_ms) AS run FROM states s",
     "log_scope": _BASE + """, shape AS (SELECT signature, event_id, unnest(CASE k % 6
         WHEN 0 THEN [{'i': 0, 'e': 0, 'l': 'a', 'x': NULL}] WHEN 1 THEN [{'i': 1, 'e': 0, 'l': 'a', 'x': NULL}, {'i': 1, 'e': 1, 'l': 'b', 'x': NULL}] WHEN 2 THEN [{'i': 0, 'e': 0, 'l': 'a', 'x': NULL}]
         WHEN 3 THEN [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'TRUNCATED_LOGS'}] WHEN 4 THEN [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'INVALID_INVOCATION_DEPTH'}] ELSE [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'UNCLOSED_INVOCATIONS'}] END) AS s FROM note)
@@ -154,7 +197,7 @@ ORACLES = {
       h AS (SELECT *, last_value(CASE WHEN NOT stale THEN market END IGNORE NULLS) OVER (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM g),
       i AS (SELECT *, NOT stale AND (had IS NULL OR had <> market) AS changed FROM h),
       j AS (SELECT *, max(CASE WHEN changed THEN received_ms END) OVER (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS changed_ms FROM i),
-      pass AS (SELECT mint, closes_ms AS at_ms FROM gate JOIN dec USING (mint, opened_ms) WHERE finalizable AND decision = 'PASS')
+      pass AS (SELECT mint, claimed_ms AS at_ms FROM win JOIN dec USING (mint, opened_ms) WHERE decision = 'PASS')
       SELECT j.event_id, j.mint, CASE WHEN place = 1 THEN 'INSERTED' WHEN stale AND kind = 'CREATE' AND named = 0 THEN 'METADATA_ENRICHED_FROM_STALE_CREATION' WHEN stale THEN 'STALE_OBSERVATION_IGNORED'
         WHEN changed AND p.at_ms > changed_ms THEN 'DEMOTED_BY_MARKET_CHANGE' ELSE 'UPDATED' END AS outcome FROM j ASOF LEFT JOIN pass p ON j.mint = p.mint AND j.received_ms >= p.at_ms""",
     "intake_seeds": _INTAKE + " SELECT * FROM seeds",
@@ -203,13 +246,13 @@ ORACLES = {
     "qualification_decisions": _DECIDED + " SELECT * FROM dec",
     "reject_reasons": _reasons("REJECT"),
     "unknown_reasons": _reasons("UNKNOWN"),
-    "discovery_summary": _DECIDED + """ SELECT mint, opened_ms, m.closes_ms, m.source, m.asset, observations, trades, buys, sells, traders, quote_volume, top_wallet, top_share_bps, m.reason, finalizable, is_current, decision, reasons
-      FROM current c JOIN m USING (mint, opened_ms) JOIN dec USING (mint, opened_ms)""",
+    "discovery_summary": _DECIDED + """ SELECT mint, opened_ms, m.closes_ms, m.source, m.asset, observations, trades, buys, sells, traders, quote_volume, top_wallet, top_share_bps, m.reason, claimed_ms, is_current, decision, reasons
+      FROM current c JOIN m USING (mint, opened_ms) JOIN win USING (mint, opened_ms) JOIN dec USING (mint, opened_ms)""",
     "lifetime_activity": _BASE + """ SELECT network, source, mint, asset, count(*) AS trades, count(*) FILTER (side = 'BUY') AS buys, count(*) FILTER (side = 'SELL') AS sells, count(DISTINCT wallet) AS traders, CAST(sum(base) AS BIGINT) AS base_volume, CAST(sum(quote) AS BIGINT) AS quote_volume
       FROM obs WHERE kind = 'TRADE' AND trim(coalesce(wallet, '')) <> '' AND base > 0 AND quote > 0 GROUP BY ALL""",
     "token_state": _STAGED + " SELECT * FROM token",
     "projection_counters": _STAGED + """ SELECT 'tokens' AS counter, count(*) AS value FROM token UNION ALL SELECT 'qualified', count(*) FROM token WHERE stage = 'QUALIFIED' UNION ALL SELECT 'approved', count(*) FROM token WHERE stage = 'APPROVED'
-      UNION ALL SELECT 'rejected', count(*) FROM dec WHERE decision = 'REJECT' UNION ALL SELECT 'unknown', count(*) FROM dec WHERE decision = 'UNKNOWN' UNION ALL SELECT 'observations', count(*) FROM obs UNION ALL SELECT 'gaps', count(*) FROM gap""",
+      UNION ALL SELECT 'rejected', count(*) FROM dec WHERE decision = 'REJECT' UNION ALL SELECT 'unknown', count(*) FROM dec WHERE decision = 'UNKNOWN' UNION ALL SELECT 'observations', count(*) FROM obs UNION ALL SELECT 'gaps', count(*) FROM note WHERE kind = 'GAP'""",
     "snapshot_observe_all": _snapshot("'OBSERVED', 'QUALIFIED', 'APPROVED'"),
     "snapshot_qualified_only": _snapshot("'QUALIFIED', 'APPROVED'"),
     "snapshot_approved_only": _snapshot("'APPROVED'"),
@@ -235,7 +278,7 @@ ORACLES = {
         CASE kind WHEN 0 THEN pool WHEN 1 THEN quote END AS base, CASE kind WHEN 0 THEN quote WHEN 1 THEN pool END AS quote FROM p""",
     "risk_fold": _BASE + """, e AS (SELECT mint, CASE k % 4 WHEN 0 THEN 'PASS' WHEN 3 THEN 'REJECT' ELSE 'UNKNOWN' END AS d FROM obs WHERE kind LIKE 'LIQUIDITY%')
       SELECT o.mint, CASE WHEN bool_or(d = 'REJECT') THEN 'REJECT' WHEN bool_or(d = 'UNKNOWN') OR count(d) = 0 THEN 'UNKNOWN' ELSE 'PASS' END AS decision, count(d) AS evidence FROM (SELECT DISTINCT mint FROM obs) o LEFT JOIN e USING (mint) GROUP BY o.mint""",
-    "strategy_match": _BASE + " SELECT mint, opened_ms FROM m WHERE trades >= 5 AND top_share_bps <= 6000 AND asset IN ('NATIVE', 'STABLE') AND sells <> 0",
+    "strategy_match": _CLAIMED + " SELECT mint, opened_ms FROM m WHERE trades >= 5 AND top_share_bps <= 6000 AND asset IN ('NATIVE', 'STABLE') AND sells <> 0",
     "ship_window_metrics": f"""WITH RECURSIVE t AS (SELECT CAST(l_suppkey AS VARCHAR) AS mint, epoch_us(CAST(l_shipdate AS TIMESTAMP)) // 1000 AS ms, l_linenumber AS ln, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, CAST(o_custkey AS VARCHAR) AS wallet,
         CAST(l_quantity AS BIGINT) AS base, CAST(round(l_extendedprice * 100) AS BIGINT) AS quote FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
       op AS (SELECT DISTINCT mint, ms FROM t WHERE ln = 1),

@@ -76,10 +76,35 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_KINDS = {2: "SOURCE_DISCONNECTED", 3: "STREAM_STOPPED", 4: "PROCESSING_FAILED", 5: "QUEUE_OVERFLOW", 6: "CPI_INSTRUCTION_DATA_UNAVAILABLE", 7: "PIPELINE_RESTARTED"}
 
 
-def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Controls of the collector: at_ms, reason, source, mint."""
+#: Discoveries are read after so long, a multiple by k; of one k they can't be read.
+READ_MS, UNREAD_K = 1_200_000, 7
+#: Stops and restarts are told by what this source sends alone.
+COLLECTOR, COLLECTOR_KS = "SRC_0", [3, 7]
+
+
+def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creations, their readings, controls and gaps as events of the window registry, in the order of arrival."""
+    from windowmill.operators.registry import CAUSES
+
+    note = notifications(spark, sf_dir)
+    k, created = F.col("k"), F.col("kind") == "CREATE"
+    control = (F.col("kind") == "NONE") & F.col("k").between(2, 7) & (~k.isin(COLLECTOR_KS) | (F.col("source") == COLLECTOR))  # one collector for all
     named = F.create_map(*(F.lit(x) for kv in CONTROL_KINDS.items() for x in kv))
-    return notifications(spark, sf_dir).filter("kind = 'NONE' and k between 2 and 7").select(F.col("received_ms").alias("at_ms"), named[F.col("k")].alias("reason"), "source", "mint")
+    cause = F.when(F.col("kind") == "GAP", "DECODE_GAP").when(control, named[k])
+    reach, action = (F.create_map(*(F.lit(x) for c, v in CAUSES.items() for x in (c, v[i]))) for i in range(2))
+    act = lambda a, at, plus, r, why: F.struct(a.alias("action"), at.alias("at_ms"), (F.col("event_id") * 2 + plus).alias("ordinal"), r.alias("reach"), why.alias("reason"))
+    none, window = F.lit(None).cast("string"), F.lit("window")
+    opened = F.array(
+        act(F.lit("OPEN"), F.col("received_ms"), 0, window, none),
+        act(F.when(k % 23 == UNREAD_K, "FAIL").otherwise("CONFIRM"), F.col("received_ms") + (k % 9) * READ_MS, 1, window, none),
+    )
+    said = F.when(created, opened).when(cause.isNotNull(), F.array(act(action[cause], F.col("received_ms"), 0, reach[cause], cause)))
+    return note.select("mint", "source", "asset", F.when(created, F.col("signature")).alias("opener"), F.explode(said).alias("e")).select("e.*", "mint", "source", "asset", "opener")
+
+
+def feed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each source was seen: source, at_ms of all notifications but controls."""
+    return notifications(spark, sf_dir).filter("not (kind = 'NONE' and k between 2 and 7)").select("source", F.col("received_ms").alias("at_ms"))
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
