@@ -139,3 +139,38 @@ def test_no_events(spark):
     assert registry.runs(registry.settled(empty, events, spark.createDataFrame([], "source string, at_ms long")), events).count() == 0
     nameless = spark.createDataFrame([(1, 1, "OPEN", "window", None, "S", "NATIVE", "x", None), (None, 2, "OPEN", "window", "a", "S", "NATIVE", "y", None)], SCHEMA)
     assert registry.registry(nameless, LENGTH, 3).count() == 0
+
+
+POSITIONS = "event_id long, slot long, transaction_index long, signature string, kind string, program string, instruction_index int, event_index int, mint string, quote_mint string, base long, quote long"
+
+
+def matched(spark, rows):
+    from windowmill.operators import intake
+
+    df = spark.createDataFrame([(n, slot, tx, f"s{slot}-{tx}", kind, "PUMP", i, e, "m", "Q", 1, 1) for n, (slot, tx, kind, i, e) in enumerate(rows)], POSITIONS)
+    return {r.event_id: (r.quarantine_reason, r.registered_slot) for r in intake.registered(df).collect()}
+
+
+def test_a_trade_finds_the_market_that_its_own_transaction_creates(spark):
+    got = matched(spark, [(5, 1, "TRADE", 0, 0), (5, 1, "CREATE", 3, 0), (5, 1, "TRADE", 3, 1), (5, 0, "TRADE", 9, 0), (4, 9, "TRADE", 0, 0), (5, None, "TRADE", 0, 0), (6, None, "TRADE", 0, 0)])
+    assert got == {0: (None, 5), 2: (None, 5), 3: ("UNRESOLVED_MARKET", None), 4: ("UNRESOLVED_MARKET", None), 5: ("UNRESOLVED_MARKET", None), 6: (None, 5)}
+
+
+def test_a_market_takes_what_completes_it_and_nothing_after(spark):
+    rows = [(1, 0, "CREATE", 0, 0), (2, 0, "TRADE", 0, 0), (2, 0, "COMPLETE", 0, 1), (2, 0, "TRADE", 0, 2), (3, 0, "MIGRATION", 0, 0), (4, 0, "CREATE", 1, 0), (4, 0, "TRADE", 0, 0)]
+    assert matched(spark, rows) == {1: (None, 1), 2: (None, 1), 3: ("UNRESOLVED_MARKET", None), 4: ("UNRESOLVED_MARKET", None), 6: (None, 4)}
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_position_asof_splits_a_hot_key(spark, strict):
+    from windowmill.operators.asof import asof_position
+
+    pick = random.Random(3)
+    left = [("hot" if pick.random() < 0.9 else f"k{pick.randrange(9)}", pick.choice([None, *range(40)]), pick.randrange(5), n) for n in range(3000)]
+    right = [("hot" if pick.random() < 0.9 else f"k{pick.randrange(9)}", pick.choice([None, *range(40)]), pick.randrange(5), n) for n in range(300)]
+    l, r = spark.createDataFrame(left, "k string, a int, b int, n int"), spark.createDataFrame(right, "k string, a int, b int, v int")  # noqa: E741
+    key = lambda a, b: (a is not None, a or 0, b)
+    got = {x.n: x.v for x in asof_position(l, r, ["k"], ["a", "b"], "v", strict).collect()}
+    for k, a, b, n in left:
+        before = [(key(x, y), v) for j, x, y, v in right if j == k and (key(x, y) < key(a, b) or not strict and key(x, y) == key(a, b))]
+        assert got[n] == (max(before)[1] if before else None)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windowmill.operators.storage import checkpointed
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, slot_ms: int, after: bool = False, strict: bool = False) -> DataFrame:
     """``left`` with the column ``value`` of the last row of ``right`` at or before its time, or the next at or after it.
@@ -26,6 +28,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right
     b = right.filter(F.col(right_at).isNotNull()).select(*keys, (F.col(right_at) * sign).alias("_at"), F.lit(first).alias("_side"), F.col(value).alias("_value"), F.floor(F.col(right_at) / slot_ms).alias("_slot"))
     both = a.unionByName(b.withColumn("_row", F.lit(None).cast(a.schema["_row"].dataType)))
     of_right = F.col("_side") == first
+    return _carried(both, keys, first, value, after)
+
+
+def _carried(both: DataFrame, keys: list[str], right_side: int, value: str, after: bool = False) -> DataFrame:
+    """Rows (_row) of one side with the last _value of the other before them; both are cut into slots of ascending _slot."""
+    of_right = F.col("_side") == right_side
     slots = both.groupBy(*keys, "_slot").agg(F.max_by(F.when(of_right, F.col("_value")), F.when(of_right, F.struct("_at", "_value"))).alias("_last"))
     order = F.desc("_slot") if after else F.asc("_slot")
     entering = Window.partitionBy(*keys, F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -37,6 +45,25 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right
     return out.select("c._row.*", F.coalesce("_inside", "_enters").alias(value))
 
 
+def asof_position(left: DataFrame, right: DataFrame, keys: list[str], position: list[str], value: str, strict: bool = True) -> DataFrame:
+    """``left`` with ``value`` of the last row of ``right`` before its position, a list of columns that both have.
+
+    Positions compare column by column, NULL first. ``strict`` leaves out equal ones.
+    Both sides are range-partitioned by keys and position together, so that each part
+    holds about as many rows, and a key that holds most of them is split at ranks, however
+    its positions are spread. What enters a part comes from one row for each key and
+    part. The parts are written once, as their borders are sampled. Rows of ``right`` of
+    equal keys and positions are taken in the order of the value.
+    """
+    kind, row = right.schema[value].dataType, F.struct(*left.columns)
+    first, second = (1, 0) if strict else (0, 1)
+    at = F.struct(*position).alias("_at")
+    a = left.select(*keys, at, F.lit(second).alias("_side"), F.lit(None).cast(kind).alias("_value"), row.alias("_row"))
+    b = right.select(*keys, at, F.lit(first).alias("_side"), F.col(value).alias("_value")).withColumn("_row", F.lit(None).cast(a.schema["_row"].dataType))
+    both = checkpointed(a.unionByName(b).repartitionByRange(*keys, "_at", "_side").withColumn("_slot", F.spark_partition_id()))
+    return _carried(both, keys, first, value)
+
+
 def before(df: DataFrame, keys: list[str], order: list[Column], at: str, slot_ms: int, fold: Callable, value: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the fold (F.sum, F.max or F.min) of a value over earlier rows of the same keys; NULL if there are none.
 

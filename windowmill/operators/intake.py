@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowmill.operators.asof import asof
+from windowmill.operators.asof import asof_position
 from windowmill.operators.windows import DAY_MS, members
 
 DISCOVERY = ["CREATE", "CREATE_POOL"]
@@ -68,23 +68,44 @@ def classified(notifications: DataFrame, events: DataFrame, windows: DataFrame,
     return out.withColumns(counts).select("signature", kind.alias("disposition"), "seeds", "tracked")
 
 
-def registered(events: DataFrame, registry: DataFrame, slot_ms: int = DAY_MS) -> DataFrame:
-    """Events with quarantine_reason, NULL where their market takes them, and registered_ms of it.
+#: A position on the chain: discoveries come first within a transaction, then the order of programs, instructions and events.
+POSITION = ["slot", "transaction_index", "after_discovery", "program_rank", "instruction_index", "event_index"]
+_RANKS = {"PUMP": 0, "PUMP_SWAP": 1}
 
-    ``registry`` has mint, at_ms, quote_mint and open: a market is open from its
-    registration to its completion or migration. The last entry before an event counts,
-    by an as-of join that leaves out equal times. A trade of a zero amount is refused
-    before its market is looked up; a market is unresolved if none is open; a trade must
-    be in its market's quote mint, where two unknown ones are equal.
+
+def positioned(events: DataFrame) -> DataFrame:
+    """Add after_discovery and program_rank, by which the events of a transaction are taken in order."""
+    rank = F.create_map(*(F.lit(x) for kv in _RANKS.items() for x in kv))
+    return events.withColumns({"after_discovery": (~F.coalesce(F.col("kind").isin(DISCOVERY), F.lit(False))).cast("int"), "program_rank": F.coalesce(rank[F.col("program")], F.lit(len(_RANKS)))})
+
+
+def registered(events: DataFrame) -> DataFrame:
+    """Events that are no discoveries, with quarantine_reason, NULL where their market takes them, and registered_slot of it.
+
+    A creation registers its market (mint and quote_mint), a completion or migration
+    retires it behind itself, so that the event that completes a market still belongs to
+    it. What was registered before an event counts, by position: a trade in the very
+    transaction that creates its market finds it, whichever instruction comes first. A
+    trade of a zero amount is refused before its market is looked up; a market is
+    unresolved if none is open; a trade must be in its market's quote mint, where two
+    unknown ones are equal.
     """
-    entries = registry.withColumn("market", F.struct("at_ms", "open", "quote_mint"))
-    out = asof(events, entries, ["mint"], "received_ms", "at_ms", "market", slot_ms, strict=True)
+    placed = positioned(events)
+    ends = F.col("kind").isin("COMPLETE", "MIGRATION")
+    entries = placed.filter(F.col("kind").isin(DISCOVERY) | ends).withColumn("market", F.struct((~ends).alias("open"), "slot", "quote_mint"))
+    out = asof_position(placed.filter(~F.col("kind").isin(DISCOVERY)), entries, ["mint"], POSITION, "market")
     trade = F.col("kind") == "TRADE"
     reason = (
         F.when(trade & ((F.coalesce("base", F.lit(0)) <= 0) | (F.coalesce("quote", F.lit(0)) <= 0)), "ZERO_TRADE_AMOUNT")
         .when(~F.coalesce("market.open", F.lit(False)), "UNRESOLVED_MARKET").when(trade & ~F.col("quote_mint").eqNullSafe(F.col("market.quote_mint")), "QUOTE_MINT_MISMATCH")
     )
-    return out.withColumn("quarantine_reason", reason).withColumn("registered_ms", F.when(reason.isNull(), F.col("market.at_ms"))).drop("market")
+    return out.withColumn("quarantine_reason", reason).withColumn("registered_slot", F.when(reason.isNull(), F.col("market.slot"))).drop("market")
+
+
+def event_order(events: DataFrame) -> DataFrame:
+    """Add place: the place of each event among those of its transaction, discoveries first, from 0."""
+    within = Window.partitionBy("signature").orderBy(*POSITION[2:])
+    return positioned(events).withColumn("place", (F.row_number().over(within) - 1).cast("long"))
 
 
 def source_matches_venue(source: Column, venue: Column) -> Column:

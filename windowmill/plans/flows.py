@@ -138,12 +138,14 @@ def intake_seeds(s: Scene) -> DataFrame:
     return intake.seeds(intake_events(s)[1], MAX_AGE_MS)
 
 
-def market_matched(s: Scene) -> DataFrame:
-    """Observations against a registry where creations open a market and completions and migrations close it."""
-    kind, k = F.col("kind"), F.col("k")
-    quoted = s.observations.withColumn("quote_mint", F.when(k % 19 == 4, "OTHER").otherwise(F.col("asset")))
-    registry = s.observations.filter("kind in ('CREATE', 'COMPLETE', 'MIGRATION')").select("mint", F.col("received_ms").alias("at_ms"), F.col("asset").alias("quote_mint"), (kind == "CREATE").alias("open"))
-    return intake.registered(quoted.filter(kind != "CREATE"), registry).select("event_id", "mint", "quarantine_reason", "registered_ms")
+def market_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against the markets that are registered before their position."""
+    found = intake.registered(adapters.chain_events(spark, sf_dir))
+    return found.select("event_id", "instruction_index", "event_index", "kind", "mint", "quarantine_reason", "registered_slot")
+
+
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.event_order(adapters.chain_events(spark, sf_dir)).select("signature", "instruction_index", "event_index", "kind", "place")
 
 
 def decode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +266,8 @@ QUERIES = {
     "window_states": scene(window_states),
     "intake_classified": scene(intake_classified),
     "intake_seeds": scene(intake_seeds),
-    "market_matched": scene(market_matched),
+    "market_matched": market_matched,
+    "event_order": event_order,
     "window_superseded": scene(lambda s: windows.superseded(s.windows).select("mint", "opened_ms", "is_current")),
     "window_membership": scene(lambda s: s.member.select("mint", "opened_ms", "event_id")),
     "membership_mismatch": scene(lambda s: windows.late(s.observations, s.windows)),

@@ -165,6 +165,12 @@ arr AS (SELECT *, 'h-' || event_id AS evidence, CAST(NULL AS BIGINT) AS tx, even
   UNION ALL SELECT *, 'h-' || event_id, k + 1, event_id * 10 + 4 FROM obs WHERE event_id % 26 = 0),
 byk AS (SELECT signature, count(*) AS copies, count(DISTINCT evidence) AS contents, count(DISTINCT tx) AS indexes, min(received_ms) AS earliest, arg_min(received_ms, arrival) AS first_ms, min(kind) AS kind FROM arr GROUP BY signature)"""
 _PRICE = "CAST(quote AS HUGEINT) * 1000000 // base"  # amounts are small here: base at most 100, so six digits tell fractions apart
+_CHAIN = _NOTES.rstrip().rstrip(",") + """,
+said AS (SELECT *, unnest(CASE WHEN kind = 'CREATE' AND k % 3 = 0 THEN [(2, 0, 'CREATE'), (1, 0, 'TRADE')] WHEN kind = 'CREATE' AND k % 3 = 1 THEN [(1, 0, 'CREATE'), (1, 1, 'TRADE'), (3, 0, 'TRADE')]
+    WHEN kind IN ('COMPLETE', 'MIGRATION') THEN [(0, 0, 'TRADE'), (1, 0, kind), (1, 1, 'TRADE'), (2, 0, 'TRADE')] ELSE [(k % 3, 0, kind)] END) AS e FROM obs),
+che AS (SELECT event_id, slot // 2 AS cslot, slot % 2 AS tx, signature, e[3] AS kind, e[1] AS instruction_index, e[2] AS event_index, CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END AS program_rank, mint,
+    CASE WHEN k % 19 = 4 AND e[3] = 'TRADE' THEN 'OTHER' ELSE asset END AS qm, CASE WHEN e[3] = kind THEN base WHEN e[3] = 'TRADE' THEN k + 1 END AS base, CASE WHEN e[3] = kind THEN quote WHEN e[3] = 'TRADE' THEN k + 1 END AS quote,
+    CASE WHEN e[3] = 'CREATE' THEN 0 ELSE 1 END AS after_discovery FROM said)"""
 _INTAKE = _BASE + f""",
 marked AS (SELECT signature, k % 17 = 3 AS failed, k % 11 = 5 AS malformed FROM note),
 ev AS (SELECT o.*, 'mint:' || mint AS target, received_ms - k * 400 + 5000 AS event_ms, unnest(CASE WHEN k % 5 = 0 THEN [0, 1] ELSE [0] END) AS event_order FROM obs o),
@@ -204,11 +210,12 @@ ORACLES = {
     "intake_classified": _INTAKE + """ SELECT m.signature, CASE WHEN failed THEN 'FAILED_TRANSACTION' WHEN s.n > 0 THEN 'FETCH_DISCOVERY' WHEN t.n > 0 THEN 'COLLECT_TRACKED_ACTIVITY' WHEN d.signature IS NOT NULL THEN 'STALE_DISCOVERY' WHEN malformed THEN 'MALFORMED_LOGS' ELSE 'IRRELEVANT' END AS disposition,
       CASE WHEN failed THEN 0 ELSE coalesce(s.n, 0) END AS seeds, CASE WHEN failed THEN 0 ELSE coalesce(t.n, 0) END AS tracked
       FROM marked m LEFT JOIN (SELECT signature, count(*) AS n FROM seeds GROUP BY ALL) s USING (signature) LEFT JOIN taken t USING (signature) LEFT JOIN (SELECT DISTINCT signature FROM disc WHERE NOT fresh) d USING (signature)""",
-    "market_matched": _BASE + """, reg AS (SELECT mint, received_ms AS at_ms, asset AS quote_mint, kind = 'CREATE' AS open FROM obs WHERE kind IN ('CREATE', 'COMPLETE', 'MIGRATION')),
-      q AS (SELECT *, CASE WHEN k % 19 = 4 THEN 'OTHER' ELSE asset END AS qm FROM obs WHERE kind <> 'CREATE'),
-      j AS (SELECT q.event_id, q.mint, r.at_ms, CASE WHEN kind = 'TRADE' AND (base <= 0 OR quote <= 0) THEN 'ZERO_TRADE_AMOUNT' WHEN NOT coalesce(r.open, false) THEN 'UNRESOLVED_MARKET' WHEN kind = 'TRADE' AND q.qm IS DISTINCT FROM r.quote_mint THEN 'QUOTE_MINT_MISMATCH' END AS reason
-        FROM q ASOF LEFT JOIN reg r ON q.mint = r.mint AND q.received_ms > r.at_ms)
-      SELECT event_id, mint, reason AS quarantine_reason, CASE WHEN reason IS NULL THEN at_ms END AS registered_ms FROM j""",
+    "event_order": _CHAIN + " SELECT signature, instruction_index, event_index, kind, row_number() OVER (PARTITION BY signature ORDER BY after_discovery, program_rank, instruction_index, event_index) - 1 AS place FROM che",
+    "market_matched": _CHAIN + """, side AS (SELECT *, 0 AS side, CAST(NULL AS INT) AS entry FROM che WHERE kind <> 'CREATE' UNION ALL SELECT *, 1, 1 FROM che WHERE kind IN ('CREATE', 'COMPLETE', 'MIGRATION')),
+      j AS (SELECT *, last_value(CASE WHEN entry = 1 THEN kind = 'CREATE' END IGNORE NULLS) OVER o AS m_open, last_value(CASE WHEN entry = 1 THEN cslot END IGNORE NULLS) OVER o AS m_slot, last_value(CASE WHEN entry = 1 THEN qm END IGNORE NULLS) OVER o AS m_qm FROM side
+        WINDOW o AS (PARTITION BY mint ORDER BY cslot, tx, after_discovery, program_rank, instruction_index, event_index, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+      r AS (SELECT *, CASE WHEN kind = 'TRADE' AND (base <= 0 OR quote <= 0) THEN 'ZERO_TRADE_AMOUNT' WHEN NOT coalesce(m_open, false) THEN 'UNRESOLVED_MARKET' WHEN kind = 'TRADE' AND qm IS DISTINCT FROM m_qm THEN 'QUOTE_MINT_MISMATCH' END AS reason FROM j WHERE side = 0)
+      SELECT event_id, instruction_index, event_index, kind, mint, reason AS quarantine_reason, CASE WHEN reason IS NULL THEN m_slot END AS registered_slot FROM r""",
     "obs_normalize": _BASE + " SELECT event_id, source, mint, asset, kind, side, nullif(trim(wallet), '') AS wallet, creator, base, quote, base_reserve, quote_reserve, received_ms FROM obs",
     "obs_dedup_replay": _COPIES + " SELECT signature, CASE WHEN kind = 'CREATE' THEN first_ms ELSE earliest END AS received_ms, CAST(NULL AS BIGINT) AS transaction_index, kind, copies FROM byk WHERE contents = 1 AND indexes <= 1",
     "obs_replay_conflicts": _COPIES + " SELECT signature, copies, CASE WHEN contents > 1 THEN 'CONTENT' ELSE 'TRANSACTION_INDEX' END AS conflict_kind FROM byk WHERE contents > 1 OR indexes > 1",

@@ -76,6 +76,28 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_KINDS = {2: "SOURCE_DISCONNECTED", 3: "STREAM_STOPPED", 4: "PROCESSING_FAILED", 5: "QUEUE_OVERFLOW", 6: "CPI_INSTRUCTION_DATA_UNAVAILABLE", 7: "PIPELINE_RESTARTED"}
 
 
+def chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as events of transactions that hold several: a creation may bring a first trade, which its instruction precedes
+    or follows; trades stand on both sides of the instruction that completes or migrates a market."""
+    o = observations(spark, sf_dir)
+    k, one = F.col("k"), F.lit(1)
+    event = lambda kind, instruction, event: F.struct(kind.alias("kind"), instruction.cast("int").alias("instruction_index"), F.lit(event).alias("event_index"))
+    own = lambda at: event(F.col("kind"), at, 0)
+    trade = lambda at, event_index=0: event(F.lit("TRADE"), at, event_index)
+    bare = F.array(own(k % 3))
+    said = (
+        F.when(F.col("kind") == "CREATE", F.when(k % 3 == 0, F.array(own(one * 2), trade(one))).when(k % 3 == 1, F.array(own(one), trade(one, 1), trade(one * 3))).otherwise(bare))
+        .when(F.col("kind").isin("COMPLETE", "MIGRATION"), F.array(trade(one * 0), own(one), trade(one, 1), trade(one * 2))).otherwise(bare)
+    )
+    amounts = {c: F.coalesce(F.when(F.col("e.kind") == F.col("kind"), F.col(c)), F.when(F.col("e.kind") == "TRADE", (k + 1).cast("decimal(20,0)"))) for c in ("base", "quote")}
+    cut = o.withColumn("e", F.explode(said)).withColumns(amounts)
+    swap = F.when(k % 4 == 3, "PUMP_SWAP").otherwise("PUMP")
+    return cut.select(
+        "event_id", F.floor(F.col("slot") / 2).alias("slot"), (F.col("slot") % 2).alias("transaction_index"), "signature", "e.*", swap.alias("program"), "source", "mint",
+        F.when((k % 19 == 4) & (F.col("e.kind") == "TRADE"), "OTHER").otherwise(F.col("asset")).alias("quote_mint"), "base", "quote", "received_ms",
+    )
+
+
 #: Discoveries are read after so long, a multiple by k; of one k they can't be read.
 READ_MS, UNREAD_K = 1_200_000, 7
 #: Stops and restarts are told by what this source sends alone.
