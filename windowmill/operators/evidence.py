@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowmill.operators.asof import asof
-from windowmill.operators.projection import marked_stale
 from windowmill.operators.replay import KEY
-from windowmill.operators.windows import DAY_MS
 
 
 def same_reasons(expected: Column, given: Column) -> Column:
@@ -75,29 +72,6 @@ def recovered(records: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return good.select("source", "signature", "slot", (F.col("_until") - 1 - F.col("position")).cast("long").alias("step"), "recovery_error").unionByName(failed)
 
 
-def merge_outcomes(observations: DataFrame, passes: DataFrame) -> DataFrame:
-    """event_id, mint, outcome: what each observation does to its token, in order of arrival.
-
-    The first inserts. One of a lower slot than before is ignored, but a creation names
-    a token that has no name. Any other updates; if its market differs from the token's,
-    and a window passed since the token came to that market, it demotes the token.
-    ``passes`` has mint and at_ms; ``observations`` has a market.
-    """
-    before = Window.partitionBy("mint").orderBy("received_ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = marked_stale(observations).withColumns(
-        {"_place": F.count("*").over(before), "_market": F.last(F.when(~F.col("stale"), F.col("market")), ignorenulls=True).over(before), "_named": F.coalesce(F.count_if(F.col("kind") == "CREATE").over(before), F.lit(0))}
-    )
-    rows = rows.withColumn("_changed", ~F.col("stale") & (F.col("_market").isNull() | (F.col("_market") != F.col("market"))))
-    rows = rows.withColumn("_changed_ms", F.max(F.when(F.col("_changed"), F.col("received_ms"))).over(before))
-    kept = rows.select("event_id", "mint", "received_ms", "kind", "stale", "_place", "_named", "_changed", "_changed_ms")
-    seen = asof(kept, passes.withColumn("_passed_ms", F.col("at_ms")), ["mint"], "received_ms", "at_ms", "_passed_ms", DAY_MS)
-    outcome = (
-        F.when(F.col("_place") == 0, "INSERTED").when(F.col("stale") & (F.col("kind") == "CREATE") & (F.col("_named") == 0), "METADATA_ENRICHED_FROM_STALE_CREATION")
-        .when(F.col("stale"), "STALE_OBSERVATION_IGNORED").when(F.col("_changed") & (F.col("_passed_ms") > F.col("_changed_ms")), "DEMOTED_BY_MARKET_CHANGE").otherwise("UPDATED")
-    )
-    return seen.select("event_id", "mint", outcome.alias("outcome"))
-
-
 def finalization_conflicts(evaluations: DataFrame) -> DataFrame:
     """mint, opened_ms of windows that were finalized twice with different evidence; the time of evaluation may differ."""
     found = evaluations.groupBy("mint", "opened_ms").agg(F.min(F.xxhash64("decision", "reasons", "evidence")).alias("low"), F.max(F.xxhash64("decision", "reasons", "evidence")).alias("high"), F.count("*").alias("copies"))

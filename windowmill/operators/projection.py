@@ -56,14 +56,6 @@ def token_state(observations: DataFrame) -> DataFrame:
     return found.select("mint", F.col("row.slot").alias("latest_slot"), F.col("row.kind").alias("latest_kind"), F.col("row.signature").alias("latest_signature"), "first_observed_ms", "last_observed_ms", "stale_rows", F.coalesce("own", "filled").alias("name"), outcome.alias("metadata"))
 
 
-def staged(tokens: DataFrame, current: DataFrame, approvals: DataFrame) -> DataFrame:
-    """Add stage: a pass of the current window qualifies; an approval needs that."""
-    passed = current.filter("is_current and decision = 'PASS'").select("mint", F.lit(True).alias("_passed")).distinct()
-    out = tokens.join(passed, "mint", "left").join(approvals.select("mint", F.lit(True).alias("_approved")).distinct(), "mint", "left")
-    stage = F.when(F.col("_passed") & F.col("_approved"), "APPROVED").when(F.col("_passed"), "QUALIFIED").otherwise("OBSERVED")
-    return out.withColumn("stage", stage).drop("_passed", "_approved")
-
-
 def snapshot(stage: DataFrame, mode: str, rows: int = 500) -> DataFrame:
     """The newest visible tokens of a mode, by slot and then mint."""
     if not 0 < rows <= MAX_ROWS:

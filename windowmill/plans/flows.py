@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windowmill.functions.ordering import order_columns
-from windowmill.operators import evidence, intake, lifecycle, metrics, projection, registry, replay, rules, windows
+from windowmill.operators import evidence, intake, lifecycle, metrics, projection, registry, replay, rules, tokens, windows
 from windowmill.operators.asof import before
 from windowmill.operators.storage import checkpointed
 from windowmill.sources import adapters, coverage, layouts, logs, samples
@@ -82,10 +82,14 @@ class Scene:
         durable = windows.superseded(self.states.filter("status in ('CONFIRMED', 'CANCELLED_CONFIRMED', 'OPEN')"))
         return checkpointed(rules.decisions(self.rules()).join(durable.select(*metrics.WINDOW, "claimed_ms", "is_current"), metrics.WINDOW))
 
+    @cached_property
+    def token_rows(self) -> DataFrame:
+        """What each event does to its token, and the tokens that there are after all."""
+        return tokens.projected(token_events(self))
+
     def stage(self) -> DataFrame:
         named = self.observations.withColumn("name", F.when(F.col("kind") == "CREATE", F.concat(F.lit("name-"), F.col("event_id").cast("string"))))
-        approvals = self.observations.select("mint").distinct().filter(F.col("mint").cast("long") % 3 == 0)
-        return projection.staged(projection.token_state(named), self.decided, approvals)
+        return projection.token_state(named).join(self.token_rows.filter("what = 'TOKEN'").select("mint", "stage"), "mint")
 
 
 def scene(query):
@@ -205,10 +209,45 @@ def counters(s: Scene) -> DataFrame:
     )
 
 
+def token_events(s: Scene) -> DataFrame:
+    """Observations, decisions of claimed windows, approvals and removals as events of tokens."""
+    k, mint = F.col("k"), F.col("mint").cast("long")
+    durable = s.states.filter("status in ('CONFIRMED', 'CANCELLED_CONFIRMED', 'OPEN')")
+    holding = durable.select("mint", "opened_ms", F.coalesce("left_ms", "closes_ms").alias("closes_ms"))
+    held = windows.members(s.observations, holding, LENGTH_MS, ["event_id"]).select("event_id", F.col("opened_ms").alias("window_ms"))
+    market = F.when(k >= 90, F.concat(F.col("asset"), F.lit("-B"))).otherwise(F.col("asset"))
+    seen = s.observations.join(held, "event_id", "left").withColumn("market", market)
+    event = lambda action, plus: F.struct(F.lit(action).alias("action"), (F.col("event_id") * 4 + plus).alias("ordinal"))
+    said = F.array_compact(F.array(event("OBSERVE", 0), F.when((k % 10 == 3) & (mint % 3 == 0), event("APPROVE", 1)), F.when((k == 51) & (mint % 7 == 0), event("REMOVE", 2))))
+    name = F.when(F.col("kind") == "CREATE", F.concat(F.lit("name-"), F.col("event_id").cast("string")))
+    none = F.lit(None).cast("string")
+    seen = seen.select("mint", F.col("received_ms").alias("at_ms"), F.explode(said).alias("e"), "slot", "market", "window_ms", none.alias("decision"), "kind", name.alias("name")).select("e.*", "*").drop("e")
+    newer = Window.partitionBy("mint").orderBy("opened_ms", "opener")
+    newest = durable.withColumn("_newer", F.lead("opened_ms").over(newer)).select("mint", "opened_ms", "opener", "asset", (F.col("_newer").isNull() | (F.col("_newer") > F.col("claimed_ms"))).alias("newest"))
+    final = s.decided.join(newest, metrics.WINDOW).select(
+        "mint", F.col("claimed_ms").alias("at_ms"), F.lit("FINALIZE").alias("action"), (F.substring("opener", 5, 20).cast("long") * 4 + 3).alias("ordinal"), F.lit(0).cast("long").alias("slot"),
+        F.col("asset").alias("market"), F.col("opened_ms").alias("window_ms"), F.when(F.col("newest"), F.col("decision")).alias("decision"), none.alias("kind"), none.alias("name"),
+    )
+    return seen.unionByName(final)
+
+
 def token_outcomes(s: Scene) -> DataFrame:
+    return s.token_rows.filter("what = 'OUTCOME'").select("mint", "ordinal", "outcome")
+
+
+def token_fold(s: Scene) -> DataFrame:
+    """The tokens with their activity: that of their finalized window, or of their market's whole life."""
     market = F.when(F.col("k") >= 90, F.concat(F.col("asset"), F.lit("-B"))).otherwise(F.col("asset"))
-    passed = s.decided.filter("decision = 'PASS'").select("mint", F.col("claimed_ms").alias("at_ms"))
-    return evidence.merge_outcomes(s.observations.withColumn("market", market), passed)
+    life = windows.validated(s.observations.withColumn("market", market)).filter("valid").groupBy("mint", "market").agg(F.count("*").alias("_life"))
+    own = s.metrics().select("mint", F.col("opened_ms").alias("activity_window_ms"), F.col("trades").alias("_own"))
+    found = s.token_rows.filter("what = 'TOKEN'").join(life, ["mint", "market"], "left").join(own, ["mint", "activity_window_ms"], "left")
+    trades = F.coalesce(F.when(F.col("activity_window_ms").isNotNull(), F.col("_own")).otherwise(F.col("_life")), F.lit(0)).cast("long")
+    return found.select("mint", "market", "stage", "window_ms", "activity_window_ms", "latest_slot", "first_ms", "last_ms", "name", trades.alias("trades"))
+
+
+def token_counters(s: Scene) -> DataFrame:
+    """How often each outcome was, and how many tokens are left in each stage."""
+    return s.token_rows.groupBy("what", F.coalesce("outcome", "stage").alias("name")).agg(F.count("*").alias("value"))
 
 
 def reasons(decision: str):
@@ -262,6 +301,8 @@ QUERIES = {
     "call_coverage": lambda spark, sf_dir: coverage.call_coverage(samples.calls(spark, sf_dir), samples.PROGRAM),
     "coverage_incomplete": coverage_incomplete,
     "token_outcomes": scene(token_outcomes),
+    "token_fold": scene(token_fold),
+    "token_counters": scene(token_counters),
     "snapshot_totals": scene(lambda s: projection.page_totals(s.stage(), "OBSERVE_ALL", 50)),
     "window_states": scene(window_states),
     "intake_classified": scene(intake_classified),

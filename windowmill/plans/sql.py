@@ -132,9 +132,33 @@ aged AS (SELECT *, CASE WHEN kind = 'CREATE' THEN 'name-' || event_id END AS nam
 latest AS (SELECT mint, slot AS latest_slot, kind AS latest_kind, signature AS latest_signature FROM obs QUALIFY row_number() OVER (PARTITION BY mint ORDER BY slot DESC, received_ms DESC) = 1),
 times AS (SELECT mint, min(received_ms) FILTER (NOT stale) AS first_observed_ms, max(received_ms) FILTER (NOT stale) AS last_observed_ms, count(*) FILTER (stale) AS stale_rows,
   arg_max(name, received_ms) FILTER (NOT stale AND kind = 'CREATE') AS own, arg_min(name, received_ms) FILTER (stale AND kind = 'CREATE') AS filled FROM aged GROUP BY mint),
-passed AS (SELECT DISTINCT mint FROM current JOIN dec USING (mint, opened_ms) WHERE is_current AND decision = 'PASS'),
+durable AS (SELECT *, coalesce(lead(opened_ms) OVER (PARTITION BY mint ORDER BY opened_ms, opener) > claimed_ms, lead(opened_ms) OVER (PARTITION BY mint ORDER BY opened_ms, opener) IS NULL) AS newest FROM states WHERE status IN ('CONFIRMED', 'CANCELLED_CONFIRMED', 'OPEN')),
+held AS (SELECT o.*, d.opened_ms AS window_ms, CASE WHEN o.k >= 90 THEN o.asset || '-B' ELSE o.asset END AS market FROM obs o LEFT JOIN durable d ON d.mint = o.mint AND o.received_ms >= d.opened_ms AND o.received_ms < coalesce(d.left_ms, d.closes_ms)),
+tev AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY at_ms, ordinal) AS rn FROM (
+  SELECT mint, received_ms AS at_ms, event_id * 4 AS ordinal, 'OBSERVE' AS action, slot, market, window_ms, CAST(NULL AS VARCHAR) AS decision, kind, CASE WHEN kind = 'CREATE' THEN 'name-' || event_id END AS name FROM held
+  UNION ALL SELECT mint, received_ms, event_id * 4 + 1, 'APPROVE', slot, market, window_ms, NULL, kind, NULL FROM held WHERE k % 10 = 3 AND CAST(mint AS BIGINT) % 3 = 0
+  UNION ALL SELECT mint, received_ms, event_id * 4 + 2, 'REMOVE', slot, market, window_ms, NULL, kind, NULL FROM held WHERE k = 51 AND CAST(mint AS BIGINT) % 7 = 0
+  UNION ALL SELECT d.mint, d.claimed_ms, CAST(substr(d.opener, 5) AS BIGINT) * 4 + 3, 'FINALIZE', 0, d.asset, d.opened_ms, CASE WHEN d.newest THEN c.decision END, NULL, NULL FROM durable d JOIN dec c USING (mint, opened_ms))),
+tok(mint, rn, ordinal, outcome, top, market, stage, window_ms, act_ms, first_ms, last_ms, name) AS (
+  SELECT DISTINCT mint, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM tev
+  UNION ALL SELECT mint, next_rn, new_ordinal,
+    CASE WHEN inserts THEN 'INSERTED' WHEN stale THEN CASE WHEN kind = 'CREATE' AND name IS NULL THEN 'METADATA_ENRICHED_FROM_STALE_CREATION' ELSE 'STALE_OBSERVATION_IGNORED' END
+      WHEN takes THEN CASE WHEN NOT same AND stage <> 'OBSERVED' THEN 'DEMOTED_BY_MARKET_CHANGE' ELSE 'UPDATED' END WHEN NOT present THEN 'NO_TOKEN' WHEN action = 'REMOVE' THEN 'REMOVED'
+      WHEN action = 'FINALIZE' THEN CASE WHEN NOT current THEN 'NOT_CURRENT' WHEN NOT same THEN 'MARKET_MISMATCH' ELSE 'FINALIZED_' || decided END WHEN NOT same THEN 'MARKET_MISMATCH' WHEN stage = 'OBSERVED' THEN 'CANDIDATE_NOT_QUALIFIED' ELSE 'APPROVED' END,
+    CASE WHEN action = 'REMOVE' THEN NULL WHEN action = 'OBSERVE' THEN greatest(top, slot) ELSE top END,
+    CASE WHEN action = 'REMOVE' THEN NULL WHEN takes THEN new_market ELSE market END,
+    CASE WHEN action = 'REMOVE' THEN NULL WHEN takes THEN CASE WHEN present AND same THEN stage ELSE 'OBSERVED' END WHEN action = 'FINALIZE' AND current AND same THEN decided WHEN action = 'APPROVE' AND same AND stage <> 'OBSERVED' THEN 'APPROVED' ELSE stage END,
+    CASE WHEN action = 'REMOVE' THEN NULL WHEN takes THEN new_window ELSE window_ms END,
+    CASE WHEN action = 'REMOVE' OR takes OR stale AND same THEN NULL WHEN action = 'FINALIZE' AND current AND same THEN new_window ELSE act_ms END,
+    CASE WHEN action = 'REMOVE' THEN NULL WHEN takes THEN least(first_ms, at_ms) ELSE first_ms END, CASE WHEN action = 'REMOVE' THEN NULL WHEN takes THEN greatest(last_ms, at_ms) ELSE last_ms END,
+    CASE WHEN action = 'REMOVE' THEN NULL WHEN takes THEN coalesce(new_name, name) WHEN stale THEN coalesce(name, new_name) ELSE name END
+  FROM (SELECT *, action = 'OBSERVE' AND NOT present AS inserts, action = 'OBSERVE' AND NOT stale AS takes, CASE WHEN decision = 'PASS' THEN CASE WHEN stage = 'APPROVED' THEN 'APPROVED' ELSE 'QUALIFIED' END ELSE 'OBSERVED' END AS decided
+    FROM (SELECT t.* EXCLUDE (ordinal, outcome), e.rn AS next_rn, e.* EXCLUDE (mint, rn, ordinal, market, window_ms, name), e.ordinal AS new_ordinal, e.market AS new_market, e.window_ms AS new_window, e.name AS new_name, t.stage IS NOT NULL AS present,
+        coalesce(t.market = e.market, false) AS same, coalesce(e.action = 'OBSERVE' AND t.stage IS NOT NULL AND e.slot < t.top, false) AS stale, coalesce(e.decision IS NOT NULL AND t.window_ms = e.window_ms, false) AS current
+      FROM tok t JOIN tev e ON e.mint = t.mint AND e.rn = t.rn + 1))),
+ended AS (SELECT * FROM tok QUALIFY row_number() OVER (PARTITION BY mint ORDER BY rn DESC) = 1),
 token AS (SELECT l.*, first_observed_ms, last_observed_ms, stale_rows, coalesce(own, filled) AS name, CASE WHEN own IS NOT NULL THEN 'CREATED' WHEN filled IS NOT NULL THEN 'ENRICHED_FROM_STALE_CREATION' ELSE 'UNNAMED' END AS metadata,
-  CASE WHEN p.mint IS NULL THEN 'OBSERVED' WHEN CAST(l.mint AS BIGINT) % 3 = 0 THEN 'APPROVED' ELSE 'QUALIFIED' END AS stage FROM latest l JOIN times USING (mint) LEFT JOIN passed p USING (mint))"""
+  t.stage FROM latest l JOIN times USING (mint) JOIN (SELECT mint, stage FROM ended WHERE stage IS NOT NULL) t USING (mint))"""
 
 
 def _order(kind: str) -> str:
@@ -198,14 +222,11 @@ ORACLES = {
       SELECT 'n' || event_id AS signature, CAST(s.i AS INT) AS instruction_index, CAST(s.c AS INT) AS calls, CAST(s.g AS BOOLEAN) AS gap, s.x AS scope_error FROM shape""",
     "coverage_incomplete": _BASE + " SELECT 'n' || event_id AS signature, k % 6 IN (1, 2, 3) AS incomplete FROM note WHERE k % 6 <> 5",
     "snapshot_totals": _STAGED + " SELECT count(*) AS tokens_total, least(count(*), 50) AS returned, count(*) > 50 AS tokens_truncated FROM token",
-    "token_outcomes": _STAGED + """, g AS (SELECT *, CASE WHEN k >= 90 THEN asset || '-B' ELSE asset END AS market, row_number() OVER o AS place, coalesce(count(*) FILTER (kind = 'CREATE') OVER b, 0) AS named FROM aged
-        WINDOW o AS (PARTITION BY mint ORDER BY received_ms, event_id), b AS (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-      h AS (SELECT *, last_value(CASE WHEN NOT stale THEN market END IGNORE NULLS) OVER (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM g),
-      i AS (SELECT *, NOT stale AND (had IS NULL OR had <> market) AS changed FROM h),
-      j AS (SELECT *, max(CASE WHEN changed THEN received_ms END) OVER (PARTITION BY mint ORDER BY received_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS changed_ms FROM i),
-      pass AS (SELECT mint, claimed_ms AS at_ms FROM win JOIN dec USING (mint, opened_ms) WHERE decision = 'PASS')
-      SELECT j.event_id, j.mint, CASE WHEN place = 1 THEN 'INSERTED' WHEN stale AND kind = 'CREATE' AND named = 0 THEN 'METADATA_ENRICHED_FROM_STALE_CREATION' WHEN stale THEN 'STALE_OBSERVATION_IGNORED'
-        WHEN changed AND p.at_ms > changed_ms THEN 'DEMOTED_BY_MARKET_CHANGE' ELSE 'UPDATED' END AS outcome FROM j ASOF LEFT JOIN pass p ON j.mint = p.mint AND j.received_ms >= p.at_ms""",
+    "token_outcomes": _STAGED + " SELECT mint, ordinal, outcome FROM tok WHERE rn > 0",
+    "token_counters": _STAGED + " SELECT 'OUTCOME' AS what, outcome AS name, count(*) AS value FROM tok WHERE rn > 0 GROUP BY outcome UNION ALL SELECT 'TOKEN', stage, count(*) FROM ended WHERE stage IS NOT NULL GROUP BY stage",
+    "token_fold": _STAGED + """, life AS (SELECT mint, market, count(*) AS n FROM held WHERE kind = 'TRADE' AND trim(coalesce(wallet, '')) <> '' AND base > 0 AND quote > 0 GROUP BY ALL)
+      SELECT e.mint, e.market, e.stage, e.window_ms, e.act_ms AS activity_window_ms, e.top AS latest_slot, e.first_ms, e.last_ms, e.name, CAST(coalesce(CASE WHEN e.act_ms IS NULL THEN l.n ELSE m.trades END, 0) AS BIGINT) AS trades
+      FROM ended e LEFT JOIN life l ON l.mint = e.mint AND l.market = e.market LEFT JOIN m ON m.mint = e.mint AND m.opened_ms = e.act_ms WHERE e.stage IS NOT NULL""",
     "intake_seeds": _INTAKE + " SELECT * FROM seeds",
     "intake_classified": _INTAKE + """ SELECT m.signature, CASE WHEN failed THEN 'FAILED_TRANSACTION' WHEN s.n > 0 THEN 'FETCH_DISCOVERY' WHEN t.n > 0 THEN 'COLLECT_TRACKED_ACTIVITY' WHEN d.signature IS NOT NULL THEN 'STALE_DISCOVERY' WHEN malformed THEN 'MALFORMED_LOGS' ELSE 'IRRELEVANT' END AS disposition,
       CASE WHEN failed THEN 0 ELSE coalesce(s.n, 0) END AS seeds, CASE WHEN failed THEN 0 ELSE coalesce(t.n, 0) END AS tracked
