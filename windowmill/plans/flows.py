@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from windowmill.functions.ordering import order_columns
 from windowmill.operators import evidence, intake, lifecycle, metrics, projection, registry, replay, rules, tokens, windows
 from windowmill.operators.asof import before
-from windowmill.operators.storage import checkpointed
+from windowmill.operators.storage import checkpointed, shared_folder
 from windowmill.sources import adapters, coverage, layouts, logs, samples
+from windowmill.streaming import stateful
 
 LENGTH_MS = 7 * windows.DAY_MS
 SHIP_LENGTH_MS = 90 * windows.DAY_MS
@@ -20,6 +21,7 @@ CAPACITY = 128
 CLAIM_TTL_MS = 2 * windows.DAY_MS
 FLOW_MS = 60_000
 MAX_AGE_MS = 15_000
+IDLE_MS = 21_600_000
 CUTOFF_MS = 1_705_708_800_000
 #: (revision, effective from, minimum trades)
 REVISIONS = [(1, 1_704_067_200_000, 5), (2, 1_704_931_200_000, 8), (3, 1_705_795_200_000, 3)]
@@ -250,6 +252,17 @@ def token_counters(s: Scene) -> DataFrame:
     return s.token_rows.groupBy("what", F.coalesce("outcome", "stage").alias("name")).agg(F.count("*").alias("value"))
 
 
+def live_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, run to its end: each window that the watermark closed."""
+    seen = adapters.observations(spark, sf_dir, read=adapters.stream)
+    return longs(stateful.collected(stateful.window_metrics(seen, LENGTH_MS), f"{shared_folder(spark)}/live-window-metrics"))
+
+
+def live_idle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = adapters.notifications(spark, sf_dir, read=adapters.stream)
+    return stateful.collected(stateful.idle_gaps(seen, IDLE_MS), f"{shared_folder(spark)}/live-idle-gaps")
+
+
 def reasons(decision: str):
     def query(s: Scene) -> DataFrame:
         rows = s.rules()
@@ -303,6 +316,8 @@ QUERIES = {
     "token_outcomes": scene(token_outcomes),
     "token_fold": scene(token_fold),
     "token_counters": scene(token_counters),
+    "live_window_metrics": live_window_metrics,
+    "live_idle_gaps": live_idle_gaps,
     "snapshot_totals": scene(lambda s: projection.page_totals(s.stage(), "OBSERVE_ALL", 50)),
     "window_states": scene(window_states),
     "intake_classified": scene(intake_classified),

@@ -1,6 +1,6 @@
 """The same queries in DuckDB SQL, over one chain of common table expressions."""
 
-from windowmill.plans.flows import CAPACITY, CLAIM_TTL_MS, CUTOFF_MS, FLOW_MS, LENGTH_MS, MAX_AGE_MS, POLICY, REVISIONS, SHIP_LENGTH_MS
+from windowmill.plans.flows import CAPACITY, CLAIM_TTL_MS, CUTOFF_MS, FLOW_MS, IDLE_MS, LENGTH_MS, MAX_AGE_MS, POLICY, REVISIONS, SHIP_LENGTH_MS
 from windowmill.operators.rules import RULES
 from windowmill.operators.registry import CAUSES
 from windowmill.sources.adapters import COLLECTOR, COLLECTOR_KS, CONTROL_KINDS, GAP_CENTS, READ_MS, UNREAD_K
@@ -231,6 +231,10 @@ ORACLES = {
     "intake_classified": _INTAKE + """ SELECT m.signature, CASE WHEN failed THEN 'FAILED_TRANSACTION' WHEN s.n > 0 THEN 'FETCH_DISCOVERY' WHEN t.n > 0 THEN 'COLLECT_TRACKED_ACTIVITY' WHEN d.signature IS NOT NULL THEN 'STALE_DISCOVERY' WHEN malformed THEN 'MALFORMED_LOGS' ELSE 'IRRELEVANT' END AS disposition,
       CASE WHEN failed THEN 0 ELSE coalesce(s.n, 0) END AS seeds, CASE WHEN failed THEN 0 ELSE coalesce(t.n, 0) END AS tracked
       FROM marked m LEFT JOIN (SELECT signature, count(*) AS n FROM seeds GROUP BY ALL) s USING (signature) LEFT JOIN taken t USING (signature) LEFT JOIN (SELECT DISTINCT signature FROM disc WHERE NOT fresh) d USING (signature)""",
+    "live_window_metrics": _BASE + """ SELECT w.mint, w.opened_ms, w.closes_ms, w.source, w.opener, m.observations, m.trades, m.buys, m.sells, m.traders, m.buy_base, m.buy_quote, m.sell_base, m.sell_quote, b.invalid_reason AS first_invalid
+      FROM win w JOIN m USING (mint, opened_ms) LEFT JOIN bad b USING (mint, opened_ms) WHERE w.closes_ms <= (SELECT max(received_ms) - 60000 FROM obs)""",
+    "live_idle_gaps": _BASE + f""", t AS (SELECT source, received_ms, coalesce(lead(received_ms) OVER (PARTITION BY source ORDER BY received_ms), (SELECT max(received_ms) - 60000 FROM note)) AS next_ms FROM note WHERE received_ms <= (SELECT max(received_ms) - 60000 FROM note))
+      SELECT source, received_ms AS last_seen_ms, received_ms + {IDLE_MS} AS gap_ms FROM t WHERE least(next_ms, (SELECT max(received_ms) - 60000 FROM note)) - received_ms >= {IDLE_MS}""",
     "event_order": _CHAIN + " SELECT signature, instruction_index, event_index, kind, row_number() OVER (PARTITION BY signature ORDER BY after_discovery, program_rank, instruction_index, event_index) - 1 AS place FROM che",
     "market_matched": _CHAIN + """, side AS (SELECT *, 0 AS side, CAST(NULL AS INT) AS entry FROM che WHERE kind <> 'CREATE' UNION ALL SELECT *, 1, 1 FROM che WHERE kind IN ('CREATE', 'COMPLETE', 'MIGRATION')),
       j AS (SELECT *, last_value(CASE WHEN entry = 1 THEN kind = 'CREATE' END IGNORE NULLS) OVER o AS m_open, last_value(CASE WHEN entry = 1 THEN cslot END IGNORE NULLS) OVER o AS m_slot, last_value(CASE WHEN entry = 1 THEN qm END IGNORE NULLS) OVER o AS m_qm FROM side

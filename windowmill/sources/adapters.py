@@ -18,21 +18,26 @@ def naive_ms(at: Column) -> Column:
     return since + ((F.hour(at) * 60 + F.minute(at)) * 60_000).cast("long") + F.floor(F.extract(F.lit("SECOND"), at) * 1000).cast("long")
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder as a stream of its files."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet*").option("recursiveFileLookup", "true").parquet(sf_dir)
+
+
+def raw_events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events with receipt time, k and cents; only the columns that are used are read."""
-    e = table(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events")
     return e.select(
         "event_id", "user_id", "event_type", naive_ms(F.col("ts")).alias("received_ms"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), F.round(F.col("value") * 100).cast("long").alias("cents"),
     )
 
 
-def notifications(spark: SparkSession, sf_dir: str, invalid: bool = True) -> DataFrame:
+def notifications(spark: SparkSession, sf_dir: str, invalid: bool = True, read=table) -> DataFrame:
     """All events as notifications: observations, coverage gaps (kind GAP) and irrelevant ones (NONE).
 
     ``invalid`` adds trades of no quote amount and of a blank wallet.
     """
-    e = raw_events(spark, sf_dir)
+    e = raw_events(spark, sf_dir, read)
     kind = F.col("event_type")
     purchase, click, view, error = kind == "purchase", kind == "click", kind == "view", kind == "error"
     event_kind = (
@@ -61,8 +66,8 @@ def notifications(spark: SparkSession, sf_dir: str, invalid: bool = True) -> Dat
     )
 
 
-def observations(spark: SparkSession, sf_dir: str, invalid: bool = True, liquidity: bool = True) -> DataFrame:
-    found = notifications(spark, sf_dir, invalid).filter(~F.col("kind").isin("GAP", "NONE"))
+def observations(spark: SparkSession, sf_dir: str, invalid: bool = True, liquidity: bool = True, read=table) -> DataFrame:
+    found = notifications(spark, sf_dir, invalid, read).filter(~F.col("kind").isin("GAP", "NONE"))
     return found if liquidity else found.filter(~F.col("kind").isin("LIQUIDITY_DEPOSIT", "LIQUIDITY_WITHDRAW"))
 
 
