@@ -36,7 +36,9 @@ def test_reasons_members_and_counts(spark):
 
 def test_pools_pages_and_recovery(spark):
     rows = spark.createDataFrame([("N", "p", "A", "B", 5, "s1", 1), ("N", "p", "A", "B", 9, "s2", 2), ("N", "p", "A", "B", 9, "s3", 3), ("N", "q", "A", "B", 1, "t", 4), ("N", "q", "A", "C", 2, "u", 5)], "network string, pool string, base_mint string, quote_mint string, observed_slot long, observed_signature string, arrival long")
-    assert sorted((r.pool, r.base_mint, r.observed_slot, r.observed_signature, r.conflict) for r in evidence.pools(rows).collect()) == [("p", "A", 9, "s3", False), ("q", None, 2, "u", True)]
+    assert sorted((r.pool, r.quote_mint, r.observed_slot, r.observed_signature, r.conflicts) for r in evidence.pools(rows).collect()) == [("p", "B", 9, "s3", 0), ("q", "B", 1, "t", 1)]
+    e = spark.createDataFrame([("m", 1, "PASS", "", "x", 5), ("m", 1, "PASS", "", "x", 6), ("n", 1, "PASS", "", "x", 5), ("n", 1, "REJECT", "R", "x", 5)], "mint string, opened_ms long, decision string, reasons string, evidence string, evaluated_ms long")
+    assert [r.mint for r in evidence.finalization_conflicts(e).collect()] == ["n"]
     pages = spark.createDataFrame([(1, 0, "a", 9), (1, 1, "b", 8), (2, 0, "a", 9), (2, 1, "a", 8), (3, 0, "a", 5), (3, 1, "b", 6), (4, 0, "a", 3), (4, 1, "b", 2), (4, 2, "c", 1)], "page int, position int, signature string, slot long")
     assert sorted(tuple(r) for r in evidence.page_faults(pages, 2).collect()) == [(2, "DUPLICATE_SIGNATURE"), (3, "RISING_SLOT"), (4, "OVERSIZE")]
     records = spark.createDataFrame([("s", "d", 9, 0), ("s", "c", 8, 1), ("s", "b", 7, 2), ("s", "a", 6, 3), ("t", "x", 5, 0), ("u", "y", 5, 0)], "source string, signature string, slot long, position int")
@@ -45,28 +47,34 @@ def test_pools_pages_and_recovery(spark):
     assert found == [("s", 0, "c", None), ("s", 1, "d", None), ("t", None, None, "CHECKPOINT_NOT_FOUND"), ("u", None, None, "CHECKPOINT_SLOT_MISMATCH")]
 
 
-def test_merge_outcomes(spark):
-    rows = [(1, "m", 10, 10, "TRADE", "A"), (2, "m", 20, 20, "TRADE", "A"), (3, "m", 30, 5, "CREATE", "A"), (4, "m", 40, 6, "CREATE", "A"), (5, "m", 60, 30, "TRADE", "B"), (6, "m", 70, 40, "TRADE", "A"), (7, "m", 80, 1, "TRADE", "A")]
-    o = spark.createDataFrame(rows, "event_id long, mint string, received_ms long, slot long, kind string, market string")
-    found = {r.event_id: r.outcome for r in evidence.merge_outcomes(o, spark.createDataFrame([("m", 50)], "mint string, at_ms long")).collect()}
-    assert found == {1: "INSERTED", 2: "UPDATED", 3: "METADATA_ENRICHED_FROM_STALE_CREATION", 4: "STALE_OBSERVATION_IGNORED", 5: "DEMOTED_BY_MARKET_CHANGE", 6: "UPDATED", 7: "STALE_OBSERVATION_IGNORED"}
-    e = spark.createDataFrame([("m", 1, "PASS", "", "x", 5), ("m", 1, "PASS", "", "x", 6), ("n", 1, "PASS", "", "x", 5), ("n", 1, "REJECT", "R", "x", 5)], "mint string, opened_ms long, decision string, reasons string, evidence string, evaluated_ms long")
-    assert [r.mint for r in evidence.finalization_conflicts(e).collect()] == ["n"]
-
-
 def test_openers_tokens_and_membership(spark):
     base = {"kind": "CREATE", "source": "PUMP", "venue": "PUMP_BONDING_CURVE", "mint": "m", "market_address": "c", "received_ms": 5, "target_kind": "PUMP_MINT", "target_address": "m", "collector_run_id": "r", "opened_ms": 5, "closes_ms": 9}
     given = [base, base | {"closes_ms": 5}, base | {"target_address": " "}, base | {"collector_run_id": ""}, base | {"source": "PUMP_SWAP"}, base | {"received_ms": 6}, base | {"kind": "CREATE_POOL", "source": "PUMP_SWAP", "venue": "PUMP_SWAP", "target_kind": "PUMP_SWAP_POOL", "target_address": "c"}]
     found = [r.v for r in spark.createDataFrame(given).coalesce(1).select(intake.opening_violation().alias("v")).collect()]
     assert found == [None, "window bounds", "target_address", "collector_run_id", "opening target", "opened_ms", None]
-    token = {"mint": "m", "market_address": "c", "source": "PUMP", "venue": "PUMP_BONDING_CURVE", "first_observed_ms": 1, "last_observed_ms": 2, "trades": 3, "buys": 1, "sells": 2, "traders": 2, "base_volume": "10", "quote_volume": "20"}
-    shapes = [token, token | {"venue": "PUMP_SWAP"}, token | {"first_observed_ms": 3}, token | {"buys": 2}, token | {"traders": 9}, token | {"quote_volume": "-1"}]
-    assert [r.v for r in spark.createDataFrame(shapes).coalesce(1).select(intake.token_shape_violation().alias("v")).collect()] == [None, "venue", "first_observed_ms", "trades", "traders", "quote_volume"]
+    schema = (
+        "mint string, market_address string, last_event_kind string, latest_signature string, name string, symbol string, quote_mint string, base_volume string, quote_volume string, buys int, sells int, trades int, traders int, first_observed_ms long,"
+        " last_observed_ms long, source string, venue string, stage string, qualification struct<decision:string,completeness:string,trades:int,buys:int,sells:int,traders:int,buyers:int,sellers:int,opened_ms:long,closed_ms:long,evaluated_ms:long,top_share_bps:int>"
+    )
+    good = {"decision": "PASS", "completeness": "COMPLETE", "trades": 3, "buys": 1, "sells": 2, "traders": 2, "buyers": 1, "sellers": 1, "opened_ms": 1, "closed_ms": 5, "evaluated_ms": 6, "top_share_bps": 10_000}
+    token = {"mint": "m", "market_address": "c", "last_event_kind": "TRADE", "latest_signature": "s", "name": "n", "symbol": None, "quote_mint": "q", "base_volume": "10", "quote_volume": "20", "buys": 1, "sells": 2, "trades": 3, "traders": 2}
+    token |= {"first_observed_ms": 1, "last_observed_ms": 2, "source": "PUMP", "venue": "PUMP_BONDING_CURVE", "stage": "QUALIFIED", "qualification": good}
+    cases = [
+        ({}, None), ({"mint": " "}, "mint"), ({"mint": None, "name": ""}, "mint"), ({"latest_signature": None}, "latest_signature"), ({"name": "  ", "symbol": ""}, "name"), ({"symbol": ""}, "symbol"), ({"quote_mint": None}, None), ({"quote_mint": " "}, "quote_mint"),
+        ({"base_volume": "-1"}, "base_volume"), ({"quote_volume": None}, "quote_volume"), ({"buys": 2}, "activity"), ({"traders": 9}, "activity"), ({"first_observed_ms": 3}, "activity"), ({"venue": "PUMP_SWAP"}, "activity"),
+        ({"qualification": good | {"buyers": 2}}, "qualification totals"), ({"qualification": good | {"closed_ms": 1}}, "qualification totals"), ({"qualification": good | {"top_share_bps": 10_001}}, "qualification totals"), ({"qualification": good | {"top_share_bps": None}}, None),
+        ({"qualification": None}, "qualification"), ({"qualification": None, "stage": "OBSERVED"}, None), ({"qualification": good | {"decision": "REJECT"}}, "qualification"), ({"qualification": good | {"completeness": "INCOMPLETE"}}, "qualification"),
+    ]
+    shapes = spark.createDataFrame([tuple((token | change)[c.split()[0]] if not isinstance((token | change)[c.split()[0]], dict) else tuple((token | change)[c.split()[0]].values()) for c in schema.split(", ")) for change, _ in cases], schema)
+    assert [r.v for r in shapes.coalesce(1).select(intake.token_shape_violation().alias("v")).collect()] == [v for _, v in cases]
     fields = ("network", "source", "venue", "market_address", "mint", "quote_mint")
     o = F.struct(*(F.lit(f).alias(f) for f in fields), F.lit(5).alias("received_ms"))
     for at, name in [(None, None), *((f, f) for f in fields)]:
         w = F.struct(*((F.lit("other") if f == at else F.lit(f)).alias(f) for f in fields), F.lit(5).alias("opened_ms"), F.lit(9).alias("closes_ms"))
         assert spark.range(1).select(o.alias("o"), w.alias("w")).select(windows.mismatch("o", "w", fields)).first()[0] == name
+        active, ended = (F.struct(*(F.col(f"w.{c}").alias(c) for c in (*fields, "opened_ms", "closes_ms")), F.lit(status).alias("status")) for status in ("ACTIVE", "FINALIZED"))
+        found = spark.range(1).select(o.alias("o"), w.alias("w")).select("o", active.alias("a"), ended.alias("e")).select(windows.membership_violation("o", "a"), windows.membership_violation("o", "e")).first()
+        assert tuple(found) == (name, "WINDOW_NOT_ACTIVE")
 
 
 def test_small_functions(spark):

@@ -32,18 +32,18 @@ def count_guard(submitted: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def pools(rows: DataFrame) -> DataFrame:
-    """Per pool: its mints, the newest slot and signature, and whether its identity ever changed.
+    """Per pool: the mints that came first, the newest slot and signature of rows that agree with them, and how many do not.
 
-    A later row of an equal slot replaces, so ties go by arrival; a conflict keeps no mints.
+    A later row of an equal slot replaces, so ties go by arrival. A row of other mints is
+    reported and changes nothing; a pool of two equal mints, or of a NULL, has no identity.
     """
-    newest = F.max_by(F.struct("observed_slot", "observed_signature"), F.struct("observed_slot", "arrival"))
-    mints = F.struct("base_mint", "quote_mint")
-    found = rows.groupBy("network", "pool").agg(newest.alias("at"), F.min(mints).alias("low"), F.max(mints).alias("high"))
-    same = F.col("low").eqNullSafe(F.col("high")) & ~F.col("low.base_mint").eqNullSafe(F.col("low.quote_mint"))
-    return found.select(
-        "network", "pool", F.when(same, F.col("low.base_mint")).alias("base_mint"), F.when(same, F.col("low.quote_mint")).alias("quote_mint"),
-        F.col("at.observed_slot").alias("observed_slot"), F.col("at.observed_signature").alias("observed_signature"), (~same).alias("conflict"),
-    )
+    mints, at = F.struct("base_mint", "quote_mint"), F.struct("observed_slot", "arrival")
+    named = rows.withColumn("_mints", F.when(F.col("base_mint") != F.col("quote_mint"), mints))
+    first = named.filter("_mints is not null").groupBy("network", "pool").agg(F.min_by("_mints", "arrival").alias("_first"))
+    found = named.join(first, ["network", "pool"], "left").withColumn("_same", F.coalesce(F.col("_mints") == F.col("_first"), F.lit(False)))
+    newest = F.max_by(F.when(F.col("_same"), F.struct("observed_slot", "observed_signature")), F.when(F.col("_same"), at))
+    out = found.groupBy("network", "pool").agg(F.max("_first").alias("_first"), newest.alias("_at"), F.count_if(~F.col("_same")).alias("conflicts"))
+    return out.select("network", "pool", F.col("_first.base_mint").alias("base_mint"), F.col("_first.quote_mint").alias("quote_mint"), F.col("_at.observed_slot").alias("observed_slot"), F.col("_at.observed_signature").alias("observed_signature"), "conflicts")
 
 
 def page_faults(pages: DataFrame, limit: int) -> DataFrame:

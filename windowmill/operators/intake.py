@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowmill.operators.asof import asof_position
-from windowmill.operators.windows import DAY_MS, members
+from windowmill.operators.storage import checkpointed
+from windowmill.operators.windows import members
+from windowmill.sources import coverage, layouts, logs
 
 DISCOVERY = ["CREATE", "CREATE_POOL"]
 #: Events that are tracked by their pool; the others by their mint.
@@ -45,6 +47,30 @@ def tracked(events: DataFrame, windows: DataFrame, length_ms: int) -> DataFrame:
     return members(other, windows, length_ms, ["signature", "target", "event_order"])
 
 
+def line_faults(notifications: DataFrame, program: str, name: str) -> DataFrame:
+    """signature, malformed, cause of notifications that mention a program, from their log lines.
+
+    Lines that do not nest, and events that are unknown or do not decode whole, are
+    malformed, and a DECODE_GAP of the source. Else events and the calls that carry them
+    must pair within each instruction; where they don't, the source has a gap of
+    CPI_INSTRUCTION_DATA_UNAVAILABLE. cause is NULL where all is well. ``name`` is the
+    program's in ``layouts.OWN``. Several rows of a signature count as one.
+    """
+    told = notifications.filter(F.exists(F.coalesce("log_messages", F.array().cast("array<string>")), lambda x: x.startswith(f"Program {program} invoke ["))).select("signature", "log_messages")
+    covered, rows = coverage.call_coverage(told, program), logs.scoped(told, program)
+    seen = checkpointed(layouts.dispatched(rows.filter("scope_error is null").select("signature", "instruction_index", "payload", F.lit(name).alias("program"))))
+    place = ["signature", "instruction_index"]
+    judged = seen.filter("kind is null").select(*place, (F.col("status") != "IGNORED").alias("invalid"))
+    for kind in sorted(r.kind for r in seen.select("kind").filter("kind is not null").distinct().collect()):  # of at most nine; each layout is a plan of its own
+        judged = judged.unionByName(layouts.decoded(seen.filter(F.col("kind") == kind).select(*place, "payload"), kind).select(*place, F.col("decode_error").isNotNull().alias("invalid")))
+    invalid = F.col("invalid")
+    direct = judged.groupBy(*place).agg(F.count_if(~invalid).alias("eligible"), F.bool_or(invalid).alias("invalid"))
+    broken = rows.filter("scope_error is not null").select("signature").unionByName(covered.filter("scope_error is not null").select("signature")).unionByName(direct.filter("invalid").select("signature"))
+    parted = coverage.incomplete(covered, direct).filter("incomplete")
+    marks = broken.withColumn("_m", F.lit(2)).unionByName(parted.select("signature", F.lit(1).alias("_m"))).unionByName(told.select("signature", F.lit(0).alias("_m")))
+    return marks.groupBy("signature").agg(F.max("_m").alias("_m")).select("signature", (F.col("_m") == 2).alias("malformed"), F.when(F.col("_m") == 2, "DECODE_GAP").when(F.col("_m") == 1, "CPI_INSTRUCTION_DATA_UNAVAILABLE").alias("cause"))
+
+
 def classified(notifications: DataFrame, events: DataFrame, windows: DataFrame, max_age_ms: int, length_ms: int) -> DataFrame:
     """signature, disposition, seeds, tracked of each notification.
 
@@ -134,11 +160,31 @@ def token_violation(fields: dict[str, str]) -> Column:
 
 
 def token_shape_violation() -> Column:
-    """The first rule that a served token breaks: mint, market_address, venue, times, counts, volumes."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    """The first rule that a served token breaks, in the order in which they are told; NULL if none.
+
+    Columns: mint, market_address, last_event_kind, latest_signature, name, symbol,
+    quote_mint, base_volume, quote_volume, buys, sells, trades, traders,
+    first_observed_ms, last_observed_ms, source, venue, stage, and a qualification with
+    decision, completeness, trades, buys, sells, traders, buyers, sellers, opened_ms,
+    closed_ms, evaluated_ms, top_share_bps (NULL if there is none).
+    """
+    blank = lambda c: F.trim(c) == ""
+    empty = lambda c: F.coalesce(blank(c), F.lit(True))
     unsigned = lambda c: F.coalesce(F.col(c).rlike("^[0-9]+$"), F.lit(False))
-    return (
-        F.when(blank("mint"), "mint").when(blank("market_address"), "market_address").when(~source_matches_venue(F.col("source"), F.col("venue")), "venue")
-        .when(F.col("first_observed_ms") > F.col("last_observed_ms"), "first_observed_ms").when(F.col("trades") != F.col("buys") + F.col("sells"), "trades")
-        .when(F.col("traders") > F.col("trades"), "traders").when(~unsigned("base_volume"), "base_volume").when(~unsigned("quote_volume"), "quote_volume")
+    q = lambda c: F.col(f"qualification.{c}")
+    totals = (
+        (F.col("buys") + F.col("sells") != F.col("trades")) | (F.col("traders") > F.col("trades")) | (F.col("first_observed_ms") > F.col("last_observed_ms")) | ~source_matches_venue(F.col("source"), F.col("venue"))
+    )
+    qualified = q("decision").isNotNull() & (
+        (q("buys") + q("sells") != q("trades")) | (q("traders") > q("trades")) | (q("buyers") > q("buys")) | (q("sellers") > q("sells")) | (q("closed_ms") <= q("opened_ms"))
+        | (q("evaluated_ms") < q("opened_ms")) | F.coalesce(q("top_share_bps") > 10_000, F.lit(False))
     )
+    passed = F.coalesce((q("decision") == "PASS") & (q("completeness") == "COMPLETE"), F.lit(False))
+    out = F.when(empty("mint"), "mint")
+    for c in ("market_address", "last_event_kind", "latest_signature"):
+        out = out.when(empty(c), c)
+    for c in ("name", "symbol", "quote_mint"):
+        out = out.when(blank(c), c)
+    for c in ("base_volume", "quote_volume"):
+        out = out.when(~unsigned(c), c)
+    return out.when(totals, "activity").when(qualified, "qualification totals").when(F.col("stage").isin("QUALIFIED", "APPROVED") & ~passed, "qualification")

@@ -49,16 +49,16 @@ def counts(windows: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def creators(windows: DataFrame, member: DataFrame) -> DataFrame:
-    """Distinct creators of a window's creation events and their share of the quote volume.
+    """Distinct creators of a window's creation events, in order, and their share of the quote volume.
 
     share is NULL if no creator is known or nothing was traded.
     """
     made = member.filter("kind in ('CREATE', 'CREATE_POOL') and creator <> ''").select(*WINDOW, "creator").distinct()
     per = wallets(member).select(*WINDOW, F.col("wallet").alias("creator"), "quote_volume")
     total = per.groupBy(*WINDOW).agg(F.sum("quote_volume").alias("total"))
-    own = made.join(per, [*WINDOW, "creator"], "left").groupBy(*WINDOW).agg(F.count("*").alias("n_creators"), F.coalesce(F.sum("quote_volume"), F.lit(0)).alias("creator_quote"))
+    own = made.join(per, [*WINDOW, "creator"], "left").groupBy(*WINDOW).agg(F.count("*").alias("n_creators"), F.coalesce(F.sum("quote_volume"), F.lit(0)).alias("creator_quote"), F.array_join(F.array_sort(F.collect_list("creator")), ",").alias("creators"))
     out = windows.select(*WINDOW).join(own, WINDOW, "left").join(total, WINDOW, "left")
-    return out.select(*WINDOW, F.coalesce("n_creators", F.lit(0)).alias("n_creators"), wide(F.col("creator_quote")).alias("creator_quote"), share_bps(F.col("creator_quote"), F.col("total")).alias("creator_share_bps"))
+    return out.select(*WINDOW, F.coalesce("n_creators", F.lit(0)).alias("n_creators"), F.coalesce("creators", F.lit("")).alias("creators"), wide(F.col("creator_quote")).alias("creator_quote"), share_bps(F.col("creator_quote"), F.col("total")).alias("creator_share_bps"))
 
 
 def prices(member: DataFrame) -> DataFrame:
@@ -70,9 +70,9 @@ def prices(member: DataFrame) -> DataFrame:
     agg = trade.groupBy(*WINDOW).agg(
         F.min_by("point", "ord").alias("first"), F.max_by("point", "ord").alias("last"),
         F.min_by("point", F.struct("key", "ord")).alias("low"), F.min_by("point", F.struct(negated(F.col("key")), F.col("ord"))).alias("high"),
-        F.min("received_ms").alias("first_trade_ms"), F.max("received_ms").alias("last_trade_ms"),
+        F.min("received_ms").alias("first_trade_ms"), F.max("received_ms").alias("last_trade_ms"), F.min_by("slot", "ord").alias("first_trade_slot"), F.max_by("slot", "ord").alias("last_trade_slot"),
     )
-    flat = agg.select(*WINDOW, "first_trade_ms", "last_trade_ms", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("first", "last", "low", "high") for c in ("quote", "base", "signature")))
+    flat = agg.select(*WINDOW, "first_trade_ms", "last_trade_ms", "first_trade_slot", "last_trade_slot", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("first", "last", "low", "high") for c in ("quote", "base", "signature")))
     return with_price_change(flat, "first_quote", "first_base", "last_quote", "last_base")
 
 
@@ -102,11 +102,11 @@ def liquidity(member: DataFrame) -> DataFrame:
 
 
 def lifecycle(windows: DataFrame, member: DataFrame) -> DataFrame:
-    """Completion and migration inside the window, with the first of each by the total order."""
+    """Completions and migrations inside the window: whether, how many, and their keys by the total order."""
     done, moved = F.col("kind") == "COMPLETE", F.col("kind") == "MIGRATION"
-    ended = member.filter(done | moved).groupBy(*WINDOW).agg(
-        F.count_if(done).alias("completions"), F.count_if(moved).alias("migrations"),
-        F.min_by(F.when(done, F.col("signature")), F.when(done, order_key())).alias("first_completion"), F.min_by(F.when(moved, F.col("signature")), F.when(moved, order_key())).alias("first_migration"),
-    )
+    key = F.struct(order_key().alias("o"), F.concat_ws("/", "signature", "instruction_index", "event_index").alias("key"))
+    keys = lambda flag: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(flag, key))), lambda x: x.key), ",")
+    ended = member.filter(done | moved).groupBy(*WINDOW).agg(F.count_if(done).alias("completions"), F.count_if(moved).alias("migrations"), keys(done).alias("completion_keys"), keys(moved).alias("migration_keys"))
     out = windows.select(*WINDOW).join(ended, WINDOW, "left")
-    return out.select(*WINDOW, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("completions", "migrations")), "first_completion", "first_migration")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("completions", "migrations")]
+    return out.select(*WINDOW, *counts, *(F.coalesce(c, F.lit("")).alias(c) for c in ("completion_keys", "migration_keys")))

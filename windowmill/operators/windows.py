@@ -121,6 +121,18 @@ def mismatch(source: str, window: str, fields: tuple[str, ...] = ("source", "min
     return F.coalesce(*(F.when(wrong, name) for name, wrong in checks))
 
 
+#: Fields by which a member must be its window's, in the order in which they are told.
+IDENTITY = ("network", "source", "venue", "market_address", "mint", "quote_mint")
+
+
+def membership_violation(source: str, window: str) -> Column:
+    """Why an observation cannot be stored for a window: WINDOW_NOT_ACTIVE, or the first field that differs; NULL if it can."""
+    o, w = (lambda c: F.col(f"{source}.{c}")), (lambda c: F.col(f"{window}.{c}"))
+    fields = [F.when(~o(c).eqNullSafe(w(c)), c) for c in IDENTITY]
+    inside = (o("received_ms") >= w("opened_ms")) & (o("received_ms") < w("closes_ms"))
+    return F.coalesce(F.when(~F.coalesce(w("status") == "ACTIVE", F.lit(False)), "WINDOW_NOT_ACTIVE"), *fields, F.when(~F.coalesce(inside, F.lit(False)), "received_ms"))
+
+
 def late(observations: DataFrame, windows: DataFrame) -> DataFrame:
     """Each observation against the latest window opened at or before it: an as-of join.
 

@@ -1,11 +1,11 @@
 """Registered queries of the window-qualification engine and their SQL."""
 
-from windowmill.plans import flows, sql
+from windowmill.plans import flows, records, sql
 
 
 def queries() -> dict:
-    return dict(flows.QUERIES)
+    return flows.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.ORACLES)
+    return sql.ORACLES | records.ORACLES

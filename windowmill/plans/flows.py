@@ -126,10 +126,23 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(adapters.observations(spark, sf_dir).select("event_id", "source", "mint", "asset", "kind", "side", trimmed(F.col("wallet")).alias("wallet"), "creator", "base", "quote", "base_reserve", "quote_reserve", "received_ms"))
 
 
+def line_faults(s: Scene) -> DataFrame:
+    return intake.line_faults(samples.traffic(s.spark, s.sf_dir), samples.PROGRAM, "CURVE")
+
+
+def intake_marks(s: Scene) -> DataFrame:
+    """Windows of the registry where faults of log lines mark the windows of their source as well."""
+    faults = line_faults(s).filter("cause is not null").join(samples.traffic(s.spark, s.sf_dir).drop("log_messages"), "signature")
+    none = F.lit(None).cast("string")
+    marks = faults.select(F.lit("MARK").alias("action"), F.col("received_ms").alias("at_ms"), (F.col("event_id") * 4 + 3).alias("ordinal"), F.lit("source").alias("reach"), F.col("cause").alias("reason"), "mint", "source", "asset", none.alias("opener"))
+    return registry.registry(s.registry_events.unionByName(marks), LENGTH_MS, CAPACITY).select("mint", "opened_ms", "status", "reason", "reason_ms")
+
+
 def intake_events(s: Scene) -> tuple[DataFrame, DataFrame]:
     """Notifications, some of them failed or malformed, and their events with an age, an order and a repeated target."""
     note = adapters.notifications(s.spark, s.sf_dir)
-    marked = note.select("signature", (F.col("k") % 17 == 3).alias("failed"), (F.col("k") % 11 == 5).alias("malformed"))
+    faults = line_faults(s).select("signature", "malformed")
+    marked = note.select("signature", (F.col("k") % 17 == 3).alias("failed")).join(faults, "signature", "left").withColumn("malformed", F.coalesce("malformed", F.lit(False)))
     e = s.observations.withColumns({"target": F.concat(F.lit("mint:"), F.col("mint")), "event_ms": F.col("received_ms") - F.col("k") * 400 + 5_000, "event_order": F.lit(0)})
     again = e.filter("k % 5 = 0").withColumn("event_order", F.lit(1))
     return marked, e.unionByName(again)
@@ -321,6 +334,8 @@ QUERIES = {
     "snapshot_totals": scene(lambda s: projection.page_totals(s.stage(), "OBSERVE_ALL", 50)),
     "window_states": scene(window_states),
     "intake_classified": scene(intake_classified),
+    "intake_faults": scene(line_faults),
+    "intake_marks": scene(intake_marks),
     "intake_seeds": scene(intake_seeds),
     "market_matched": market_matched,
     "event_order": event_order,

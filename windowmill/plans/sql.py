@@ -55,9 +55,9 @@ _CAUSES = ", ".join(f"('{c}', '{r}', '{a}')" for c, (r, a) in CAUSES.items())
 _ACTS = f"""
 caused AS (SELECT *, CASE WHEN kind = 'GAP' THEN 'DECODE_GAP' WHEN kind = 'NONE' AND k BETWEEN 2 AND 7 AND (k NOT IN {tuple(COLLECTOR_KS)} OR source = '{COLLECTOR}') THEN CASE k {' '.join(f"WHEN {k} THEN '{r}'" for k, r in CONTROL_KINDS.items())} END END AS cause FROM note),
 acts AS (SELECT *, row_number() OVER (ORDER BY at_ms, ord) AS rn FROM (
-  SELECT received_ms AS at_ms, event_id * 2 AS ord, 'OPEN' AS action, 'window' AS reach, mint, source, asset, signature AS opener, CAST(NULL AS VARCHAR) AS reason FROM note WHERE kind = 'CREATE'
-  UNION ALL SELECT received_ms + (k % 9) * {READ_MS}, event_id * 2 + 1, CASE WHEN k % 23 = {UNREAD_K} THEN 'FAIL' ELSE 'CONFIRM' END, 'window', mint, source, asset, signature, NULL FROM note WHERE kind = 'CREATE'
-  UNION ALL SELECT received_ms, event_id * 2, action, reach, mint, source, asset, NULL, cause FROM caused JOIN (VALUES {_CAUSES}) v(cause, reach, action) USING (cause))),"""
+  SELECT received_ms AS at_ms, event_id * 4 AS ord, 'OPEN' AS action, 'window' AS reach, mint, source, asset, signature AS opener, CAST(NULL AS VARCHAR) AS reason FROM note WHERE kind = 'CREATE'
+  UNION ALL SELECT received_ms + (k % 9) * {READ_MS}, event_id * 4 + 1, CASE WHEN k % 23 = {UNREAD_K} THEN 'FAIL' ELSE 'CONFIRM' END, 'window', mint, source, asset, signature, NULL FROM note WHERE kind = 'CREATE'
+  UNION ALL SELECT received_ms, event_id * 4 + 2, action, reach, mint, source, asset, NULL, cause FROM caused JOIN (VALUES {_CAUSES}) v(cause, reach, action) USING (cause))),"""
 _OPENS = """
 acts AS (SELECT *, row_number() OVER (ORDER BY at_ms, ord) AS rn FROM (
   SELECT received_ms AS at_ms, event_id * 4 + i AS ord, CASE i WHEN 0 THEN 'OPEN' ELSE 'CONFIRM' END AS action, 'window' AS reach, mint, source, asset, signature AS opener, CAST(NULL AS VARCHAR) AS reason
@@ -162,7 +162,7 @@ token AS (SELECT l.*, first_observed_ms, last_observed_ms, stale_rows, coalesce(
 
 
 def _order(kind: str) -> str:
-    return f"(SELECT mint, opened_ms, arg_min(signature, received_ms) AS s, count(*) AS n FROM member WHERE kind = '{kind}' GROUP BY ALL)"
+    return f"(SELECT mint, opened_ms, string_agg(signature || '/0/0', ',' ORDER BY received_ms, slot) AS keys, count(*) AS n FROM member WHERE kind = '{kind}' GROUP BY ALL)"
 
 
 def _point(name: str, order: str) -> str:
@@ -196,14 +196,18 @@ che AS (SELECT event_id, slot // 2 AS cslot, slot % 2 AS tx, signature, e[3] AS
     CASE WHEN k % 19 = 4 AND e[3] = 'TRADE' THEN 'OTHER' ELSE asset END AS qm, CASE WHEN e[3] = kind THEN base WHEN e[3] = 'TRADE' THEN k + 1 END AS base, CASE WHEN e[3] = kind THEN quote WHEN e[3] = 'TRADE' THEN k + 1 END AS quote,
     CASE WHEN e[3] = 'CREATE' THEN 0 ELSE 1 END AS after_discovery FROM said)"""
 _INTAKE = _BASE + f""",
-marked AS (SELECT signature, k % 17 = 3 AS failed, k % 11 = 5 AS malformed FROM note),
+marked AS (SELECT signature, k % 17 = 3 AS failed, k BETWEEN 81 AND 84 AS malformed FROM note),
 ev AS (SELECT o.*, 'mint:' || mint AS target, received_ms - k * 400 + 5000 AS event_ms, unnest(CASE WHEN k % 5 = 0 THEN [0, 1] ELSE [0] END) AS event_order FROM obs o),
 disc AS (SELECT *, event_ms BETWEEN received_ms - {MAX_AGE_MS} AND received_ms + 10000 AS fresh FROM ev WHERE kind IN ('CREATE', 'CREATE_POOL')),
 seeds AS (SELECT signature, target, min(event_order) AS event_order, arg_min(event_ms, event_order) AS event_ms FROM disc WHERE fresh GROUP BY ALL),
 taken AS (SELECT e.signature, count(DISTINCT e.target) AS n FROM ev e JOIN win w ON w.mint = e.mint AND e.received_ms >= w.opened_ms AND e.received_ms < w.closes_ms WHERE e.kind NOT IN ('CREATE', 'CREATE_POOL') GROUP BY e.signature)"""
+NOTES, BASE, STATES, STAGED = _NOTES.rstrip().rstrip(","), _BASE, _STATES, _STAGED
 ORACLES = {
     "windows_evict": _NOTES + _OPENS + _WALK + " SELECT mint, opened_ms, closes_ms, CASE WHEN status = 'CANCELLED_CONFIRMED' THEN left_ms END AS evicted_ms FROM registry",
     "window_states": _STATES + " SELECT *, (SELECT count(*) FROM acts a WHERE a.reason = 'PIPELINE_RESTARTED' AND a.at_ms < s.opened_ms) AS run FROM states s",
+    "intake_faults": _NOTES.rstrip().rstrip(",") + " SELECT signature, k BETWEEN 81 AND 84 AS malformed, CASE WHEN k BETWEEN 81 AND 84 THEN 'DECODE_GAP' WHEN k = 85 THEN 'CPI_INSTRUCTION_DATA_UNAVAILABLE' END AS cause FROM note WHERE k <> 87",
+    "intake_marks": _STATES.replace("USING (cause))),", """USING (cause)
+  UNION ALL SELECT received_ms, event_id * 4 + 3, 'MARK', 'source', mint, source, asset, NULL, CASE WHEN k = 85 THEN 'CPI_INSTRUCTION_DATA_UNAVAILABLE' ELSE 'DECODE_GAP' END FROM note WHERE k BETWEEN 81 AND 85)),""") + " SELECT mint, opened_ms, status, reason, reason_ms FROM registry",
     "log_scope": _BASE + """, shape AS (SELECT signature, event_id, unnest(CASE k % 6
         WHEN 0 THEN [{'i': 0, 'e': 0, 'l': 'a', 'x': NULL}] WHEN 1 THEN [{'i': 1, 'e': 0, 'l': 'a', 'x': NULL}, {'i': 1, 'e': 1, 'l': 'b', 'x': NULL}] WHEN 2 THEN [{'i': 0, 'e': 0, 'l': 'a', 'x': NULL}]
         WHEN 3 THEN [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'TRUNCATED_LOGS'}] WHEN 4 THEN [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'INVALID_INVOCATION_DEPTH'}] ELSE [{'i': NULL, 'e': NULL, 'l': NULL, 'x': 'UNCLOSED_INVOCATIONS'}] END) AS s FROM note)
@@ -256,11 +260,11 @@ ORACLES = {
     "window_wallets": _BASE + " SELECT * FROM wal",
     "window_top_wallet": _BASE + " SELECT mint, opened_ms, top_wallet, top_quote, top_share_bps FROM m",
     "window_creator_share": _BASE + """, made AS (SELECT DISTINCT mint, opened_ms, creator AS wallet FROM member WHERE kind = 'CREATE' AND creator <> ''),
-      own AS (SELECT mint, opened_ms, count(*) AS n, CAST(coalesce(sum(quote_volume), 0) AS BIGINT) AS q FROM made LEFT JOIN wal USING (mint, opened_ms, wallet) GROUP BY ALL)
-      SELECT mint, opened_ms, coalesce(n, 0) AS n_creators, q AS creator_quote, CASE WHEN quote_volume > 0 THEN CAST((CAST(q AS HUGEINT) * 10000 + quote_volume - 1) // CAST(quote_volume AS HUGEINT) AS INT) END AS creator_share_bps
+      own AS (SELECT mint, opened_ms, count(*) AS n, string_agg(wallet, ',' ORDER BY wallet) AS creators, CAST(coalesce(sum(quote_volume), 0) AS BIGINT) AS q FROM made LEFT JOIN wal USING (mint, opened_ms, wallet) GROUP BY ALL)
+      SELECT mint, opened_ms, coalesce(n, 0) AS n_creators, coalesce(creators, '') AS creators, q AS creator_quote, CASE WHEN quote_volume > 0 THEN CAST((CAST(q AS HUGEINT) * 10000 + quote_volume - 1) // CAST(quote_volume AS HUGEINT) AS INT) END AS creator_share_bps
       FROM win LEFT JOIN own USING (mint, opened_ms) LEFT JOIN traded USING (mint, opened_ms)""",
-    "window_prices": _BASE + f""", span AS (SELECT mint, opened_ms, min(received_ms) AS first_trade_ms, max(received_ms) AS last_trade_ms FROM valid GROUP BY ALL)
-      SELECT mint, opened_ms, first_trade_ms, last_trade_ms, {', '.join(f'{p}.{c} AS {p}_{c}' for p in ('first', 'last', 'low', 'high') for c in ('quote', 'base', 'signature'))},
+    "window_prices": _BASE + f""", span AS (SELECT mint, opened_ms, min(received_ms) AS first_trade_ms, max(received_ms) AS last_trade_ms, arg_min(slot, (received_ms, slot)) AS first_trade_slot, arg_max(slot, (received_ms, slot)) AS last_trade_slot FROM valid GROUP BY ALL)
+      SELECT mint, opened_ms, first_trade_ms, last_trade_ms, first_trade_slot, last_trade_slot, {', '.join(f'{p}.{c} AS {p}_{c}' for p in ('first', 'last', 'low', 'high') for c in ('quote', 'base', 'signature'))},
         CAST((CASE WHEN CAST(last.quote AS HUGEINT) * first.base >= CAST(first.quote AS HUGEINT) * last.base THEN 1 ELSE -1 END) * (abs(CAST(last.quote AS HUGEINT) * first.base - CAST(first.quote AS HUGEINT) * last.base) * 10000 // (CAST(first.quote AS HUGEINT) * last.base)) AS BIGINT) AS price_change_bps
       FROM span JOIN {_point('first', 'received_ms, slot')} USING (mint, opened_ms) JOIN {_point('last', 'received_ms DESC, slot DESC')} USING (mint, opened_ms)
       JOIN {_point('low', f'{_PRICE}, received_ms')} USING (mint, opened_ms) JOIN {_point('high', f'{_PRICE} DESC, received_ms')} USING (mint, opened_ms)""",
@@ -273,7 +277,7 @@ ORACLES = {
       CAST(sum(CASE WHEN kind = 'LIQUIDITY_DEPOSIT' THEN base ELSE 0 END) AS BIGINT) AS deposit_base, CAST(sum(CASE WHEN kind = 'LIQUIDITY_DEPOSIT' THEN quote ELSE 0 END) AS BIGINT) AS deposit_quote,
       CAST(sum(CASE WHEN kind = 'LIQUIDITY_WITHDRAW' THEN base ELSE 0 END) AS BIGINT) AS withdraw_base, CAST(sum(CASE WHEN kind = 'LIQUIDITY_WITHDRAW' THEN quote ELSE 0 END) AS BIGINT) AS withdraw_quote
       FROM member WHERE kind LIKE 'LIQUIDITY%' GROUP BY mint, opened_ms""",
-    "window_lifecycle_flags": _BASE + f" SELECT mint, opened_ms, coalesce(c.n, 0) AS completions, coalesce(g.n, 0) AS migrations, c.s AS first_completion, g.s AS first_migration FROM win LEFT JOIN {_order('COMPLETE')} c USING (mint, opened_ms) LEFT JOIN {_order('MIGRATION')} g USING (mint, opened_ms)",
+    "window_lifecycle_flags": _BASE + f" SELECT mint, opened_ms, coalesce(c.n, 0) AS completions, coalesce(g.n, 0) AS migrations, coalesce(c.keys, '') AS completion_keys, coalesce(g.keys, '') AS migration_keys FROM win LEFT JOIN {_order('COMPLETE')} c USING (mint, opened_ms) LEFT JOIN {_order('MIGRATION')} g USING (mint, opened_ms)",
     "rule_results": _DECIDED + " SELECT * FROM rr",
     "qualification_decisions": _DECIDED + " SELECT * FROM dec",
     "reject_reasons": _reasons("REJECT"),

@@ -119,13 +119,13 @@ def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.create_map(*(F.lit(x) for kv in CONTROL_KINDS.items() for x in kv))
     cause = F.when(F.col("kind") == "GAP", "DECODE_GAP").when(control, named[k])
     reach, action = (F.create_map(*(F.lit(x) for c, v in CAUSES.items() for x in (c, v[i]))) for i in range(2))
-    act = lambda a, at, plus, r, why: F.struct(a.alias("action"), at.alias("at_ms"), (F.col("event_id") * 2 + plus).alias("ordinal"), r.alias("reach"), why.alias("reason"))
+    act = lambda a, at, plus, r, why: F.struct(a.alias("action"), at.alias("at_ms"), (F.col("event_id") * 4 + plus).alias("ordinal"), r.alias("reach"), why.alias("reason"))
     none, window = F.lit(None).cast("string"), F.lit("window")
     opened = F.array(
         act(F.lit("OPEN"), F.col("received_ms"), 0, window, none),
         act(F.when(k % 23 == UNREAD_K, "FAIL").otherwise("CONFIRM"), F.col("received_ms") + (k % 9) * READ_MS, 1, window, none),
     )
-    said = F.when(created, opened).when(cause.isNotNull(), F.array(act(action[cause], F.col("received_ms"), 0, reach[cause], cause)))
+    said = F.when(created, opened).when(cause.isNotNull(), F.array(act(action[cause], F.col("received_ms"), 2, reach[cause], cause)))
     return note.select("mint", "source", "asset", F.when(created, F.col("signature")).alias("opener"), F.explode(said).alias("e")).select("e.*", "mint", "source", "asset", "opener")
 
 

@@ -90,3 +90,23 @@ def copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     row = [F.concat(F.lit("s"), F.floor(F.col("event_id") / 40).cast("string")).alias("signature"), (F.col("k") % 2).alias("instruction_index"), F.concat(F.lit("p"), (F.col("k") % 3).cast("string")).alias("payload")]
     sent = e.filter("event_id % 2 = 0")
     return e.select(*row), sent.unionByName(e.filter("event_id % 3 = 0")).select(*row)
+
+
+def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signature, source, received_ms, event_id, log_messages: a notification for each event, with a completion and the call that carries it.
+
+    Some, by k, are cut short, call at a wrong depth, hold unknown or cut bytes, lack the
+    call, hold an ignored event, or name another program alone.
+    """
+    k = F.col("k")
+    go = lambda program, depth: F.lit(f"Program {program} invoke [{depth}]")
+    ok, used = F.lit(f"Program {PROGRAM} success"), F.lit(f"Program {PROGRAM} consumed 10 of 200 compute units")
+    whole = F.concat(F.lit(FIRST_BYTES["COMPLETE"].hex()), _key("u"), _key("m"), _key("c"), _little(F.col("received_ms")), _key("q"))
+    ignored = bytes([64, 69, 192, 104, 29, 30, 25, 107]).hex()
+    raw = F.when(k == 83, "00" * 8).when(k == 84, F.substring(whole, 1, 100)).when(k == 86, ignored).otherwise(whole)
+    data, call = F.concat(F.lit("Program data: "), F.base64(F.unhex(raw))), go(PROGRAM, 2)
+    lines = (
+        F.when(k == 81, F.array(go(PROGRAM, 1), data, F.lit("Log truncated"))).when(k == 82, F.array(go(PROGRAM, 2), data, ok)).when(k == 85, F.array(go(PROGRAM, 1), data, ok))
+        .when(k == 87, F.array(go(OTHER, 1), F.lit(f"Program {OTHER} success"))).otherwise(F.array(go(PROGRAM, 1), data, call, used, ok, ok))
+    )
+    return adapters.notifications(spark, sf_dir).select("signature", "source", "mint", "asset", "received_ms", "event_id", lines.alias("log_messages"))
