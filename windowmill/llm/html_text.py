@@ -11,9 +11,12 @@ sparse is bad, or undecided inside an article, where tables and lists stand; sho
 is undecided. A name that hints at boilerplate, as one part of a class or id outside
 an article, asks for a longer and denser block.
 
+On a page of a language whose stop words are not known, sentence marks stand for them,
+and where no block is good, the long ones without links are.
+
 In the second pass an undecided block takes the label of its nearest decided
-neighbours on its side of the article's bounds and in the same hinted element, the
-good one where they disagree. If there are none, it is good inside an article and
+neighbours on its side of the article's bounds, which count as good, and in the same
+hinted element, the good one where they disagree. If there are none, it is good inside an article and
 bad inside hinted elements; elsewhere it is good only on a page where nothing is
 decided. Where an article or main element holds a good block, what stands outside
 all of them is no part of the article.
@@ -22,6 +25,7 @@ all of them is no part of the article.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,6 +47,11 @@ HINTS = re.compile(
 EXACT = re.compile(
     r"(?:ads?|advert|adverts|advertisements?|advertising|adsense|sponsor|sponsors|sponsored|notices?|gdpr|cookies?|(?:ads?|advert\w*|sponsor\w*|promo\w*)[_-](?:box|banner|block|slot|unit|container|wrapper)|(?:cookies?|gdpr|consent|privacy)[_-](?:notice|banner|bar|popup|consent|message)|comments?|comments?[_-](?:list|section|area|form)|commentlist|disqus|disqus[_-]thread)"
 )
+#: Names of articles that are comments on another, or point to others.
+NO_ARTICLE = re.compile(r"(?:comments?|reply|replies|teasers?|related|recommend(?:ed|ation)?s?|promos?|sponsored)(?:[_-](?:body|item|post|content|box|entry|article|card|link)s?)?")
+#: Marks that end or part sentences, in any script.
+_MARKS = re.compile(r"[.!?,;:…。、，！？；：؟،۔।]")
+_RIGHTS = re.compile(r"^\W*(?:copyright\b|\(c\)|©)|all rights reserved", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 STOP_WORDS = frozenset(
     """a an and are as at be by for from had has have he her his in is it its not of on or she that the their there they this to was were which will with you
@@ -65,8 +74,11 @@ def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
         return True, False
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False, False
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main"):
         return False, False
+    if name == "article":  # comments and teasers are articles as well
+        named = " ".join("".join(values) for key, *values in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id"))
+        return any(NO_ARTICLE.fullmatch(part) for part in named.lower().split()), False
     hint = False  # names inside an article tell nothing about its text
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
@@ -87,6 +99,8 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
     """(text, characters in links, boilerplate, in an article, hinted element or 0) of each block in page order."""
     out: list[tuple[str, int, bool, bool, int]] = []
     stack: list[tuple[str, bool, int]] = []  # name, boilerplate, outermost hinted element since the last article
+    where: dict[str, list[int]] = defaultdict(list)  # the places of open elements by name, and of block elements, so that no tag walks the stack
+    standing: list[int] = []
     text: list[str] = []
     linked = in_link = 0
     articles, dark, hinted, hints = 0, False, 0, 0
@@ -99,6 +113,18 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
         text.clear()
         linked = 0
 
+    def push(name: str) -> None:
+        where[name].append(len(stack))
+        if name in BLOCKS:
+            standing.append(len(stack))
+        stack.append((name, dark, hinted))
+
+    def pop() -> None:
+        name = stack.pop()[0]
+        where[name].pop()
+        if name in BLOCKS:
+            standing.pop()
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.match(html, at)
@@ -116,7 +142,7 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
         name = name.lower()
         block = name in BLOCKS or name in DROPPED
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            depth = where[name][-1] if where.get(name) else None
             if name == "a":
                 in_link = max(0, in_link - 1)
             if depth is None:
@@ -125,16 +151,17 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
                 continue
             if block:
                 end()
-            elif any(s[0] in BLOCKS for s in stack[depth:]):
+            elif standing and standing[-1] >= depth:
                 continue  # a stray inline end tag closes no block
-            articles -= sum(s[0] in ("article", "main") for s in stack[depth:])
-            del stack[depth:]
+            while len(stack) > depth:
+                articles -= stack[-1][0] in ("article", "main")
+                pop()
             dark, hinted = stack[-1][1:] if stack else (False, 0)
             continue
         if name in ("br", "wbr"):
             text.append(" " if name == "br" else "")
             continue
-        if block:
+        if block and name not in RAW:  # what is skipped whole ends no block
             end()
         if name in VOID or (name not in RAW and _CLOSED.search(attributes)):
             continue
@@ -146,13 +173,15 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
             in_link = 1  # a link ends where the next one starts
         if name in ("p", "li", "dt", "dd", "tr", "td", "th") or (block and stack and stack[-1][0] == "p"):
             closes = {"p"} if name not in ("dt", "dd", "td", "th") else {"p", "dt", "dd", "td", "th"}
-            while stack and (stack[-1][0] in closes or stack[-1][0] not in BLOCKS and any(s[0] == "p" for s in stack) or (name in ("li", "tr") and stack[-1][0] == name)):
+            while stack and (stack[-1][0] in closes or stack[-1][0] not in BLOCKS and where.get("p") or (name in ("li", "tr") and stack[-1][0] == name)):
                 if stack[-1][0] == "a":
                     in_link = max(0, in_link - 1)
-                stack.pop()
+                pop()
             dark, hinted = stack[-1][1:] if stack else (False, 0)
         if name == "body":
-            stack = [s for s in stack if s[0] not in ("head", "title")]
+            if where.get("head"):  # a head that was not closed ends here
+                while stack and where["head"]:
+                    pop()
             dark, hinted = stack[-1][1:] if stack else (False, 0)
         hide, hint = _judge(name, attributes, articles > 0)
         hide, group = dark or hide, 0 if name in ("article", "main") else hinted
@@ -162,21 +191,28 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, int]]:
             end()
         dark, hinted = hide, group
         articles += name in ("article", "main")
-        stack.append((name, dark, hinted))
+        push(name)
     end()
     return out
 
 
-def first_pass(text: str, linked: int, hidden: bool, in_article: bool = False, hinted: bool = False) -> int | None:
-    if hidden or linked > LINKED * len(text):
+def density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def first_pass(text: str, linked: int, hidden: bool, in_article: bool = False, hinted: bool = False, foreign: bool = False) -> int | None:
+    """``foreign``: on a page of a language without known stop words, sentence marks stand for them."""
+    if hidden or linked > LINKED * len(text) or (not in_article and len(text) < LONG and _RIGHTS.search(text)):
         return BAD
-    if len(text) < (LONG if hinted else SHORT):
+    if len(text) < (LONG if hinted else SHORT) // (2 if foreign and text[len(text) // 2] > "\u2e80" else 1):  # signs that are words or syllables say more
         return OPEN
-    words = _WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if density >= GOOD_DENSITY or (not hinted and density >= LOW_DENSITY and len(text) >= LONG):
+    if foreign:
+        return GOOD if len(_MARKS.findall(text)) * 100 >= len(text) and not hinted else OPEN
+    dense = density(text)
+    if dense >= GOOD_DENSITY or (not hinted and dense >= LOW_DENSITY and len(text) >= LONG):
         return GOOD
-    if density >= LOW_DENSITY and not hinted:
+    if dense >= LOW_DENSITY and not hinted:
         return OPEN
     return OPEN if in_article else BAD
 
@@ -190,6 +226,8 @@ def second_pass(found: list[tuple[str, int, bool, bool, int]], label: list[int |
             _, _, hidden, *place = found[i]
             if label[i] is OPEN and tuple(place) in last:
                 near[i].append(label[last[tuple(place)]])
+            elif label[i] is OPEN and place[0]:
+                near[i].append(GOOD)  # the bounds of an article count as good
             elif label[i] is not OPEN and not hidden:
                 last[tuple(place)] = i
     return [max(others) if own is OPEN and others else own for own, others in zip(label, near, strict=True)]
@@ -198,7 +236,11 @@ def second_pass(found: list[tuple[str, int, bool, bool, int]], label: list[int |
 def extract(html: str | None) -> str:
     """The article's blocks, white space collapsed, joined by an empty line."""
     found = blocks(html or "")
-    label = second_pass(found, [first_pass(text, linked, hidden, inside, hinted > 0) for text, linked, hidden, inside, hinted in found])
+    foreign = not any(density(text) >= (LOW_DENSITY + GOOD_DENSITY) / 2 for text, _, hidden, *_ in found if not hidden and len(text) >= SHORT // 2)
+    label = [first_pass(text, linked, hidden, inside, hinted > 0, foreign) for text, linked, hidden, inside, hinted in found]
+    if GOOD not in label:  # the long blocks without links stand for dense ones
+        label = [GOOD if not (linked or hidden or hinted) and len(text) >= SHORT and not _RIGHTS.search(text) else x for x, (text, linked, hidden, _, hinted) in zip(label, found, strict=True)]
+    label = second_pass(found, label)
     article = any(x != BAD and inside for x, (*_, inside, _) in zip(label, found, strict=True))
     decided = any(x is not OPEN and not hidden for x, (_, _, hidden, *_) in zip(label, found, strict=True))
     kept = []
