@@ -43,3 +43,35 @@ def test_stray_tags_take_time_in_proportion(tags):
     began = time.process_time()
     assert LONG in html_text.extract(page)
     assert time.process_time() - began < 5
+
+
+@pytest.fixture(scope="module")
+def renamed():
+    """Pages without any article element, and the blocks of their articles."""
+    import pandas
+
+    pages = pandas.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    return [(h.replace("<article>", "<div>").replace("</article>", "</div>"), html_text.extract(h).split("\n\n")) for h in pages]
+
+
+def kept(renamed):
+    """The share of the articles' blocks that the rules find by themselves, and how many others."""
+    from collections import Counter
+
+    found = [(Counter(html_text.extract(h).split("\n\n")), Counter(blocks)) for h, blocks in renamed]
+    return sum((a & b).total() for a, b in found) / sum(b.total() for _, b in found), sum((a - b - Counter([""])).total() for a, b in found)
+
+
+def test_the_passes_find_articles_by_themselves(renamed):
+    share, others = kept(renamed)
+    assert share >= 0.97 and others == 0
+
+
+def test_without_either_pass_they_do_not(renamed, monkeypatch):
+    first, second = html_text.first_pass, html_text.second_pass
+    monkeypatch.setattr(html_text, "second_pass", lambda found, label: [x if x is not html_text.OPEN else html_text.BAD for x in label])
+    assert kept(renamed)[0] < 0.9
+    monkeypatch.setattr(html_text, "second_pass", second)
+    monkeypatch.setattr(html_text, "first_pass", lambda text, linked, hidden, *_: html_text.BAD if hidden else html_text.GOOD)
+    assert kept(renamed)[1] > 0 or kept([(h.replace("<nav>", "<div>").replace("</nav>", "</div>"), b) for h, b in renamed])[1] > 0
+    monkeypatch.setattr(html_text, "first_pass", first)
