@@ -18,7 +18,7 @@ def brute(files):
     total, df = sum(t is not None for *_, t in files), Counter(t for w in texts.values() for t in set(w))
     weigh = lambda words: {t: n * (math.log((1 + total) / (1 + df.get(t, 0))) + 1) for t, n in Counter(words).items()}
     length = lambda w: math.sqrt(sum(x * x for x in w.values()))
-    templates = [(name, tokens(text), weigh(tokens(text)), ls.WHOLE if text.startswith("SPDX") else ls.COSINE) for name, text in ls.TEMPLATES]
+    templates = [(name, tokens(text), weigh(tokens(text)), ls.least_cosine(text)) for name, text in ls.TEMPLATES]
     best, covered = {}, {}
     for i, path, _ in files:
         words, found, spans = texts[i], [], set()
@@ -57,7 +57,7 @@ def brute(files):
     return out
 
 
-LINES = ["Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: EPL-2.0", "under a public licence of the free kind", "software is hereby granted"]
+LINES = ["Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: EUPL-1.2", "under a public licence of the free kind", "software is hereby granted"]
 PROSE = "the river ran down from the hills to the town of stone and nobody said a word about the water".split()
 
 
@@ -76,8 +76,39 @@ def test_scan_equals_brute_force(spark):
 
 
 def test_spdx_lines_name_their_own_licence(spark):
-    files = [(k, f"{k}/a.c", f"// SPDX-License-Identifier: {said}\nint main;") for k, (_, said) in enumerate(ls.SPDX)] + [(90, "q/a.c", "// SPDX-License-Identifier: EPL-2.0")] * 2
+    files = [(k, f"{k}/a.c", f"// SPDX-License-Identifier: {said}\nint main;") for k, (_, said) in enumerate(ls.SPDX)] + [(90, "q/a.c", "// SPDX-License-Identifier: EUPL-1.2")] * 2
     found = defaultdict(set)
     for r in ls.scan(spark.createDataFrame(files, "id long, path string, text string"), "id", "path", "text").collect():
         found[r.id].add(r.license)
     assert found == {k: {name} for k, (name, _) in enumerate(ls.SPDX)} | {90: {None}}
+
+
+HEADERS = {
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": "EPL-2.0",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file or copy at the address)": "BSL-1.0",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.": "CC0-1.0",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.": "Zlib",
+    "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+    "// SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+    "The report was released under the embargo of the ministry and gives the bearer a license to drive.": None,
+    "The papers were released under the license of the court.": None,
+    "The meeting was held under the terms of the agreement and the general public was not there.": None,
+}
+
+
+def test_headers_and_prose(spark):
+    files = [(k, f"{k}/a.c", f"{' '.join(PROSE)} {text} {' '.join(PROSE)}") for k, text in enumerate(HEADERS)] + [(100 + k, f"n{k}/b", " ".join(PROSE[k:] + PROSE[:k])) for k in range(20)]
+    found = {r.id: r.license for r in ls.scan(spark.createDataFrame(files, "id long, path string, text string"), "id", "path", "text").collect()}
+    assert {text: found[k] for k, text in enumerate(HEADERS)} == HEADERS
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    files = [(1, "a/x", LINES[0]), (1, "b/y", "plain text without any"), (2, "c/z", LINES[0]), (2, "c/z", LINES[0])]
+    found = sorted((r.id, r.path, r.license or "", r.found_by) for r in ls.scan(spark.createDataFrame(files, "id long, path string, text string"), "id", "path", "text").collect())
+    assert found == [(1, "a/x", "Apache-2.0", "statement"), (1, "b/y", "", "none"), (2, "c/z", "Apache-2.0", "statement"), (2, "c/z", "Apache-2.0", "statement")]
+
+
+def test_ties(spark):
+    files = [(1, "a/LICENSE", LINES[0]), (2, "a/COPYING", LINES[1]), (3, "a/b/c", "plain"), (4, "d", f"{LINES[1]} {LINES[0]}")]
+    found = {r.id: (r.license, r.license_path) for r in ls.scan(spark.createDataFrame(files, "id long, path string, text string"), "id", "path", "text").collect()}
+    assert found[3] == ("GPL-2.0", "a/COPYING") and found[4][0] == "Apache-2.0"  # of equal scores the first by name, of two files the smallest path

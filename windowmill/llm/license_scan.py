@@ -50,16 +50,25 @@ TEMPLATES = [
     ("ISC", "Licensed under the ISC License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version"),
 ]
 #: Names after the SPDX mark, with the licence that each stands for. Their lines must be whole.
 SPDX = [
     ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0-or-later"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"),
     ("LGPL-3.0", "LGPL-3.0-only"), ("LGPL-3.0", "LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"), ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"),
-    ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("ISC", "ISC"), ("Unlicense", "Unlicense"),
+    ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("ISC", "ISC"), ("Unlicense", "Unlicense"), ("EPL-2.0", "EPL-2.0"), ("BSL-1.0", "BSL-1.0"), ("CC0-1.0", "CC0-1.0"),
+    ("Zlib", "Zlib"), ("BSD-2-Clause", "BSD-2-Clause"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-2.1", "LGPL-2.1-or-later"),
 ]
 TEMPLATES += [(name, f"SPDX-License-Identifier: {said}") for name, said in SPDX]
 FILE_NAME = r"(?i)^(un)?(licen[sc]e|copying|notice)([._-].*)?$"
-COSINE = 0.35
+#: A long statement may be worded otherwise; of one of few tokens nearly all must be there, since prose shares most.
+COSINE, BRIEF_COSINE, BRIEF = 0.6, 0.85, 8
 #: An SPDX line differs from another in its name alone, so it counts only if all of it is there.
 WHOLE = 0.999
 #: A text is a licence file if statements make up at least this share of its tokens.
@@ -71,6 +80,11 @@ _CUT = r"[^a-z0-9.]+|\.(?![0-9])"
 _BEFORE, _BASE = 1024, 64  # more than the templates
 
 
+def least_cosine(text: str, cosine: float = COSINE) -> float:
+    """The cosine that a window must reach for a template."""
+    return WHOLE if text.startswith("SPDX") else max(cosine, BRIEF_COSINE) if len([t for t in re.split(_CUT, text.lower()) if t]) <= BRIEF else cosine
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _CUT), lambda t: t != "")
 
@@ -92,7 +106,7 @@ class _Templates:
     def __init__(self, cosine: float):
         self.words = [[t for t in re.split(_CUT, text.lower()) if t] for _, text in TEMPLATES]
         self.known = sorted({t for w in self.words for t in w})
-        self.cosine = [WHOLE if text.startswith("SPDX") else cosine for _, text in TEMPLATES]
+        self.cosine = [least_cosine(text, cosine) for _, text in TEMPLATES]
 
     def weigh(self, total: int, df: dict[str, int]) -> None:
         self.weights = [{t: n * _idf(total, df.get(t, 0)) for t, n in Counter(w).items()} for w in self.words]
@@ -169,18 +183,19 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: fl
     of equal score the first by name counts, and of two licence files of one
     directory that of the smallest path. Equal windows are scored once, so that
     a statement which millions of files repeat costs no more than one. Repeated
-    rows stay as they are, one id has one result. Other columns are ignored.
+    rows stay as they are; where an id is repeated, each row is judged by its own text.
+    Other columns are ignored.
     """
     spark = files.sparkSession
-    own = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    words = own.select("id", "path", F.explode(F.array(tokens(F.col("text")))).alias("words")).filter(F.size("words") > 0)
+    own = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    words = own.select("id", "path", "text_key", F.explode(F.array(tokens(F.col("text")))).alias("words")).filter(F.size("words") > 0)
     rarity = common.materialize(words.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count("*").alias("df")), "license-rarity")
     total = own.filter("text is not null").count()
     fixed = _Templates(cosine)
     fixed.weigh(total, {r.token: r.df for r in rarity.filter(F.col("token").isin(fixed.known)).collect()})  # tokens of a fixed list
 
-    found = words.filter(fixed.possible(F.col("words"))).select("id", "path", F.size("words").alias("size"), F.explode(fixed.windows(F.col("words"))).alias("w"))
-    marked = common.materialize(found.select("id", "path", "size", "w.*"), "license-statements")
+    found = words.filter(fixed.possible(F.col("words"))).select("id", "path", "text_key", F.size("words").alias("size"), F.explode(fixed.windows(F.col("words"))).alias("w"))
+    marked = common.materialize(found.select("id", "path", "text_key", "size", "w.*"), "license-statements")
     counts = marked.select("template", "said").distinct().select("template", "said", F.explode(F.split("said", " ")).alias("token")).groupBy("template", "said", "token").agg(F.count("*").alias("tf"))
     idf = F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1
     weighed = counts.join(rarity, "token").select("template", "said", "token", (F.col("tf") * idf).alias("w"))
@@ -194,19 +209,19 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, cosine: fl
         spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.stop - F.greatest(x.start, a.end))).alias("n"), F.greatest(a.end, x.stop).alias("end")), lambda a: a.n,
     )
-    by_file = marked.join(near, ["template", "said"]).groupBy("id").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("best"), said_size.alias("said_size"))
-    direct = common.materialize(by_file.select("id", "best.license", "best.score", "said_size"), "license-direct")
+    by_file = marked.join(near, ["template", "said"]).groupBy("id", "text_key").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("best"), said_size.alias("said_size"))
+    direct = common.materialize(by_file.select("id", "text_key", "best.license", "best.score", "said_size"), "license-direct")
 
     parts = F.split("path", "/")
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
-    covers = marked.select("id", "path", "size").distinct().join(direct, "id").filter(F.element_at(parts, -1).rlike(FILE_NAME) | (F.col("said_size") >= MOSTLY * F.col("size"))).filter("path is not null")
+    covers = marked.select("id", "path", "text_key", "size").distinct().join(direct, ["id", "text_key"]).filter(F.element_at(parts, -1).rlike(FILE_NAME) | (F.col("said_size") >= MOSTLY * F.col("size"))).filter("path is not null")
     covered = covers.groupBy(folder.alias("folder")).agg(F.min_by(F.struct("license", "score", "path"), "path").alias("cover"))
-    placed = own.select("id", "path", folder.alias("folder"))
+    placed = own.select("id", "path", "text_key", folder.alias("folder"))
     folders = placed.select("folder").distinct().filter("folder is not null")
     steps = F.split("folder", "/")
     above = folders.select("folder", F.explode(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(steps)))).alias("depth"), steps.alias("steps")).select("folder", "depth", F.array_join(F.slice("steps", 1, F.col("depth")), "/").alias("above"))
     nearest = above.join(covered.withColumnRenamed("folder", "above"), "above").groupBy("folder").agg(F.max_by("cover", "depth").alias("cover"))
-    out = placed.join(direct.drop("said_size"), "id", "left").join(nearest, "folder", "left")
+    out = placed.join(direct.drop("said_size"), ["id", "text_key"], "left").join(nearest, "folder", "left")
     has = F.col("license").isNotNull()
     return out.select(
         "id", "path",
