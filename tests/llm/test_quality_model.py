@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from windowmill.llm import quality
 
@@ -55,3 +56,17 @@ def test_repeated_ids_count_once(spark):
     once = docs.filter("text <> 'zzz'")
     a, b = quality.train(docs, labels), quality.train(once, labels)
     assert all((x == y).all() for x, y in zip(a.p, b.p, strict=True))
+
+
+def test_the_fit_is_bounded_in_passages(spark, monkeypatch):
+    """Documents that would bring the sample over the bound are left out, in the order of the hash; a null id is of no fold."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(64 * (50 if k == 3 else 2)))) for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, x, owner, target: seen.append((len(x), len(target))) or self)
+    for bound in (20, 10**6):
+        monkeypatch.setattr(quality, "SAMPLE_PASSAGES", bound)
+        quality.train(docs, labels)
+    (few, n), (every, m) = seen
+    assert few == 20 and n == 10 and every > 20 and m > 20
+    assert spark.createDataFrame([(None,)], "doc_id long").select(quality.held_out(F.col("doc_id"))).first()[0] is False

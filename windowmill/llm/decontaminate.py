@@ -69,8 +69,12 @@ def contamination(
     texts = own.filter("doc_id is not null and text is not null")
     split = texts.select(*row, words(F.col("text")).alias("words")).withColumn("size", F.size("words"))
     hashes = F.concat(*(_grams(F.col("words"), g) for g in sizes)) if sizes else F.array().cast("array<bigint>")
-    known = common.broadcast_if_small(common.materialize(tokens.select("hash").distinct(), "benchmark-known"), BROADCAST_ROWS)
-    often = split.select(F.explode(hashes).alias("hash")).join(known, "hash").groupBy("hash").agg(F.count("*").alias("places"))
+    known = common.materialize(tokens.select("hash").distinct(), "benchmark-known")
+    every = split.select(F.explode(hashes).alias("hash"))
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        often = every.join(F.broadcast(known), "hash").groupBy("hash").agg(F.count("*").alias("places"))
+    else:  # counted before they are joined, so that a common shingle is one row of each task
+        often = every.groupBy("hash").agg(F.count("*").alias("places")).join(known, "hash")
     ranked = tokens.join(common.materialize(often, "benchmark-rarity"), "hash")  # a window of which a shingle is nowhere cannot be whole
     rarest = ranked.groupBy("window", "n").agg(F.count("*").alias("found"), F.min_by(F.struct("hash", "offset"), F.struct("places", "hash", "offset")).alias("t"))
     whole_size = F.col("n") - F.least(F.lit(GRAM), F.col("n")) + 1

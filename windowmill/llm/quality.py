@@ -21,8 +21,9 @@ from windowmill.llm import common
 from windowmill.llm.shingles import mix, word_hashes
 
 PASSAGE = 64
-#: The fit sees at most so many labelled documents, chosen by a hash of their id, and all passages of each.
-SAMPLE_DOCS = 4000
+#: The fit sees at most so many labelled documents, chosen by a hash of their id, and all passages of each, of which there may be so many:
+#: 1,108 bytes each as features, so a few hundred megabytes on the driver however long the documents are.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 100_000
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, WORD_DECAY, SEED = 16, 12, 200, 0.03, 1e-6, 1e-5, 11
 ACCEPT = 0.3
 N_SHAPE, N_WORDS = 21, 256
@@ -145,22 +146,25 @@ class Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Is it of the fold that the fit does not see? A null id is of none."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shape, buckets = zip(*map(bag, batch["text"].to_pylist()), strict=True) if len(batch) else ((), ())
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["target"], pa.array([x.tobytes() for x in shape], pa.binary()), pa.array([x.tobytes() for x in buckets], pa.binary())], ["doc_id", "target", "shape", "buckets"]
+            [batch["doc_id"], batch["target"], pa.array([x.tobytes() for x in shape], pa.binary()), pa.array([x.tobytes() for x in buckets], pa.binary()), pa.array([len(x) for x in shape], pa.int32())],
+            ["doc_id", "target", "shape", "buckets", "passages"],
         )
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on labelled documents outside the held-out fold.
 
-    The sample is the ``SAMPLE_DOCS`` labelled ids of smallest hash. All their
-    passages reach the driver, 148 bytes for 64 words, and nothing else. Labels other
+    The sample is the ``SAMPLE_DOCS`` labelled ids of smallest hash, but those that
+    would bring it over ``SAMPLE_PASSAGES``, in the order of the hash. All passages of
+    the others reach the driver, 148 bytes for 64 words, and nothing else. Labels other
     than 0 and 1 and null ids are ignored; an id that is repeated counts once, with
     its smallest label and its smallest text. With no label, or one kind only, the
     score is the share of that kind.
@@ -171,7 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("target").alias("target"), F.min("text").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = sorted(texts.mapInArrow(_bags, f"doc_id {kind}, target int, shape binary, buckets binary").collect(), key=lambda r: r.doc_id)
+    bags = common.materialize(texts.mapInArrow(_bags, f"doc_id {kind}, target int, shape binary, buckets binary, passages int"), "quality-bags")
+    sizes = bags.select("doc_id", "passages").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most SAMPLE_DOCS
+    left, fit = SAMPLE_PASSAGES, []
+    for r in sizes:
+        if r.passages <= left:
+            left -= r.passages
+            fit.append(r.doc_id)
+    if len(fit) < len(sizes):
+        bags = bags.filter(F.col("doc_id").isin(fit))
+    found = sorted(bags.collect(), key=lambda r: r.doc_id)
     if not found:
         found_x, target = [np.zeros((1, N_FEATURES), np.float32)], np.array([0.5])
     else:
