@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from windowmill.operators import evidence, gaps, intake, windows
 from windowmill.operators.asof import asof_position
 from windowmill.plans.flows import Scene, scene
 from windowmill.plans.sql import BASE, NOTES, STAGED, STATES
-from windowmill.sources import adapters, transactions
+from windowmill.sources import adapters, layouts, samples, transactions
 
 SUBSCRIPTION, PAGE, PAGE_LIMIT = 7, 40, 38
 
@@ -208,7 +210,38 @@ _GAPS = NOTES + """, ev AS (SELECT *, CASE WHEN kind IN ('GAP', 'NONE') THEN 'DE
   SELECT 'MAINNET' AS network, source, reason, prior AS prior_slot, 'p' || prior AS prior_signature, episode, detected_ms, CAST(pidx AS BIGINT) AS prior_index, details, n AS detections, refused AS rejected, CASE WHEN done THEN 'RESOLVED' ELSE 'ACTIVE' END AS status, CASE WHEN done THEN done_ms END AS resolved_ms,
     CASE WHEN done THEN done_slot END AS through_slot, CASE WHEN done THEN CAST(done_index AS BIGINT) END AS through_index, CASE WHEN done THEN done_sig END AS through_signature FROM ends WHERE done OR fromlast = 1 AND active"""
 
+def decode_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine layouts: each field of each event as text, or the error of the event."""
+    out = []
+    for turn, (kind, fields) in enumerate(layouts.LAYOUTS.items()):
+        found = layouts.decoded(samples.layout_events(spark, sf_dir, kind, turn), kind)
+        said = lambda name, t: F.array_join(F.transform(name, lambda x: F.concat_ws(":", x.address, x.share_bps.cast("string"))), ",") if t.startswith("shares") else F.col(name).cast("string")
+        rows = F.array(*(F.struct(F.lit(n).alias("place"), F.lit(name).alias("field"), said(name, t).alias("value")) for n, (name, t) in enumerate(fields)))
+        out.append(found.select("event_id", F.lit(kind).alias("kind"), "decode_error", F.explode(rows).alias("f")).select("event_id", "kind", "decode_error", "f.*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _layout_sql() -> str:
+    key = lambda letter: f"sha256('{letter}' || event_id)"
+    rows = []
+    for turn, (kind, fields) in enumerate(layouts.LAYOUTS.items()):
+        for n, (name, t) in enumerate(fields):
+            if t == "key":
+                value = key(f"f{n}-")
+            elif t == "bool":
+                value = f"CASE WHEN (event_id + {n}) % 2 = 0 THEN 'false' ELSE 'true' END"
+            elif t.startswith("str"):
+                value = f"'t{n}-' || event_id"
+            elif t.startswith("shares"):
+                value = f"CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN {key('s0-')} || ':' || (event_id % 9000) ELSE {key('s0-')} || ':' || (event_id % 9000) || ',' || {key('s1-')} || ':' || ((event_id + 1) % 9000) END"
+            else:
+                value = f"CAST((event_id + {n}) % {samples.WRAPS[t]} AS VARCHAR)"
+            rows.append(f"SELECT event_id, '{kind}' AS kind, k, {n} AS place, '{name}' AS field, {value} AS value FROM note WHERE event_id % {len(layouts.LAYOUTS)} = {turn}")
+    return f"{NOTES}, f AS ({' UNION ALL '.join(rows)}) SELECT event_id, kind, CASE k WHEN 71 THEN 'TRUNCATED' WHEN 72 THEN 'TRAILING_BYTES' END AS decode_error, place, field, CASE WHEN k NOT IN (71, 72) THEN value END AS value FROM f"
+
+
 QUERIES = {
+    "decode_layouts": decode_layouts,
     "gap_episodes": lambda spark, sf_dir: gaps.episodes(gap_events(spark, sf_dir)),
     "notification_contract": notification_contract,
     "summary_contract": summary_contract,
@@ -221,6 +254,6 @@ QUERIES = {
     "window_admissions": scene(admissions),
 }
 ORACLES = {
-    "gap_episodes": _GAPS, "notification_contract": _MESSAGES, "summary_contract": _SUMMARY, "membership_validated": _MEMBERSHIP, "token_shape": _SHAPE, "page_faults": _PAGES, "recovery_pages": _RECOVERY,
+    "decode_layouts": _layout_sql(), "gap_episodes": _GAPS, "notification_contract": _MESSAGES, "summary_contract": _SUMMARY, "membership_validated": _MEMBERSHIP, "token_shape": _SHAPE, "page_faults": _PAGES, "recovery_pages": _RECOVERY,
     "transactions_read": _READ, "scalar_formats": _FORMATS, "window_admissions": _ADMISSIONS,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowmill.sources import adapters
-from windowmill.sources.layouts import FIRST_BYTES, INSTRUCTION_PREFIX
+from windowmill.sources.layouts import FIRST_BYTES, INSTRUCTION_PREFIX, LAYOUTS
 
 PROGRAM, OTHER = "Prog1111", "Other222"
 
@@ -110,3 +110,35 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 87, F.array(go(OTHER, 1), F.lit(f"Program {OTHER} success"))).otherwise(F.array(go(PROGRAM, 1), data, call, used, ok, ok))
     )
     return adapters.notifications(spark, sf_dir).select("signature", "source", "mint", "asset", "received_ms", "event_id", lines.alias("log_messages"))
+
+
+#: What the numbers of a layout are made from: (event id + place of the field) modulo this.
+WRAPS = {"u8": 200, "u16": 60_000, "u64": 1 << 40, "i64": 1 << 40, "i128": 1 << 40}
+
+
+def _digits(number: Column, size: int) -> Column:
+    """Hexadecimal digits of ``size`` bytes, lowest first."""
+    return F.substring(_little(number.cast("long")), 1, 2 * size) if size <= 8 else F.concat(_little(number.cast("long")), F.lit("00" * (size - 8)))
+
+
+def _encoded(kind: str, place: int) -> Column:
+    """A field of a layout, made from the event and the field's place."""
+    event = F.col("event_id")
+    if kind == "key":
+        return _key(f"f{place}-")
+    if kind == "bool":
+        return F.when((event + place) % 2 == 0, "00").otherwise("01")
+    if kind.startswith("str"):
+        text = F.concat(F.lit(f"t{place}-"), event.cast("string"))
+        return F.concat(_digits(F.length(text), 4), F.hex(text.cast("binary")))
+    if kind.startswith("shares"):
+        return F.concat(_digits(event % 3, 4), *(F.when(event % 3 > n, F.concat(_key(f"s{n}-"), _digits((event + n) % 9000, 2))).otherwise("") for n in range(2)))
+    return _digits((event + place) % WRAPS[kind], {"u8": 1, "u16": 2, "i128": 16}.get(kind, 8))
+
+
+def layout_events(spark: SparkSession, sf_dir: str, kind: str, turn: int) -> DataFrame:
+    """event_id, payload: every so manieth event as bytes of a layout; by k one is a byte short, one a byte too long, one behind the instruction prefix."""
+    k = F.col("k")
+    whole = F.concat(F.lit(FIRST_BYTES[kind].hex()), *(_encoded(t, n) for n, (_, t) in enumerate(LAYOUTS[kind])))
+    raw = F.when(k == 71, F.expr("left(_whole, length(_whole) - 2)")).when(k == 72, F.concat("_whole", F.lit("00"))).when(k == 73, F.concat(F.lit(INSTRUCTION_PREFIX.hex()), F.col("_whole"))).otherwise(F.col("_whole"))
+    return adapters.notifications(spark, sf_dir).filter(F.col("event_id") % len(LAYOUTS) == turn).withColumn("_whole", whole).select("event_id", F.base64(F.unhex(raw)).alias("payload"))
