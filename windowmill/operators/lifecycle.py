@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowmill.operators.asof import asof
+from windowmill.operators.asof import asof, asof_position
 from windowmill.operators.windows import DAY_MS, validated
 
 #: Evidence limits: bytes of decoded evidence, characters of a code and of a detail.
@@ -17,9 +17,9 @@ NATIVE, STABLE = "NATIVE", "STABLE"
 
 def settings_asof(windows: DataFrame, revisions: DataFrame) -> DataFrame:
     """Windows with the last revision in effect when they opened; NULL before the first."""
-    r = revisions.select("effective_ms", F.col("revision").cast("int").alias("revision"), F.lit(0).alias("_all"))
-    w = windows.select("mint", "opened_ms", F.lit(0).alias("_all"))
-    return asof(w, r, ["_all"], "opened_ms", "effective_ms", "revision", DAY_MS).select("mint", "opened_ms", "revision")
+    r = revisions.select(F.col("effective_ms").alias("_at"), F.col("revision").cast("int").alias("revision")).filter("_at is not null")
+    w = windows.select("mint", "opened_ms", F.col("opened_ms").alias("_at"))
+    return asof_position(w, r, [], ["_at"], "revision", strict=False).select("mint", "opened_ms", "revision")
 
 
 def checkpoints(positions: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from windowmill.functions.ordering import order_key
 from windowmill.functions.text import blank
-from windowmill.operators.asof import asof
+from windowmill.operators.asof import asof_position
 
 DAY_MS = 86_400_000
 
@@ -138,7 +138,8 @@ def late(observations: DataFrame, windows: DataFrame) -> DataFrame:
 
     Rows without an earlier window get NO_WINDOW.
     """
-    w = windows.withColumn("w", F.struct("source", "mint", "asset", "opened_ms", "closes_ms"))
-    seen = asof(observations.select("event_id", "source", "mint", "asset", "received_ms"), w, ["mint"], "received_ms", "opened_ms", "w", DAY_MS)
+    w = windows.select("mint", F.col("opened_ms").alias("_at"), F.struct("source", "mint", "asset", "opened_ms", "closes_ms").alias("w"))
+    own = observations.select("event_id", "source", "mint", "asset", "received_ms", F.col("received_ms").alias("_at"))
+    seen = asof_position(own, w, ["mint"], ["_at"], "w", strict=False).drop("_at")
     seen = seen.withColumn("o", F.struct("source", "mint", "asset", "received_ms"))
     return seen.select("event_id", "mint", F.col("w.opened_ms").alias("opened_ms"), F.when(F.col("w").isNull(), "NO_WINDOW").otherwise(mismatch("o", "w")).alias("mismatch_field"))
