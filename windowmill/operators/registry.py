@@ -181,3 +181,18 @@ def runs(windows: DataFrame, events: DataFrame, slot_ms: int = DAY_MS) -> DataFr
     order = [F.asc_nulls_first("at_ms"), F.asc("restart")]
     counted = before(starts.unionByName(restarts, allowMissingColumns=True), [], order, "at_ms", slot_ms, F.sum, F.col("restart"), "run").filter("restart = 0")
     return counted.select("_w.*", F.coalesce("run", F.lit(0)).cast("long").alias("run"))
+
+
+def finalization_order(windows: DataFrame, slot_ms: int = DAY_MS) -> DataFrame:
+    """Add place: claimed windows in the order of their close, market and opener, from 0; numbered within slots of time and across them by their sizes."""
+    claimed = windows.filter("claimed_ms is not null")
+    order = [F.asc("closes_ms"), F.asc("mint"), F.asc("opener")]
+    return before(claimed, [], order, "closes_ms", slot_ms, F.sum, F.lit(1), "place").withColumn("place", F.coalesce("place", F.lit(0)).cast("long"))
+
+
+def held_at(windows: DataFrame, at_ms: int) -> DataFrame:
+    """mint, opened_ms, held: the windows that the registry holds at a time, ACTIVE or, behind their close or cancellation and not yet claimed, RETAINED."""
+    there = F.col("opened_ms") <= at_ms
+    active = there & F.coalesce(F.col("left_ms") > at_ms, F.lit(True))
+    kept = F.col("status").isin("CONFIRMED", "CANCELLED_CONFIRMED") & F.coalesce(F.col("left_ms") <= at_ms, F.lit(False)) & F.coalesce(F.col("claimed_ms") > at_ms, F.lit(True))
+    return windows.select("mint", "opened_ms", F.when(active, "ACTIVE").when(kept, "RETAINED").alias("held")).filter("held is not null")

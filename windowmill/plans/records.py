@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from windowmill.functions import text
 from windowmill.functions.contract import Field, fault, notifications
-from windowmill.operators import evidence, gaps, intake, windows
+from windowmill.operators import evidence, gaps, intake, lifecycle, registry, windows
 from windowmill.operators.asof import asof_position
-from windowmill.plans.flows import Scene, scene
-from windowmill.plans.sql import BASE, NOTES, STAGED, STATES
+from windowmill.plans.flows import CUTOFF_MS, Scene, scene
+from windowmill.plans.sql import BASE, DECIDED, NOTES, STAGED, STATES
 from windowmill.sources import adapters, layouts, samples, transactions
 
 SUBSCRIPTION, PAGE, PAGE_LIMIT = 7, 40, 38
@@ -240,7 +240,59 @@ def _layout_sql() -> str:
     return f"{NOTES}, f AS ({' UNION ALL '.join(rows)}) SELECT event_id, kind, CASE k WHEN 71 THEN 'TRUNCATED' WHEN 72 THEN 'TRAILING_BYTES' END AS decode_error, place, field, CASE WHEN k NOT IN (71, 72) THEN value END AS value FROM f"
 
 
+def screening_conflicts(s: Scene) -> DataFrame:
+    """Decisions that were saved again, some of them with other reasons: only those are conflicts."""
+    m = F.col("mint").cast("long")
+    saved = s.decided.select("mint", "opened_ms", "decision", "reasons", F.lit("e").alias("evidence"), F.col("claimed_ms").alias("evaluated_ms"))
+    again = saved.filter(m % 4 == 0).withColumn("evaluated_ms", F.col("evaluated_ms") + 5)
+    other = saved.filter(m % 5 == 0).withColumn("evidence", F.lit("f"))
+    return evidence.finalization_conflicts(saved.unionByName(again).unionByName(other))
+
+
+def pool_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as sightings of pools, some with other mints or two equal ones."""
+    o, k = adapters.observations(spark, sf_dir), F.col("k")
+    quote = F.when(k == 33, "OTHER").when(k == 34, F.col("mint")).otherwise(F.col("asset"))
+    return evidence.pools(o.select("network", F.concat(F.lit("pool-"), F.col("mint")).alias("pool"), F.col("mint").alias("base_mint"), quote.alias("quote_mint"), F.col("slot").alias("observed_slot"), F.col("signature").alias("observed_signature"), F.col("event_id").alias("arrival")))
+
+
+_POOLS = NOTES + """, p AS (SELECT 'pool-' || mint AS pool, mint AS base_mint, CASE k WHEN 33 THEN 'OTHER' WHEN 34 THEN mint ELSE asset END AS quote_mint, slot, signature FROM obs),
+  f AS (SELECT pool, arg_min(quote_mint, slot) AS q FROM p WHERE quote_mint <> base_mint GROUP BY pool)
+  SELECT 'MAINNET' AS network, p.pool, CASE WHEN any_value(f.q) IS NOT NULL THEN any_value(base_mint) END AS base_mint, any_value(f.q) AS quote_mint, max(slot) FILTER (quote_mint = f.q AND quote_mint <> base_mint) AS observed_slot,
+    arg_max(signature, slot) FILTER (quote_mint = f.q AND quote_mint <> base_mint) AS observed_signature, count(*) FILTER (NOT coalesce(quote_mint = f.q AND quote_mint <> base_mint, false)) AS conflicts FROM p LEFT JOIN f USING (pool) GROUP BY p.pool"""
+
+
+def opening_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creations as openers of windows, some of which break a rule."""
+    o, k = adapters.observations(spark, sf_dir).filter("kind = 'CREATE'"), F.col("k")
+    given = o.select(
+        "event_id", F.when(k == 1, "TRADE").otherwise(F.col("kind")).alias("kind"), F.lit("PUMP").alias("source"), F.when(k == 2, "PUMP_SWAP").otherwise("PUMP_BONDING_CURVE").alias("venue"), "mint", F.concat(F.lit("c-"), F.col("mint")).alias("market_address"),
+        "received_ms", F.lit("PUMP_MINT").alias("target_kind"), F.when(k == 3, " ").when(k == 4, "elsewhere").otherwise(F.col("mint")).alias("target_address"), F.when(k == 5, "").otherwise("run").alias("collector_run_id"),
+        F.when(k == 6, F.col("received_ms") - 1).otherwise(F.col("received_ms")).alias("opened_ms"), F.when(k == 7, F.col("received_ms")).otherwise(F.col("received_ms") + 60_000).alias("closes_ms"),
+    )
+    return given.select("event_id", intake.opening_violation().alias("violation"))
+
+
+def evidence_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarantine records of all events: by k the evidence is no base64 or too long, the code blank or too long, the detail too long."""
+    e, k = adapters.notifications(spark, sf_dir), F.col("k")
+    raw = F.when(k == 1, "*").when(k == 2, F.base64(F.repeat(F.lit("x"), 16_385).cast("binary"))).otherwise(F.base64(F.col("signature").cast("binary")))
+    code = F.when(k == 3, "  ").when(k == 4, F.repeat(F.lit("c"), 129)).otherwise(F.col("kind"))
+    detail = F.when(k == 5, F.repeat(F.lit("d"), 2_049)).otherwise(F.lit("d"))
+    kept = text.evidence_columns(F.col("signature").cast("binary"))
+    return e.select("event_id", lifecycle.evidence_violation(raw, code, detail).alias("violation"), *(c.alias(n) for n, c in kept.items()))
+
+
+_LIMITS = NOTES + """ SELECT event_id, CASE k WHEN 1 THEN 'evidence_base64' WHEN 2 THEN 'evidence_size' WHEN 3 THEN 'reason_code' WHEN 4 THEN 'reason_code' WHEN 5 THEN 'reason_detail' END AS violation,
+    sha256(signature) AS evidence_sha256, base64(encode(signature)) AS evidence_base64, octet_length(encode(signature)) > 12288 AS evidence_cut FROM note"""
+
 QUERIES = {
+    "finalization_order": scene(lambda s: registry.finalization_order(s.states).select("mint", "opened_ms", "closes_ms", "place")),
+    "windows_held": scene(lambda s: registry.held_at(s.states, CUTOFF_MS)),
+    "screening_conflicts": scene(screening_conflicts),
+    "pool_registry": pool_registry,
+    "opening_validated": opening_validated,
+    "evidence_limits": evidence_limits,
     "decode_layouts": decode_layouts,
     "gap_episodes": lambda spark, sf_dir: gaps.episodes(gap_events(spark, sf_dir)),
     "notification_contract": notification_contract,
@@ -254,6 +306,12 @@ QUERIES = {
     "window_admissions": scene(admissions),
 }
 ORACLES = {
+    "finalization_order": STATES + " SELECT mint, opened_ms, closes_ms, row_number() OVER (ORDER BY closes_ms, mint, opener) - 1 AS place FROM states WHERE claimed_ms IS NOT NULL",
+    "windows_held": STATES + f""" SELECT mint, opened_ms, CASE WHEN coalesce(left_ms > {CUTOFF_MS}, true) THEN 'ACTIVE' ELSE 'RETAINED' END AS held FROM states
+      WHERE opened_ms <= {CUTOFF_MS} AND (coalesce(left_ms > {CUTOFF_MS}, true) OR status IN ('CONFIRMED', 'CANCELLED_CONFIRMED') AND coalesce(claimed_ms > {CUTOFF_MS}, true))""",
+    "screening_conflicts": DECIDED + " SELECT mint, opened_ms, 2 + CASE WHEN CAST(mint AS BIGINT) % 4 = 0 THEN 1 ELSE 0 END AS copies FROM dec WHERE CAST(mint AS BIGINT) % 5 = 0",
+    "pool_registry": _POOLS, "evidence_limits": _LIMITS,
+    "opening_validated": NOTES + " SELECT event_id, CASE k WHEN 7 THEN 'window bounds' WHEN 3 THEN 'target_address' WHEN 5 THEN 'collector_run_id' WHEN 1 THEN 'opening target' WHEN 2 THEN 'opening target' WHEN 4 THEN 'opening target' WHEN 6 THEN 'opened_ms' END AS violation FROM obs WHERE kind = 'CREATE'",
     "decode_layouts": _layout_sql(), "gap_episodes": _GAPS, "notification_contract": _MESSAGES, "summary_contract": _SUMMARY, "membership_validated": _MEMBERSHIP, "token_shape": _SHAPE, "page_faults": _PAGES, "recovery_pages": _RECOVERY,
     "transactions_read": _READ, "scalar_formats": _FORMATS, "window_admissions": _ADMISSIONS,
 }

@@ -201,7 +201,7 @@ ev AS (SELECT o.*, 'mint:' || mint AS target, received_ms - k * 400 + 5000 AS ev
 disc AS (SELECT *, event_ms BETWEEN received_ms - {MAX_AGE_MS} AND received_ms + 10000 AS fresh FROM ev WHERE kind IN ('CREATE', 'CREATE_POOL')),
 seeds AS (SELECT signature, target, min(event_order) AS event_order, arg_min(event_ms, event_order) AS event_ms FROM disc WHERE fresh GROUP BY ALL),
 taken AS (SELECT e.signature, count(DISTINCT e.target) AS n FROM ev e JOIN win w ON w.mint = e.mint AND e.received_ms >= w.opened_ms AND e.received_ms < w.closes_ms WHERE e.kind NOT IN ('CREATE', 'CREATE_POOL') GROUP BY e.signature)"""
-NOTES, BASE, STATES, STAGED = _NOTES.rstrip().rstrip(","), _BASE, _STATES, _STAGED
+NOTES, BASE, STATES, DECIDED, STAGED = _NOTES.rstrip().rstrip(","), _BASE, _STATES, _DECIDED, _STAGED
 ORACLES = {
     "windows_evict": _NOTES + _OPENS + _WALK + " SELECT mint, opened_ms, closes_ms, CASE WHEN status = 'CANCELLED_CONFIRMED' THEN left_ms END AS evicted_ms FROM registry",
     "window_states": _STATES + " SELECT *, (SELECT count(*) FROM acts a WHERE a.reason = 'PIPELINE_RESTARTED' AND a.at_ms < s.opened_ms) AS run FROM states s",
