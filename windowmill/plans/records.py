@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from windowmill.functions import text
 from windowmill.functions.contract import Field, fault, notifications
+from windowmill.functions.exact import floor_div, gcd
 from windowmill.operators import evidence, gaps, intake, lifecycle, registry, windows
 from windowmill.operators.asof import asof_position
 from windowmill.plans.flows import CUTOFF_MS, Scene, scene
@@ -286,7 +287,44 @@ def evidence_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIMITS = NOTES + """ SELECT event_id, CASE k WHEN 1 THEN 'evidence_base64' WHEN 2 THEN 'evidence_size' WHEN 3 THEN 'reason_code' WHEN 4 THEN 'reason_code' WHEN 5 THEN 'reason_detail' END AS violation,
     sha256(signature) AS evidence_sha256, base64(encode(signature)) AS evidence_base64, octet_length(encode(signature)) > 12288 AS evidence_cut FROM note"""
 
+def flat_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as transactions of two instructions, one of them with an inner one; some name an outer one that is not there, twice the same, or a program out of range."""
+    e, k = adapters.notifications(spark, sf_dir), F.col("k")
+    i = lambda program, account, data: F.struct(program.alias("program_id_index"), F.array(account).cast("array<int>").alias("accounts"), F.lit(data).alias("data"))
+    n = lambda x: F.lit(x)
+    group = lambda at: F.struct(at.cast("int").alias("index"), F.array(i(n(1), k % 6, "in")).alias("instructions"))
+    inner = F.when(k % 10 == 1, F.array(group(n(7)))).when(k % 10 == 2, F.array(group(n(0)), group(n(0)))).when(k % 10 == 3, F.array().cast("array<struct<index:int,instructions:array<struct<program_id_index:int,accounts:array<int>,data:string>>>>")).otherwise(F.array(group(k % 2)))
+    rows = e.select(
+        "signature", F.array(F.col("mint"), F.lit("P")).alias("account_keys"), F.array(F.lit("W")).alias("loaded_writable"), F.array(F.lit("R")).alias("loaded_readonly"),
+        F.array(i(F.when(k % 10 == 4, 9).otherwise(1), n(0), "a"), i(n(1), n(2), "b")).alias("instructions"), inner.alias("inner"),
+    )
+    found = transactions.instructions(rows)
+    return found.withColumn("accounts", F.array_join(F.transform("accounts", lambda x: F.coalesce(x, F.lit("-"))), ",")).select("signature", "outer_index", "inner_index", "program", "accounts", "data", "instruction_error")
+
+
+_FLAT = NOTES + """, t AS (SELECT signature, mint, k, CASE k % 10 WHEN 1 THEN 'NO_OUTER_INSTRUCTION' WHEN 2 THEN 'DUPLICATE_INNER_GROUP' WHEN 4 THEN 'PROGRAM_OUT_OF_RANGE' END AS err FROM note),
+  keyed AS (SELECT *, [mint, 'P', 'W', 'R'] AS keys FROM t)
+  SELECT signature, CAST(NULL AS INT) AS outer_index, CAST(NULL AS INT) AS inner_index, NULL AS program, NULL AS accounts, NULL AS data, err AS instruction_error FROM t WHERE err IS NOT NULL
+  UNION ALL SELECT signature, 0, NULL, keys[2], keys[1], 'a', NULL FROM keyed WHERE err IS NULL UNION ALL SELECT signature, 1, NULL, keys[2], keys[3], 'b', NULL FROM keyed WHERE err IS NULL
+  UNION ALL SELECT signature, k % 2, 0, keys[2], coalesce(keys[k % 6 + 1], '-'), 'in', NULL FROM keyed WHERE err IS NULL AND k % 10 <> 3"""
+
+
+def price_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with their price as a reduced fraction."""
+    t = windows.validated(adapters.observations(spark, sf_dir)).filter("valid").withColumn("g", gcd(F.col("quote"), F.col("base")))
+    return t.select("event_id", floor_div(F.col("quote"), F.col("g")).cast("long").alias("numerator"), floor_div(F.col("base"), F.col("g")).cast("long").alias("denominator"))
+
+
+def active_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many gaps of each source are open, and since when."""
+    found = gaps.episodes(gap_events(spark, sf_dir)).filter("status = 'ACTIVE'")
+    return found.groupBy("source").agg(F.count("*").alias("gaps"), F.min("detected_ms").alias("since_ms"))
+
+
 QUERIES = {
+    "flat_instructions": flat_instructions,
+    "price_ratios": price_ratios,
+    "active_gaps": active_gaps,
     "finalization_order": scene(lambda s: registry.finalization_order(s.states).select("mint", "opened_ms", "closes_ms", "place")),
     "windows_held": scene(lambda s: registry.held_at(s.states, CUTOFF_MS)),
     "screening_conflicts": scene(screening_conflicts),
@@ -306,6 +344,9 @@ QUERIES = {
     "window_admissions": scene(admissions),
 }
 ORACLES = {
+    "flat_instructions": _FLAT,
+    "price_ratios": BASE + " SELECT event_id, CAST(quote // gcd(quote, base) AS BIGINT) AS numerator, CAST(base // gcd(quote, base) AS BIGINT) AS denominator FROM obs WHERE kind = 'TRADE' AND trim(coalesce(wallet, '')) <> '' AND base > 0 AND quote > 0",
+    "active_gaps": f"SELECT source, count(*) AS gaps, min(detected_ms) AS since_ms FROM ({_GAPS}) WHERE status = 'ACTIVE' GROUP BY source",
     "finalization_order": STATES + " SELECT mint, opened_ms, closes_ms, row_number() OVER (ORDER BY closes_ms, mint, opener) - 1 AS place FROM states WHERE claimed_ms IS NOT NULL",
     "windows_held": STATES + f""" SELECT mint, opened_ms, CASE WHEN coalesce(left_ms > {CUTOFF_MS}, true) THEN 'ACTIVE' ELSE 'RETAINED' END AS held FROM states
       WHERE opened_ms <= {CUTOFF_MS} AND (coalesce(left_ms > {CUTOFF_MS}, true) OR status IN ('CONFIRMED', 'CANCELLED_CONFIRMED') AND coalesce(claimed_ms > {CUTOFF_MS}, true))""",
