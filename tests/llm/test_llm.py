@@ -306,7 +306,7 @@ def test_best_fit_is_bounded():
 
 
 def test_catalog_names():
-    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", catalog.oracle_sql())
@@ -314,7 +314,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = catalog.queries()[name](spark, sf_dir)
     found = c.execute(catalog.oracle_sql()[name])
