@@ -1,6 +1,7 @@
 """What a plan may cost as its tables grow: how often it reads and folds them, and over how many tasks."""
 
 from windowmill.operators import intake
+from windowmill.plans import flows
 from windowmill.sources import coverage, logs, samples
 
 
@@ -34,3 +35,12 @@ def test_lines_as_spark_matches_them():
 def test_lines_of_one_row_group_reach_all_tasks(spark, sf_dir):
     for made in (samples.traffic, samples.calls, samples.notifications):
         assert "hashpartitioning(event_id" in _plan(made(spark, sf_dir)), made
+
+
+def test_events_of_a_scene_are_parsed_once(spark, sf_dir):
+    s = flows.Scene(spark, sf_dir, once=True)
+    plain = flows.Scene(spark, sf_dir)
+    for name in ("registry_events", "observations", "gaps"):
+        one, other = getattr(s, name), getattr(plain, name)
+        assert not any(f.endswith("/events.parquet") for f in one.inputFiles()), name
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))

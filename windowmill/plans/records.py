@@ -325,9 +325,9 @@ QUERIES = {
     "flat_instructions": flat_instructions,
     "price_ratios": price_ratios,
     "active_gaps": active_gaps,
-    "finalization_order": scene(lambda s: registry.finalization_order(s.states).select("mint", "opened_ms", "closes_ms", "place")),
-    "windows_held": scene(lambda s: registry.held_at(s.states, CUTOFF_MS)),
-    "screening_conflicts": scene(screening_conflicts),
+    "finalization_order": scene(lambda s: registry.finalization_order(s.states).select("mint", "opened_ms", "closes_ms", "place"), once=True),
+    "windows_held": scene(lambda s: registry.held_at(s.states, CUTOFF_MS), once=True),
+    "screening_conflicts": scene(screening_conflicts, once=True),
     "pool_registry": pool_registry,
     "opening_validated": opening_validated,
     "evidence_limits": evidence_limits,
@@ -335,13 +335,13 @@ QUERIES = {
     "gap_episodes": lambda spark, sf_dir: gaps.episodes(gap_events(spark, sf_dir)),
     "notification_contract": notification_contract,
     "summary_contract": summary_contract,
-    "membership_validated": scene(membership_validated),
-    "token_shape": scene(token_shape),
+    "membership_validated": scene(membership_validated, once=True),
+    "token_shape": scene(token_shape, once=True),
     "page_faults": lambda spark, sf_dir: evidence.page_faults(pages(spark, sf_dir), 3),
     "recovery_pages": recovery,
     "transactions_read": read_transactions,
     "scalar_formats": formats,
-    "window_admissions": scene(admissions),
+    "window_admissions": scene(admissions, once=True),
 }
 ORACLES = {
     "flat_instructions": _FLAT,
