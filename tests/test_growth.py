@@ -1,8 +1,9 @@
 """What a plan may cost as its tables grow: how often it reads and folds them, and over how many tasks."""
 
-from windowmill.operators import intake
+from windowmill.operators import intake, tokens
 from windowmill.plans import flows
 from windowmill.sources import coverage, logs, samples
+from windowmill.streaming import stateful
 
 
 def _plan(df):
@@ -44,3 +45,36 @@ def test_events_of_a_scene_are_parsed_once(spark, sf_dir):
         one, other = getattr(s, name), getattr(plain, name)
         assert not any(f.endswith("/events.parquet") for f in one.inputFiles()), name
         assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def test_parts_of_tokens_are_summed_by_their_last_mint():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"mint": m, "n": list(range(len(m)))}) for m in (["a", "a", "b", "c", "c"], ["c"], [], ["c", "d"])]
+    assert [[tuple(r.values()) for r in b.to_pylist()] for b in tokens._ends(iter(batches))] == [[("a", 0)], [("c", 3), ("c", 4)], [("c", 0)], [("d", 1)]]
+    assert [b.num_rows for b in tokens._ends(iter([batches[1], batches[0]]))] == [1, 2]
+
+
+class _State:
+    """A state that counts what is asked of it."""
+
+    def __init__(self, value=None):
+        self.value, self.calls = value, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {"exists": self.value is not None, "get": self.value}.get(name)
+
+        return call
+
+
+def test_wallets_of_a_window_that_closes_at_once_are_not_asked_of_the_state():
+    fold = stateful.WindowMetrics(10)
+    fold.window, fold.wallets, fold.handle = _State(), _State(), _State()
+    trades = [(n, n, "TRADE", "BUY", f"w{n % 3}", "1", "2", "s", "x") for n in range(1, 9)]
+    rows = fold.take(("m",), [(0, 0, "CREATE", None, None, None, None, "s", "o"), *trades], 100)
+    assert rows[0][5:10] == (9, 8, 8, 0, 3)
+    assert fold.wallets.calls == 0
+    fold.take(("m",), [(200, 0, "CREATE", None, None, None, None, "s", "o"), *((200 + r[0], *r[1:]) for r in trades)], 205)
+    assert fold.wallets.calls == 3  # one for each wallet of a window that stays open, not one for each trade

@@ -9,6 +9,7 @@ the window. What comes later than the watermark is dropped and counted by Spark.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,8 +45,8 @@ class _Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         soonest = None
         for frame in rows:
-            frame = frame.astype(object).where(frame.notna(), None)
-            got = [tuple(r) for r in frame[self.names].itertuples(index=False)]
+            columns = (frame[c].tolist() for c in self.names)
+            got = [tuple(None if x is None or x != x else x for x in r) for r in zip(*columns, strict=True)]
             self.waiting.appendList(got)
             soonest = min([r[0] for r in got] + ([] if soonest is None else [soonest]))
         if soonest is not None:
@@ -87,15 +88,20 @@ class WindowMetrics(_Ordered):
         opened = self.window.get() if self.window.exists() else None
         at = None if opened is None else dict(zip(["opened_ms", "source", "opener", "first_invalid"], opened[:4])) | {c: int(v) for c, v in zip(_COUNTS, opened[4:])}
 
+        stored = opened is not None  # the window and its wallets so far are in the state; what is new is kept here until the end
+        fresh: Counter[str] = Counter()
+
         def closed(until: int) -> None:
-            nonlocal at
+            nonlocal at, stored
             if at is not None and at["opened_ms"] + self.length_ms <= until:
                 sums = [Decimal(at[c]) for c in _COUNTS[3:]]
-                traders = sum(1 for _ in self.wallets.keys())
+                traders = len(fresh.keys() | ({k[0] for k in self.wallets.keys()} if stored else set()))
                 out.append((key[0], at["opened_ms"], at["opened_ms"] + self.length_ms, at["source"], at["opener"], at["observations"], at["buys"] + at["sells"], at["buys"], at["sells"], traders, *sums, at["first_invalid"]))
-                self.window.clear()
-                self.wallets.clear()
-                at = None
+                if stored:
+                    self.window.clear()
+                    self.wallets.clear()
+                fresh.clear()
+                at, stored = None, False
 
         for received, _, kind, side, wallet, base, quote, source, signature in rows:
             closed(received)
@@ -113,9 +119,12 @@ class WindowMetrics(_Ordered):
                 at[f"{way}s"] += 1
                 at[f"{way}_base"] += int(base)
                 at[f"{way}_quote"] += int(quote)
-                self.wallets.updateValue((wallet,), ((self.wallets.getValue((wallet,))[0] if self.wallets.containsKey((wallet,)) else 0) + 1,))
+                fresh[wallet] += 1
         closed(now)
         if at is not None:
+            for wallet, trades in fresh.items():
+                before = self.wallets.getValue((wallet,))[0] if stored and self.wallets.containsKey((wallet,)) else 0
+                self.wallets.updateValue((wallet,), (before + trades,))
             self.window.update((at["opened_ms"], at["source"], at["opener"], at["first_invalid"], *(str(at[c]) for c in _COUNTS)))
             self.handle.registerTimer(at["opened_ms"] + self.length_ms)
         return out
