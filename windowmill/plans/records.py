@@ -33,7 +33,7 @@ def gap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages of a socket; by k some are cut, of another kind or subscription, or of wrong fields."""
-    e, k = adapters.notifications(spark, sf_dir), F.col("k")
+    e, k = adapters.notifications(spark, sf_dir, read=adapters.spread), F.col("k")
     slot = F.when(k % 13 == 4, F.concat(F.lit('"'), F.col("slot").cast("string"), F.lit('"'))).otherwise(F.col("slot").cast("string"))
     logs = F.when(k % 13 == 5, F.lit("")).when(k % 13 == 6, F.lit(',"logs":["a",1]')).otherwise(F.concat(F.lit(',"logs":["'), F.col("kind"), F.lit('","b"]')))
     signature = F.when(k % 13 == 8, F.lit("null")).otherwise(F.concat(F.lit('"'), F.col("signature"), F.lit('"')))
