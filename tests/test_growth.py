@@ -1,6 +1,11 @@
 """What a plan may cost as its tables grow: how often it reads and folds them, and over how many tasks."""
 
-from windowmill.operators import intake, tokens
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from windowmill.operators import intake, slices, tokens
 from windowmill.plans import flows
 from windowmill.sources import coverage, logs, samples
 from windowmill.streaming import stateful
@@ -78,3 +83,42 @@ def test_wallets_of_a_window_that_closes_at_once_are_not_asked_of_the_state():
     assert fold.wallets.calls == 0
     fold.take(("m",), [(200, 0, "CREATE", None, None, None, None, "s", "o"), *((200 + r[0], *r[1:]) for r in trades)], 205)
     assert fold.wallets.calls == 3  # one for each wallet of a window that stays open, not one for each trade
+
+
+def _latest(folder, forgets):
+    """A fold whose state is the last value, or how many there were; each that starts leaves a file."""
+    import pyarrow as pa
+
+    class Fold:
+        def __init__(self, state):
+            self.value = state
+            (folder / uuid.uuid4().hex).touch()
+
+        def feed(self, batch):
+            before = []
+            for x in batch["at"].to_pylist():
+                before.append(self.value or "0")
+                self.value = str(x + 1) if forgets else str(int(self.value or 0) + 1)
+            return pa.RecordBatch.from_pydict({"value": batch["at"], "before": before})
+
+        def state(self):
+            return self.value
+
+        def rest(self):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], ["value", "before"])
+
+    return Fold
+
+
+@pytest.mark.parametrize("forgets", [True, False])
+def test_slices_of_a_fold_that_forgets_are_folded_once(spark, tmp_path, forgets):
+    rows = spark.range(4000).select(F.col("id").alias("at"))
+    found = slices.sliced_fold(rows, "at", ["at"], _latest(tmp_path, forgets), "value long, before string", 500)
+    folds = len(list(tmp_path.iterdir()))
+    assert sorted((r.value, r.before) for r in found.collect()) == [(n, str(n)) for n in range(4000)]
+    assert folds == 8 if forgets else folds > 8
+
+
+def test_metrics_of_a_scene_are_made_once(spark, sf_dir):
+    s = flows.Scene(spark, sf_dir, once=True)
+    assert s.metrics() is s.metrics() and "InArrow" not in _plan(s.metrics()) and "Join" not in _plan(s.metrics())
