@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from windowmill.operators import intake, slices, tokens
+from windowmill.operators import intake, registry, slices, tokens
 from windowmill.plans import flows
 from windowmill.sources import coverage, logs, samples
 from windowmill.streaming import stateful
@@ -122,3 +122,20 @@ def test_slices_of_a_fold_that_forgets_are_folded_once(spark, tmp_path, forgets)
 def test_metrics_of_a_scene_are_made_once(spark, sf_dir):
     s = flows.Scene(spark, sf_dir, once=True)
     assert s.metrics() is s.metrics() and "InArrow" not in _plan(s.metrics()) and "Join" not in _plan(s.metrics())
+
+
+def test_settled_takes_its_windows_once_and_of_the_progress_what_is_waited_for(spark, tmp_path):
+    def fold(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    schema = registry.WINDOWS + ", closes_ms long"
+    rows = [("a", "S", "N", "a0", 0, "CONFIRMED", None, None, 100, 100), ("b", "T", "N", "b0", 0, "CANCELLED_CONFIRMED", "DECODE_GAP", 5, 50, 100), ("c", None, "N", "c0", 0, "CONFIRMED", None, None, 100, 100), ("d", "U", "N", "d0", 0, "OPEN", None, None, None, 100)]
+    windows = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(fold, schema)
+    events = spark.createDataFrame([(120, 1, "CANCEL", "source", None, "STOP"), (90, 2, "CANCEL", "source", "S", "EARLY")], "at_ms long, ordinal long, action string, reach string, source string, reason string")
+    progress = spark.createDataFrame([("S", 99), ("S", 130), ("T", 140), (None, 150)], "source string, at_ms long")
+    found = registry.settled(windows, events, progress, 50)
+    assert {(r.opener, r.status, r.reason, r.claimed_ms) for r in found.collect()} == {
+        ("a0", "CONFIRMED", None, 130), ("b0", "CANCELLED_CONFIRMED", "DECODE_GAP", 50), ("c0", "CANCELLED_CONFIRMED", "STOP", 120), ("d0", "OPEN", None, None),
+    }
+    assert len(list(tmp_path.iterdir())) == 1
