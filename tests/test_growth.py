@@ -1,11 +1,13 @@
 """What a plan may cost as its tables grow: how often it reads and folds them, and over how many tasks."""
 
 import uuid
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from windowmill.operators import intake, registry, slices, tokens
+from windowmill.functions.arrow import listed
+from windowmill.operators import intake, metrics, registry, slices, tokens
 from windowmill.plans import flows
 from windowmill.sources import coverage, logs, samples
 from windowmill.streaming import stateful
@@ -139,3 +141,22 @@ def test_settled_takes_its_windows_once_and_of_the_progress_what_is_waited_for(s
         ("a0", "CONFIRMED", None, 130), ("b0", "CANCELLED_CONFIRMED", "DECODE_GAP", 50), ("c0", "CANCELLED_CONFIRMED", "STOP", 120), ("d0", "OPEN", None, None),
     }
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_tokens_alone_come_without_outcomes(spark):
+    schema = "mint string, at_ms long, ordinal long, action string, slot long, market string, window_ms long, decision string, kind string, name string"
+    rows = [("hot" if n % 5 else f"m{n % 3}", n, n, "REMOVE" if n % 97 == 5 else "OBSERVE", n - (n % 7) * 3, "A" if n % 11 else "B", n % 4 or None, None, "CREATE" if n % 13 == 0 else "TRADE", f"n{n}" if n % 13 == 0 else None) for n in range(600)]
+    events = spark.createDataFrame(rows, schema)
+    ended = lambda df: sorted(str(r) for r in df.collect() if r.what == "TOKEN")
+    alone, one = tokens.projected(events, 9, outcomes=False), tokens.projected(events, 1)
+    assert {r.what for r in alone.collect()} == {"TOKEN"} and ended(alone) == ended(one) == ended(tokens.projected(events, 9))
+
+
+def test_lists_of_arrow_columns_are_what_pylist_gives():
+    import pyarrow as pa
+
+    for values in ([1, 2**62 + 1, -3], [None, 2**62 + 1, 0], ["a", None, ""], [], [None]):
+        for kind in (pa.int64(), pa.string()):
+            if all(x is None or isinstance(x, str) == (kind == pa.string()) for x in values):
+                got = listed(pa.array(values, kind))
+                assert got == pa.array(values, kind).to_pylist() and [type(x) for x in got] == [type(x) for x in values]
