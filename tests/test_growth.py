@@ -160,3 +160,19 @@ def test_lists_of_arrow_columns_are_what_pylist_gives():
             if all(x is None or isinstance(x, str) == (kind == pa.string()) for x in values):
                 got = listed(pa.array(values, kind))
                 assert got == pa.array(values, kind).to_pylist() and [type(x) for x in got] == [type(x) for x in values]
+
+
+def test_counts_read_members_once(spark, tmp_path):
+    def fold(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    schema = "mint string, opened_ms long, kind string, wallet string, side string, base decimal(20,0), quote decimal(20,0), slot long"
+    trade = lambda wallet, side, quote, slot: ("m", 0, "TRADE", wallet, side, Decimal(1), Decimal(quote), slot)
+    rows = [trade("b", "BUY", 7, 1), trade("a", "SELL", 7, 2), trade("", "BUY", 99, 3), trade("c", "BUY", 0, 4), ("m", 0, "CREATE", None, None, None, None, 9), ("n", 5, "CREATE", None, None, None, None, 6)]
+    member = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(fold, schema)
+    windows = spark.createDataFrame([("m", 0), ("n", 5), ("o", 0)], "mint string, opened_ms long")
+    names = ["mint", "observations", "latest_slot", "trades", "buys", "sells", "quote_volume", "traders", "buyers", "sellers", "top_wallet", "top_quote", "top_share_bps"]
+    got = {tuple(r) for r in metrics.counts(windows, member).select(*names).collect()}
+    assert got == {("m", 5, 9, 2, 1, 1, 14, 2, 1, 1, "a", 7, 5000), ("n", 1, 6, 0, 0, 0, 0, 0, 0, 0, None, None, None), ("o", 0, None, 0, 0, 0, 0, 0, 0, 0, None, None, None)}
+    assert len(list(tmp_path.iterdir())) == 1
